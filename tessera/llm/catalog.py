@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, near_dedup, pii, quality, secrets
+from tessera.llm import bpe, decontaminate, html_text, near_dedup, pii, quality, secrets, token_shards, urls, warc
 from tessera.llm.common import table
 
 
@@ -41,5 +41,30 @@ def op7_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_semi_markov, op2_benchmark_decontamination, op4_near_dedup_odd_sketch, op5_secret_ownership, op6_quality_decision_list, op7_bpe_prefix_dp)}
-ORACLES: dict[str, str] = {}
+def op3_html_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_url_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judged(urls.dated_captures(pages), urls.stand_in_list(pages))
+
+
+def op9_warc_seekable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_shards.report(table(spark, sf_dir, "documents"), token_shards.Vocabulary(vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_pii_semi_markov, op2_benchmark_decontamination, op3_html_consensus_paths, op4_near_dedup_odd_sketch, op5_secret_ownership,
+        op6_quality_decision_list, op7_bpe_prefix_dp, op8_url_temporal_lists, op9_warc_seekable, op10_training_order,
+    )
+}
+ORACLES: dict[str, str] = {"op8_url_temporal_lists": urls.ORACLE, "op9_warc_seekable": warc.ORACLE}
