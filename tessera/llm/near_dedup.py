@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,12 +29,13 @@ from tessera.llm.common import NOT_SPACE, arrow_rows, no_null_text, shingle_hash
 
 BANDS, ROWS_PER_BAND = 32, 5
 SAMPLES = BANDS * ROWS_PER_BAND
-SKETCH_LONGS = 8
-#: Set bits in the XOR of two odd sketches above which a similarity of 0.8 is out of the question (some 112 differing
-#: bits stand for 74 differing samples of 160, eight standard deviations more than a pair at the threshold has).
-MOST_BITS = 112
-#: Rounds of pivots before what is left is joined within its keys.
-PIVOT_ROUNDS = 6
+#: Bins of the one-permutation MinHash samples that an odd sketch folds, and the sketch's length.
+BINS, SKETCH_LONGS = 1024, 32
+#: Standard deviations that a pair at the threshold may lie off before its sketches rule it out.
+SLACK = 4.5
+#: Pivots of a key in a round; rounds at most, of which the last compares all that is left within its keys. Earlier rounds do so
+#: too once that is at most MOST_PER_POSTING pairs for each node of a key, or pivots have ceased to find links for one node in FEW.
+PIVOTS, MOST_ROUNDS, MOST_PER_POSTING, FEW = 3, 6, 8, 100
 
 _FEATURES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()),
@@ -45,7 +46,6 @@ _SETS = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("shin
 _rng = np.random.Generator(np.random.PCG64(71))
 _A = _rng.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
-_SALT = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)
 
 
 def shingle_set(text: str, k: int) -> np.ndarray:
@@ -74,9 +74,11 @@ def _mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Bit j tells whether an odd number of (permutation, sample) pairs hash to j."""
-    at = (_mix64(samples.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _SALT) >> np.uint64(11)) % np.uint64(64 * SKETCH_LONGS)
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Bit j tells whether an odd number of samples hash to j. The samples are the least (sorted) hashes of BINS ranges of values."""
+    bins = shingles >> np.uint64(64 - BINS.bit_length() + 1)
+    samples = shingles[np.concatenate([[True], bins[1:] != bins[:-1]])]
+    at = (_mix64(samples * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) % np.uint64(64 * SKETCH_LONGS)
     odd = (np.bincount(at.astype(np.int64), minlength=64 * SKETCH_LONGS) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
 
@@ -100,7 +102,7 @@ def features(docs: DataFrame, k: int) -> DataFrame:
                 s = shingle_set(text, k)
                 if len(s):
                     m = minhash(s)
-                    out.append((i, len(s), _digest(s), band_keys(m).tolist(), odd_sketch(m).tolist()))
+                    out.append((i, len(s), _digest(s), band_keys(m).tolist(), odd_sketch(s).tolist()))
                 else:
                     out.append((i, 0, None, None, None))
             yield out
@@ -116,17 +118,33 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return arrow_rows(docs.select(no_null_text("text")), _SETS, rows)
 
 
-def may_be_similar(n_a: Column, n_b: Column, a: Column, b: Column, percent: int) -> Column:
-    differing = reduce(lambda x, y: x + y, (F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH_LONGS)))
-    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (differing <= MOST_BITS)
+def most_bits(n: Column, percent: int) -> Column:
+    """Set bits that the XOR of two sketches may have if sets of n shingles together are similar.
 
+    At similarity p the union has u = n / (1 + p) shingles, which fill some of the bins. A filled bin's samples differ with probability
+    1 - p; they are two if the other set fills the bin as well. Only shingles that share a bin make the number of differing
+    samples vary. A sketch of M bits in which d bits were flipped has M/2 (1 - exp(-2d/M)) set.
+    """
+    p, m = percent / 100, 64.0 * SKETCH_LONGS
+    u = n / (1 + p)
+    empty = F.exp(-u / BINS)
+    filled = BINS * (1 - empty)
+    mean = filled * (1 - p) * (2 - F.pow(empty, F.lit(0.9)))
+    spread = F.sqrt(p * (1 - p) * F.least(2 * u * (1 - empty), 4 * filled))
+    return m / 2 * (1 - F.exp(-2 * mean / m)) + SLACK * F.sqrt(spread * spread + 2 * mean * mean / m) + 3
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets are similar. Only the texts of these nodes are read again."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = wanted.join(nodes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id")).distinct()
-    known = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    sets = written(_sets(known, k).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+def may_be_similar(n_a: Column, n_b: Column, a: list[Column], b: list[Column], percent: int) -> Column:
+    differing = reduce(lambda x, y: x + y, (F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)))
+    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (differing <= most_bits((n_a + n_b).cast("double"), percent))
+
+
+def _longs(sketch: str) -> list[Column]:
+    return [F.col(sketch)[i] for i in range(SKETCH_LONGS)]
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose full sets are similar."""
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b")
@@ -146,55 +164,112 @@ def components(edges: DataFrame) -> DataFrame:
         label = nxt.select("node", "comp")
 
 
+def _relabelled(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """label (node, comp) after links between nodes: components of components are found, then named in label."""
+    if label is None:
+        return components(links)
+    of = lambda side: links.join(label.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}")), side, "left")
+    between = of("a").select("b", F.coalesce("ca", "a").alias("ca")).join(label.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left").select(F.col("ca").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(between)
+    old = label.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("new")), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    return written(old.unionByName(joined.join(label.select("node"), "node", "left_anti")).groupBy("node").agg(F.min("comp").alias("comp")), "labels")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
+    return grouped(docs, k, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """As near_duplicates(), with node (equal sets) and comp (the component, null for a node without links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(features(docs, k), "features")
-    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
-    postings = nodes.select("node", F.explode("bands").alias("key"))
-    crowded = postings.groupBy("key").count().where("count > 1").select("key")
-    postings = written(postings.join(crowded, "key", "left_semi"), "postings")
-    about = nodes.join(postings.select("node").distinct(), "node", "left_semi").select("node", "rep", "n", "sketch")
-    about = written(about, "about")
-    edges = spark.createDataFrame([], "a binary, b binary")
-    label = spark.createDataFrame([], "node binary, comp binary")
-    tested = spark.createDataFrame([], "a binary, b binary")
-    for turn in range(PIVOT_ROUNDS + 1):
-        here = postings.join(label, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")).join(about, "node")
-        open_keys = here.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-        here = written(here.join(open_keys, "key", "left_semi"), "open")
-        per_comp = here.groupBy("key", "comp").count().groupBy("key").agg(F.sum("count").alias("m"), F.sum(F.col("count").cast("double") * F.col("count")).alias("own"))
-        total, left = per_comp.agg(F.sum("m"), F.sum((F.col("m").cast("double") * F.col("m") - F.col("own")) / 2)).first()
-        if not total:
+    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "nodes")
+    keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    crowded = keys.groupBy("key").count().where("count > 1").select("key")
+    postings = written(keys.join(crowded, "key", "left_semi").join(nodes.select("node", "rep", "n", "sketch"), "node"), "postings")
+    label: DataFrame | None = None
+    tested: DataFrame | None = None
+    n_links = 0
+    if not postings.isEmpty():
+        # the full sets of all nodes that share a key with another, made once
+        wanted = postings.select("node", "rep").distinct()
+        ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
+        known = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+        sets = written(_sets(known, k).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    for turn in range(MOST_ROUNDS):
+        if turn == 0 and postings.isEmpty():
             break
-        me = lambda p: F.struct(*(F.col(f"{p}.{c}") for c in ("node", "n", "sketch", "comp")))
-        last = turn == PIVOT_ROUNDS or turn > 0 and left <= 2 * total
+        here = postings.withColumn("comp", F.col("node")) if label is None else postings.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        last = turn == MOST_ROUNDS - 1
+        if turn and not last:
+            sizes = here.groupBy("key", "comp").agg(F.count("*").cast("double").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
+            total, left = sizes.where("m * m > own").agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2)).first()
+            if not total:
+                break
+            last = left <= MOST_PER_POSTING * total or n_links * FEW < total
         if last:
+            open_keys = here.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
+            # as columns of their own the sketches' parts are read without unpacking an array for each pair
+            here = written(here.join(open_keys, "key", "left_semi").join(nodes.select("node", "bands"), "node").select("key", "band", "node", "n", "comp", *(F.col("bands")[i].alias(f"k{i}") for i in range(BANDS)), *(x.alias(f"s{i}") for i, x in enumerate(_longs("sketch")))), "open")
+            side = lambda p: [F.col(f"{p}.s{i}") for i in range(SKETCH_LONGS)]
             a, b = here.alias("x"), here.alias("y")
             cond = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.node") < F.col("y.node"))
-            found = a.join(b, cond & may_be_similar(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            # a pair that shares several keys comes up under the first of them only
+            earlier = reduce(lambda c, d: c | d, ((F.col("x.band") > i) & (F.col(f"x.k{i}") == F.col(f"y.k{i}")) for i in range(BANDS - 1)))
+            found = a.join(b, cond & may_be_similar(F.col("x.n"), F.col("y.n"), side("x"), side("y"), percent) & ~earlier).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         else:
-            # the first round's pivot is the group's earliest document, often the text that the others were made from
-            order = F.struct(F.col("rep") if turn == 0 else F.xxhash64("node", F.lit(turn)), F.col("node"))
-            pivots = here.groupBy("key").agg(F.min_by("node", order).alias("node")).join(about, "node").join(label, "node", "left").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ska"), F.coalesce("comp", "node").alias("ca"))
-            met = here.join(pivots, "key").where((F.col("comp") != F.col("ca")) & may_be_similar(F.col("n"), F.col("na"), F.col("sketch"), F.col("ska"), percent))
+            # a group's earliest document is often the text that the others were made from; the other pivots are chance
+            me = F.struct(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ska"), F.col("comp").alias("ca"))
+            orders = [F.xxhash64("node", F.lit(PIVOTS * turn + i)) if turn or i else F.col("rep") for i in range(PIVOTS)]
+            pivots = here.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), *(F.min_by(me, F.struct(o.alias("o"), F.col("node"))).alias(f"p{i}") for i, o in enumerate(orders))).where("c0 <> c1")
+            pivots = pivots.select("key", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("p")).select("key", "p.*")
+            met = here.join(pivots, "key").where((F.col("comp") != F.col("ca")) & may_be_similar(F.col("n"), F.col("na"), _longs("sketch"), _longs("ska"), percent))
             found = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        found = written(found.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not found.isEmpty():
-            good = written(_confirmed(found, docs, nodes, k, percent), "links")
-            edges = edges.union(good)
-            tested = tested.union(found)
-            if not good.isEmpty():
-                label = components(edges)
+        found = found.distinct()
+        if tested is not None:
+            found = found.join(tested, ["a", "b"], "left_anti")
+        found = written(found, "pairs")
+        links = written(_confirmed(found, sets, percent), "links")
+        tested = found if tested is None else tested.union(found)
+        n_links = links.count()
+        if n_links:
+            label = _relabelled(label, links)
         if last:
             break
-    groups = label.join(nodes.select("node", "rep"), "node").groupBy("comp").agg(F.min("rep").alias("least"))
-    named = label.join(groups, "comp").select("node", "least")
-    of_node = nodes.join(named, "node", "left").select("node", F.coalesce("least", "rep").alias("least"))
-    # only nodes with company need a look-up: all other rows are their own component
-    company = rows.where("node is not null").groupBy("node").count().where("count > 1").select("node").union(named.select("node")).distinct()
-    of_node = of_node.join(company, "node", "left_semi")
-    out = rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
-    comp = F.coalesce("least", "doc_id")
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
+    of_node = nodes.select("node", "rep", "copies")
+    if label is None:
+        named = of_node.where("copies > 1").select("node", F.col("rep").alias("least"), F.lit(None).cast("binary").alias("comp"))
+    else:
+        groups = label.join(of_node, "node").groupBy("comp").agg(F.min("rep").alias("least"))
+        joined = label.join(groups, "comp").select("node", "least", "comp")
+        # only nodes with company need a look-up: all other rows are their own component
+        named = joined.unionByName(of_node.where("copies > 1").join(joined, "node", "left_anti").select("node", F.col("rep").alias("least"), F.lit(None).cast("binary").alias("comp")))
+    out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    least = F.coalesce("least", "doc_id")
+    return out.select("doc_id", "n_shingles", least.alias("component_id"), F.col("doc_id").eqNullSafe(least).alias("kept"), "node", "comp")
+
+
+def clean(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, with one row of each group: that of the smallest doc_id, and of rows that share it the first by text."""
+    found = written(grouped(docs, k, percent), "groups")
+    by_id = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept")).where("rows > 1 or not kept"), "leave")
+    plain = docs.where("doc_id is not null").join(by_id.select(F.col("doc_id").alias("_leave")), F.col("doc_id") == F.col("_leave"), "left_anti")
+    repeated = by_id.where("rows > 1").select(F.col("doc_id").alias("_again"))
+    if repeated.isEmpty() and found.where("doc_id is null").isEmpty():
+        return plain
+    # ids that are null or not unique don't tell a row's group: the group is looked up by id and shingle set
+    odd = docs.where("doc_id is not null").join(repeated, F.col("doc_id") == F.col("_again"), "left_semi").unionByName(docs.where("doc_id is null"))
+    inner = odd.select(F.struct(*odd.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), no_null_text("text"))
+    schema = T.StructType([T.StructField("row", inner.schema["row"].dataType), T.StructField("id", T.LongType()), T.StructField("node", T.BinaryType())])
+
+    def rows(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
+        for of_row, ids, texts in batches:
+            sets = [shingle_set(t, k) for t in texts]
+            yield [(r, i, _digest(s) if len(s) else None) for r, i, s in zip(of_row, ids, sets)]
+
+    verdicts = found.where("kept").select(F.col("doc_id").alias("vid"), F.col("node").alias("vnode"), "comp").distinct()
+    told = arrow_rows(inner, schema, rows).join(verdicts, F.col("id").eqNullSafe(F.col("vid")) & F.col("node").eqNullSafe(F.col("vnode")))
+    first = told.withColumn("nth", F.row_number().over(Window.partitionBy(F.coalesce("comp", "node")).orderBy(F.col("row.text"), F.to_json("row"))))
+    chosen = first.where("node is null or nth = 1").select("row.*")
+    return plain.unionByName(chosen.select(*plain.columns))
