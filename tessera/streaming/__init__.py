@@ -1,0 +1,29 @@
+"""Streams into tables: every micro-batch becomes one snapshot, and windowed aggregates take late rows up to a watermark."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tessera.sources.tablelog import Table
+
+
+def commit_stream(stream: DataFrame, table: Table, checkpoint: str, **trigger) -> StreamingQuery:
+    """Appends each batch as a commit. A batch that is run again after a failure finds its number in the log and isn't appended twice."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        mark = f"{table.root}/_log/_batches/{number}"
+        if table.store.exists(mark):
+            return
+        if not batch.isEmpty():
+            table.append(batch)
+        table.store.write(mark, str(table.current))
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def windowed(stream: DataFrame, time: str, late: str, size: str, slide: str | None = None, *keys: str, **aggregates) -> DataFrame:
+    """Tumbling or sliding windows over event time with a watermark."""
+    w = F.window(time, size, slide) if slide else F.window(time, size)
+    return stream.withWatermark(time, late).groupBy(w.alias("w"), *keys).agg(*(c.alias(n) for n, c in aggregates.items()))
