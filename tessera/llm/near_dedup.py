@@ -33,6 +33,9 @@ SAMPLES = BANDS * ROWS_PER_BAND
 BINS, SKETCH_LONGS = 1024, 32
 #: Standard deviations that a pair at the threshold may lie off before its sketches rule it out.
 SLACK = 4.5
+#: Simulated pairs of 20 to 10,000 shingles at the threshold vary by at most this share of what most_bits() reckons, about a mean no
+#: larger than its own: the bound is 5 to 7 standard deviations away from them.
+SPREAD = 0.68
 #: Pivots of a key in a round; rounds at most, of which the last compares all that is left within its keys. Earlier rounds do so
 #: too once that is at most MOST_PER_POSTING pairs for each node of a key, or pivots have ceased to find links for one node in FEW.
 PIVOTS, MOST_ROUNDS, MOST_PER_POSTING, FEW = 3, 6, 8, 100
@@ -131,7 +134,7 @@ def most_bits(n: Column, percent: int) -> Column:
     filled = BINS * (1 - empty)
     mean = filled * (1 - p) * (2 - F.pow(empty, F.lit(0.9)))
     spread = F.sqrt(p * (1 - p) * F.least(2 * u * (1 - empty), 4 * filled))
-    return m / 2 * (1 - F.exp(-2 * mean / m)) + SLACK * F.sqrt(spread * spread + 2 * mean * mean / m) + 3
+    return m / 2 * (1 - F.exp(-2 * mean / m)) + SLACK * SPREAD * F.sqrt(spread * spread + 2 * mean * mean / m) + 1
 
 
 def may_be_similar(n_a: Column, n_b: Column, a: list[Column], b: list[Column], percent: int) -> Column:
