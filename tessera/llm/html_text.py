@@ -147,6 +147,10 @@ def parsed(html: str) -> Page:
             continue
         if name in VOID:
             continue
+        if name in RAW:
+            end = _RAW_END[name].search(html, at)
+            at = end.end() if end else n
+            continue
         if name in BLOCKS or name in DROPPED:
             flush(stack[-1])
             closes, walls = CLOSES.get(name, ((), ()))
@@ -158,10 +162,6 @@ def parsed(html: str) -> Page:
                     if name in ("li", "dt", "dd", "td", "th", "tr", "tbody"):
                         continue
                     break
-        if name in RAW:
-            end = _RAW_END[name].search(html, at)
-            at = end.end() if end else n
-            continue
         shown, bad, good = _described(name, m[3])
         top = stack[-1]
         if name == "header" and not any(x.name in ("article", "main") for x in stack):
