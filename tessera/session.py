@@ -67,7 +67,6 @@ class Session:
 
     def attach(self, table: Table) -> Table:
         self.tables[table.name] = table
-        self.refresh(table.name)
         return table
 
     def refresh(self, name: str) -> None:
@@ -149,14 +148,35 @@ class Session:
 
     # whole queries
 
+    def _planned(self, expanded: str) -> tuple[DataFrame, bool]:
+        """The query over the tables' shapes, whose scans are all swapped for files later. Where a scan lies within a subquery expression, out of
+        the swap's reach, the query is planned over all live files instead."""
+        for name, t in self.tables.items():
+            t.shape().createOrReplaceTempView(name)
+        try:
+            df = self.spark.sql(expanded)
+            plan = df._jdf.queryExecution().analyzed()
+            everywhere = plan.treeString().count("Relation [")
+            here = sum(planio.simple(n) == "LogicalRelation" for _, n in planio.walk(plan))
+            if everywhere == here:
+                return df, True
+        finally:
+            for name in self.tables:
+                self._lazily(name)
+        for name in self.tables:
+            self.refresh(name)
+        return self.spark.sql(expanded), False
+
+    def _lazily(self, name: str) -> None:
+        """Drops the planning view; the name is bound to its files again when somebody asks for them."""
+        self.spark.catalog.dropTempView(name)
+
     def sql(self, text: str) -> DataFrame:
         """The answer, by whatever derived state the rule allows. At most one plan-level rewrite: a cube, else a vector copy, else a join side;
         every other scan is composed by itself. A query over the budget raises BudgetExceeded before it runs."""
         expanded, calls = expand(text)
         with self._lock:
-            for name in self.tables:
-                self.refresh(name)
-            df = self.spark.sql(expanded)
+            df, bare_shapes = self._planned(expanded)
             if text.lstrip().split(" ", 1)[0].upper() not in ("SELECT", "WITH", "FROM", "VALUES", "(SELECT"):
                 return df
             plan = df._jdf.queryExecution().analyzed()
@@ -171,6 +191,8 @@ class Session:
                     continue
                 r, q = reports[leaf.path], self.query_of(leaf, **({"nearest": reports[leaf.path].nearest} if reports[leaf.path].nearest else {}), **({"aggregate": reports[leaf.path].aggregate} if reports[leaf.path].aggregate else {}))
                 other = self._composed(leaf, self.registry.compose(Query(**(q.__dict__ | {"aggregate": None, "nearest": None, "join": None})), leaf.table.graph), r)
+                if other is None and bare_shapes:
+                    other = leaf.table.read()
                 if other is not None:
                     swaps.append((leaf.path, shaped(other, planio.at(plan, leaf.path))))
             self.last_scan = list(reports.values())
@@ -263,7 +285,7 @@ class Session:
         """What would be used and what is refused, piece by piece, without reading any data."""
         expanded, calls = expand(text)
         with self._lock:
-            df = self.spark.sql(expanded)
+            df, _ = self._planned(expanded)
             lines = []
             plan = df._jdf.queryExecution().analyzed()
             found = planio.asks(df, list(self.tables.values()))

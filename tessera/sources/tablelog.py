@@ -166,6 +166,13 @@ class Table:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
+    def shape(self) -> DataFrame:
+        """No rows, under the table's root: what a name is bound to while a query is planned, so that planning looks at no data file."""
+        path = f"{self.root}/shape"
+        if not self.store.exists(f"{path}/_SUCCESS"):
+            self.spark.createDataFrame([], self.schema).coalesce(1).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(self.schema).parquet(path)
+
     # writing
 
     def _added(self, df: DataFrame) -> list[DataFile]:

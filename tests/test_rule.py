@@ -1,0 +1,207 @@
+"""The rule, implication, scopes, registry and composition: no Spark."""
+
+from __future__ import annotations
+
+import random
+from datetime import date
+
+import pytest
+
+from tessera.kinds import Bitmap, Cube, FilterSet, Index, InMemory, JoinHash, MaterializedResult, Projection, ResultCache, TextIndex, VectorIndex
+from tessera.model import WHOLE, AggFunc, Aggregate, Commits, Eq, Filter, JoinAsk, Matches, Measure, Metric, Nearest, Plan, Query, Reason, Reject, Scope, Snapshot, SnapshotGraph, Use, UseStale, UseWith
+from tessera.rule import Derived, Registry
+
+F = frozenset
+COUNT = Measure(AggFunc.COUNT)
+
+
+def graph() -> SnapshotGraph:
+    return SnapshotGraph([
+        Snapshot(1, None, {"a": 0, "b": 0}),
+        Snapshot(2, 1, {"a": 0, "b": 0, "c": 0}),  # append
+        Snapshot(3, 2, {"a": 9, "b": 0, "c": 0}),  # deletes on a
+        Snapshot(4, 2, {"bc": 0, "a": 0}),  # compaction of b and c
+        Snapshot(5, 1, {"a": 0, "b": 0, "z": 0}),  # a sibling line
+    ])
+
+
+def index(**postings) -> Index:
+    held = InMemory({k: {f: WHOLE for f in v} for k, v in postings.items()})
+    return Index("t", held.values)
+
+
+def q(snapshot: int = 1, **more) -> Query:
+    plan = more.pop("plan", Plan(F(("t", "m"))))
+    return Query("events", snapshot, F(("t", "m")), more.pop("predicates", (Eq("t", F(("x",))),)), plan, **more)
+
+
+def piece(kind, snapshot: int = 1, id: str = "p", policy: str = "") -> Derived:
+    return Derived(id, "events", snapshot, kind, policy)
+
+
+PRUNES = [index(x="ab"), Bitmap("t", InMemory({"x": {"a": Scope({0: F((1,))}), "b": WHOLE}}).values), FilterSet(Filter("m > 1", F("m")), {"a": WHOLE, "b": WHOLE}), TextIndex("t", lambda term: F("ab"))]
+UNIONABLE = [MaterializedResult("/", 1, Plan(F(("t", "m")), F((Filter("m > 1", F("m")),)))), Projection("/", 1, F(("t", "m")))]
+WHOLES = [Cube("/", 1, F("t"), F((COUNT,)), F()), VectorIndex("/", 1, "v", Metric.L2, 3), JoinHash("/", 1, ("t",), F(("t", "m")))]
+
+
+def asking(kind, snapshot: int, **more) -> Query:
+    plan = Plan(F(("t", "m")), F((Filter("m > 1", F("m")),))) if isinstance(kind, (FilterSet, MaterializedResult)) else Plan(F(("t", "m")))
+    extra = {}
+    if isinstance(kind, TextIndex):
+        extra["predicates"] = (Matches("t", F(("x",))),)
+    if isinstance(kind, Cube):
+        extra["aggregate"] = Aggregate(("t",), (COUNT,))
+    if isinstance(kind, VectorIndex):
+        extra["nearest"] = Nearest("v", Metric.L2, 3, 7)
+    if isinstance(kind, JoinHash):
+        extra["join"] = JoinAsk(("t",), F(("t", "m")))
+    return q(snapshot, plan=plan, **(extra | more))
+
+
+@pytest.mark.parametrize("kind", PRUNES, ids=lambda k: k.name)
+def test_prunes_tolerate_any_change(kind):
+    g = graph()
+    assert isinstance(piece(kind).may_serve(asking(kind, 1), g), Use)
+    assert piece(kind).may_serve(asking(kind, 2), g).also_scan == F("c")
+    assert piece(kind, 2).may_serve(asking(kind, 3), g) and isinstance(piece(kind, 2).may_serve(asking(kind, 3), g), Use)
+    d = piece(kind, 2).may_serve(asking(kind, 4), g)
+    assert isinstance(d, UseWith) and d.also_scan == {"bc"} and set(d.rewrite.files) == {"a"}
+
+
+@pytest.mark.parametrize("kind", UNIONABLE, ids=lambda k: k.name)
+def test_stored_rows_take_appends_only(kind):
+    g = graph()
+    assert isinstance(piece(kind).may_serve(asking(kind, 1), g), Use)
+    assert piece(kind).may_serve(asking(kind, 2), g).also_scan == F("c")
+    for s in (3, 4):
+        assert piece(kind, 2).may_serve(asking(kind, s), g) == Reject(Reason.SUBTRACTIVE_CHANGE)
+
+
+@pytest.mark.parametrize("kind", WHOLES, ids=lambda k: k.name)
+def test_others_take_no_change_unless_stale_is_accepted(kind):
+    g = graph()
+    assert isinstance(piece(kind).may_serve(asking(kind, 1), g), Use)
+    assert piece(kind).may_serve(asking(kind, 2), g) == Reject(Reason.RESIDUAL_NOT_UNIONABLE)
+    stale = piece(kind).may_serve(asking(kind, 2, stale=True), g)
+    assert isinstance(stale, UseStale) and stale.missed == F("c")
+    assert piece(kind, 2).may_serve(asking(kind, 3, stale=True), g) == Reject(Reason.SUBTRACTIVE_CHANGE)
+
+
+def test_reasons_in_order():
+    g = graph()
+    p = piece(index(x="a"))
+    assert p.may_serve(Query("other", 1, F()), g) == Reject(Reason.WRONG_TABLE)
+    assert p.may_serve(q(1, predicates=()), g) == Reject(Reason.NO_MATCH)
+    assert p.may_serve(q(99), g) == Reject(Reason.UNKNOWN_SNAPSHOT)
+    assert piece(index(x="a"), 2).may_serve(q(1), g) == Reject(Reason.NOT_DESCENDANT)
+    assert piece(index(x="a"), 2).may_serve(q(5), g) == Reject(Reason.NOT_DESCENDANT)
+    assert piece(index(x="a"), policy="owner").may_serve(q(1), g) == Reject(Reason.POLICY_MISMATCH)
+
+
+def test_lineage_with_a_cycle_ends():
+    g = SnapshotGraph([Snapshot(1, 2, {}), Snapshot(2, 1, {})])
+    assert g.descends(1, 2) and not g.descends(1, 3)
+
+
+def test_implication_is_sound():
+    r = random.Random(4)
+    ops = ["=", "<>", "<", "<=", ">", ">="]
+    hold = {"=": lambda x, v: x == v, "<>": lambda x, v: x != v, "<": lambda x, v: x < v, "<=": lambda x, v: x <= v, ">": lambda x, v: x > v, ">=": lambda x, v: x >= v}
+    seen = 0
+    for _ in range(4000):
+        a, b = (Filter(f"c {o} {v}", F("c"), o, v) for o, v in ((r.choice(ops), r.randint(0, 4)), (r.choice(ops), r.randint(0, 4))))
+        if a.implies(b):
+            seen += 1
+            assert all(hold[b.op](x / 2, b.value) for x in range(-4, 14) if hold[a.op](x / 2, a.value)), (a, b)
+    assert seen > 500
+
+
+def test_implication_makes_no_false_claims():
+    big = 2**53
+    assert not Filter("a", F("c"), ">=", big).implies(Filter("b", F("c"), ">", big))
+    assert Filter("a", F("c"), ">=", big + 1).implies(Filter("b", F("c"), ">", big))
+    assert not Filter("a", F("c"), "=", 1).implies(Filter("b", F("d"), ">", 0))
+    assert not Filter("a", F("c"), "=", "1").implies(Filter("b", F("c"), ">", 0))
+    assert not Filter("a", F("c"), "=", True).implies(Filter("b", F("c"), ">", 0))
+    assert Filter("a", F("c"), "=", date(2024, 2, 1)).implies(Filter("b", F("c"), ">", date(2024, 1, 1)))
+
+
+def test_scopes():
+    rows = Scope({0: F((1, 2)), 1: None})
+    assert WHOLE.intersect(rows) == rows and rows.intersect(WHOLE) == rows
+    assert rows.intersect(Scope({0: F((2, 3))})) == Scope({0: F((2,))})
+    assert rows.intersect(Scope({2: None})) is None and rows.intersect(Scope({0: F((9,))})) is None
+    assert rows.union(WHOLE) == WHOLE and Scope({0: F((1,))}).union(Scope({0: None})) == Scope({0: None})
+
+
+def test_equalities_intersect_and_unknown_values_leave_nothing():
+    k = index(x="ab", y="bc")
+    assert set(k.matches(q(predicates=(Eq("t", F(("x",))), Eq("t", F(("y",)))))).files) == {"b"}
+    assert set(k.matches(q(predicates=(Eq("t", F(("x", "y"))),))).files) == {"a", "b", "c"}
+    assert k.matches(q(predicates=(Eq("t", F(("nope",))),))).files == {}
+
+
+def test_text_needs_all_terms():
+    k = TextIndex("t", lambda w: {"one": F("ab"), "two": F("bc")}.get(w, F()))
+    assert set(k.matches(q(predicates=(Matches("t", F(("one", "two"))),))).files) == {"b"}
+    assert k.matches(q(predicates=(Matches("t", F(("one", "no"))),))).files == {}
+    assert k.matches(q(predicates=(Matches("u", F(("one",))),))) is None
+
+
+def test_composition():
+    g, r = graph(), Registry()
+    r.register(piece(index(x="ab"), 1, "i1"))
+    r.register(Derived("i2", "events", 1, TextIndex("m", lambda w: F("b"))))
+    both = q(2, predicates=(Eq("t", F(("x",))), Matches("m", F(("w",)))))
+    c = r.compose(both, g)
+    # c was added since, so each piece admits it whole
+    assert set(c.files) == {"b", "c"} and c.used == ["i2"] or set(c.used) == {"i1", "i2"}
+    r.register(piece(Projection("/", 5, F(("t", "m"))), 1, "proj"))
+    assert r.compose(q(3, predicates=(Eq("t", F(("x",))),)), g).substitute is None
+
+
+def test_a_cheap_prune_does_not_hide_a_cube():
+    g, r = graph(), Registry()
+    r.register(piece(index(x="a"), 1, "a-index"))
+    r.register(piece(Cube("/", 10, F("t"), F((COUNT,)), F()), 1, "z-cube"))
+    found = r.candidates(q(1, aggregate=Aggregate(("t",), (COUNT,))), g, lambda p, d: p.kind.name == "cube")
+    assert [p.id for p, _ in found] == ["z-cube"]
+
+
+def test_result_cache_is_planned_but_never_executed():
+    g, r = graph(), Registry()
+    r.register(piece(ResultCache(Plan(F(("t", "m")))), 1, "rc"))
+    assert isinstance(dict(r.assess(q(1), g))["rc"], Use)
+    assert r.candidates(q(1), g) == [] and r.compose(q(1), g).used == []
+
+
+def test_cubes_cover_what_they_hold():
+    stored = F((COUNT, Measure(AggFunc.SUM, "v"), Measure(AggFunc.APPROX_DISTINCT, "u")))
+    k = Cube("/", 1, F(("d", "t")), stored, F((Filter("d >= 2", F("d"), ">=", 2),)))
+
+    def ask(keys, measures, filters, **more):
+        return k.matches(q(1, aggregate=Aggregate(keys, measures), plan=Plan(F(), F(filters)), **more))
+
+    narrower = Filter("d >= 3", F("d"), ">=", 3)
+    assert ask(("t",), (COUNT,), (narrower,)).rollup.again == (narrower,)
+    assert ask(("t",), (COUNT,), ()) is None
+    assert ask(("t",), (COUNT,), (Filter("d >= 1", F("d"), ">=", 1),)) is None
+    assert ask(("x",), (COUNT,), (narrower,)) is None
+    assert ask(("t",), (COUNT,), (narrower, Filter("v > 1", F("v"), ">", 1))) is None
+    assert ask(("t",), (Measure(AggFunc.AVG, "v"),), (narrower,)) is None
+    exact = (Measure(AggFunc.COUNT_DISTINCT, "u"),)
+    assert ask(("t",), exact, (narrower,)) is None and ask(("t",), exact, (narrower,), approximate=True)
+
+
+def test_eviction_by_use():
+    r = Registry()
+    for id, size, uses in (("a", 10, 1), ("b", 10, 5), ("c", 0, 0)):
+        r.register(Derived(id, "events", 1, Projection("/", size, F()), uses=uses))
+    assert r.evict_to(10) == ["a"] and r.ids() == ["b", "c"] and r.bytes == 10
+
+
+def test_commits_keep_each_tables_latest():
+    c = Commits()
+    for t, s in (("a", 3), ("b", 1), ("a", 2)):
+        c.note(t, s)
+    assert c.drain() == {"a": 3, "b": 1} and c.drain() == {}
