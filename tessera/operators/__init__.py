@@ -222,19 +222,15 @@ def build_join_hash(table: Table, keys: tuple[str, ...], columns: frozenset[str]
 
 
 def estimate_overlap(table: Table, column: str) -> float | None:
-    """How much of one file's values other files share: files at three places, each with its neighbour, both ways. Reads six files at most."""
+    """How much of one file's values another file shares: files at three places and each one's neighbour, every pair of them both ways."""
     files = table.live()
     if len(files) < 2:
         return None
-    places = sorted({0, len(files) // 2, len(files) - 2})
-    chosen = sorted({i for p in places for i in (p, p + 1)})
-    values = table.read([bare(files[i].path) for i in chosen]).where(F.col(column).isNotNull()).select(file_column().alias("file"), F.col(column).alias("v")).distinct()
-    both = values.alias("a").join(values.alias("b"), F.col("a.v") == F.col("b.v")).groupBy(F.col("a.file").alias("fa"), F.col("b.file").alias("fb")).count().collect()
-    shared = {(r["fa"], r["fb"]): r["count"] for r in both}
-    out = []
-    for p in places:
-        a, b = bare(files[p].path), bare(files[p + 1].path)
-        for x, y in ((a, b), (b, a)):
-            if own := shared.get((x, x)):
-                out.append(shared.get((x, y), 0) / own)
-    return sum(out) / len(out) if out else None
+    chosen = sorted({i for p in (0, len(files) // 2, len(files) - 2) for i in (p, min(p + 1, len(files) - 1))})
+    names = [bare(files[i].path) for i in chosen]
+    values = table.read(names).where(F.col(column).isNotNull()).select(file_column().alias("file"), F.col(column).alias("v")).distinct()
+    # a value is one row with the files (six at most) that hold it, so no file is joined to another
+    held = values.groupBy("v").agg(F.collect_set("file").alias("files")).groupBy("files").count().collect()
+    own = {f: sum(r["count"] for r in held if f in r["files"]) for f in names}
+    shares = [sum(r["count"] for r in held if a in r["files"] and b in r["files"]) / own[a] for a in names for b in names if a != b and own[a]]
+    return sum(shares) / len(shares) if shares else None
