@@ -18,11 +18,6 @@ from tessera.sources.tablelog import Table, bare
 #: At most so many distinct values for a bitmap; rows up to which a probe admits rows and not files.
 BITMAP_VALUES, ADMITTED_ROWS = 64, 10_000
 SHARD_BYTES = 128 << 20
-_BARE = r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
-
-
-def file_column() -> Column:
-    return F.regexp_replace(F.col("_metadata.file_path"), _BARE, "")
 
 
 def _digest(*parts: object) -> str:
@@ -51,7 +46,7 @@ def equality_probe(table: Table, path: str, column: str, rows: bool) -> Callable
     def probe(values: frozenset) -> dict[str, Scope]:
         if values not in known:
             wanted = F.expr(f"value IN ({', '.join(f'CAST({v} AS {kind})' for v in sorted(map(str, values)))})")
-            hit = table.spark.read.parquet(path).where(wanted)
+            hit = table.side(path).where(wanted)
             found: dict[str, Scope] = {}
             if rows:
                 per_file = hit.groupBy("file").agg(F.sum(F.size("rows")).alias("n")).collect()
@@ -61,7 +56,7 @@ def equality_probe(table: Table, path: str, column: str, rows: bool) -> Callable
                 else:
                     found = {r["file"]: WHOLE for r in per_file}
             else:
-                found = {r[0]: WHOLE for r in hit.select("file").distinct().collect()}
+                found = {r[0]: WHOLE for r in hit.select("file").collect()}  # a row for each file and value: no need to bring them together
             known[values] = found
         return known[values]
 
@@ -73,7 +68,7 @@ def term_probe(table: Table, path: str) -> Callable[[str], frozenset[str]]:
 
     def probe(term: str) -> frozenset[str]:
         if term not in known:
-            known[term] = frozenset(r[0] for r in table.spark.read.parquet(path).where(F.col("term") == term).select("file").distinct().collect())
+            known[term] = frozenset(r[0] for r in table.side(path).where(F.col("term") == term).select("file").collect())
         return known[term]
 
     return probe
@@ -87,7 +82,7 @@ def _dealt(table: Table, df: DataFrame, key: str, bytes: float) -> DataFrame:
 def build_index(table: Table, column: str, policy: str = "") -> Derived:
     """Which files hold each value: one column is read, nulls are skipped, each value stands once for a file."""
     id = piece_id("idx", table, column)
-    df = table.read().where(F.col(column).isNotNull()).select(F.col(column).alias("value"), file_column().alias("file")).distinct()
+    df = table.located().where(F.col(column).isNotNull()).select(F.col(column).alias("value"), F.col("_file").alias("file")).distinct()
     path, size = _side(table, _dealt(table, df, "value", table.bytes), id, policy)
     return Derived(id, table.name, table.current, Index(column, equality_probe(table, path, column, False), size, path), policy)
 
@@ -95,8 +90,7 @@ def build_index(table: Table, column: str, policy: str = "") -> Derived:
 def build_bitmap(table: Table, column: str, policy: str = "") -> Derived:
     """Which rows of each file hold each value, in runs of at most 65536 rows so that no row list grows without bound."""
     id = piece_id("bmp", table, column)
-    at = F.col("_metadata.row_index")
-    df = table.read().where(F.col(column).isNotNull()).select(F.col(column).alias("value"), file_column().alias("file"), at.alias("row"))
+    df = table.located().where(F.col(column).isNotNull()).select(F.col(column).alias("value"), F.col("_file").alias("file"), F.col("_row").alias("row"))
     df = df.groupBy("value", "file", F.shiftright("row", 16).alias("run")).agg(F.sort_array(F.collect_list("row")).alias("rows"))
     path, size = _side(table, _dealt(table, df, "value", table.bytes), id, policy)
     return Derived(id, table.name, table.current, Bitmap(column, equality_probe(table, path, column, True), size, path), policy)
@@ -118,7 +112,7 @@ def build_filter_set(table: Table, filter: Filter, condition: str, deterministic
     if not deterministic:
         raise NoAdvantage("the condition is volatile")
     id = piece_id("fset", table, _digest(filter.text))
-    hit = table.read().where(condition).select(file_column().alias("file"), F.col("_metadata.row_index").alias("row"))
+    hit = table.located().where(condition).select(F.col("_file").alias("file"), F.col("_row").alias("row"))
     rows = hit.groupBy("file", F.shiftright("row", 16).alias("run")).agg(F.sort_array(F.collect_list("row")).alias("rows"))
     path, size = _side(table, rows, id, policy)
     files = filter_files(table, path)
@@ -130,7 +124,7 @@ def build_filter_set(table: Table, filter: Filter, condition: str, deterministic
 
 
 def filter_files(table: Table, path: str) -> dict[str, Scope]:
-    stored = table.spark.read.parquet(path)
+    stored = table.side(path)
     per_file = stored.groupBy("file").agg(F.sum(F.size("rows")).alias("n")).collect()
     if sum(r["n"] for r in per_file) > ADMITTED_ROWS:
         return {r["file"]: WHOLE for r in per_file}
@@ -142,7 +136,7 @@ def build_text_index(table: Table, column: str, policy: str = "", ask: Matches |
     if table.schema[column].dataType.simpleString() != "string":
         raise ValueError("a text index is for string columns")
     id = piece_id("txt", table, column)
-    df = table.read().select(F.explode(F.array_distinct(F.expr(terms_sql(f"`{column}`")))).alias("term"), file_column().alias("file")).distinct()
+    df = table.located().select(F.explode(F.array_distinct(F.expr(terms_sql(f"`{column}`")))).alias("term"), F.col("_file").alias("file")).distinct()
     path, size = _side(table, _dealt(table, df, "term", table.bytes), id, policy)
     probe = term_probe(table, path)
     if ask and ask.terms and min(len(probe(t)) for t in ask.terms) >= len(table.live()):
@@ -228,7 +222,7 @@ def estimate_overlap(table: Table, column: str) -> float | None:
         return None
     chosen = sorted({i for p in (0, len(files) // 2, len(files) - 2) for i in (p, min(p + 1, len(files) - 1))})
     names = [bare(files[i].path) for i in chosen]
-    values = table.read(names).where(F.col(column).isNotNull()).select(file_column().alias("file"), F.col(column).alias("v")).distinct()
+    values = table.located(names).where(F.col(column).isNotNull()).select(F.col("_file").alias("file"), F.col(column).alias("v")).distinct()
     # a value is one row with the files (six at most) that hold it, so no file is joined to another
     held = values.groupBy("v").agg(F.collect_set("file").alias("files")).groupBy("files").count().collect()
     own = {f: sum(r["count"] for r in held if f in r["files"]) for f in names}

@@ -65,7 +65,7 @@ def _leaf(node, path: Path, tables: list[Table]) -> Leaf | None:
     if where is None:
         return None
     for t in tables:
-        if where.startswith(bare(t.root) + "/"):
+        if where.startswith(bare(t.root) + "/") or where in t.files:
             return Leaf(t, path, {a.exprId().id(): a.name() for a in seq(node.output())})
     return None
 

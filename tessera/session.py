@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from tessera.cost import CLOUD, Budget, BudgetExceeded, Cost, Meter, PriceTable, StorageFacts
 from tessera.functions import expand
 from tessera.model import Aggregate, AggFunc, JoinAsk, Matches, Nearest, Plan, Query, Reject, Scope, Substitute, Use
-from tessera.operators import _BARE, rolled_up
+from tessera.operators import rolled_up
 from tessera.plans import planio
 from tessera.plans.splice import shaped, spliced
 from tessera.rule import Composition, Derived, Registry
+from tessera.sources.cache import ScanCache
 from tessera.sources.tablelog import Table
 
 APPROXIMATE, STALE = "tessera.approximate", "tessera.stale"
@@ -52,16 +53,17 @@ class ScanReport:
     wait_s: float = 0.0
     usd: float = 0.0
     assumed: bool = False
+    cached: bool = False
 
 
 class Session:
     """Tables under names, one registry of derived state, and the settings of one reader."""
 
-    def __init__(self, spark: SparkSession, registry: Registry | None = None, policy: str = "", budget: Budget | None = None, prices: PriceTable = CLOUD, facts: StorageFacts | None = None, observe=None):
+    def __init__(self, spark: SparkSession, registry: Registry | None = None, policy: str = "", budget: Budget | None = None, prices: PriceTable = CLOUD, facts: StorageFacts | None = None, observe=None, cache: ScanCache | None = None):
         self.spark, self.registry, self.policy, self.prices = spark, registry or Registry(), policy, prices
         self.tables: dict[str, Table] = {}
         self.meter = Meter(budget, prices, spark.sparkContext.defaultParallelism)
-        self.facts, self.observe = facts or StorageFacts(), observe
+        self.facts, self.observe, self.cache = facts or StorageFacts(), observe, cache
         self.last_scan: list[ScanReport] = []
         self._lock = threading.RLock()
 
@@ -98,14 +100,13 @@ class Session:
         if not part or any(g is None for f in part for g in scopes[f].groups.values()):
             return table.read(scopes), False
         picked = table.spark.createDataFrame(rows, "file string, row bigint")
-        df = table.read(part).select("*", F.regexp_replace(F.col("_metadata.file_path"), _BARE, "").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-        some = df.join(F.broadcast(picked), (F.col("_file") == F.col("file")) & (F.col("_row") == F.col("row")), "left_semi").drop("_file", "_row")
+        some = table.located(part).join(F.broadcast(picked), (F.col("_file") == F.col("file")) & (F.col("_row") == F.col("row")), "left_semi").drop("_file", "_row")
         return (some.unionByName(table.read(whole)) if whole else some), True
 
     def _composed(self, leaf: planio.Leaf, c: Composition, report: ScanReport) -> DataFrame | None:
         table = leaf.table
         if c.substitute is not None:
-            df = self.spark.read.parquet(c.substitute.kind.path)
+            df = table.side(c.substitute.kind.path)
             report.substituted, report.used = True, c.used
             report.files_read, report.bytes_planned = len(c.also_scan), sum(table.files[f].bytes for f in c.also_scan) + c.substitute.kind.bytes
             report.also_scanned, report.missed = len(c.also_scan), c.missed
@@ -117,9 +118,20 @@ class Session:
             return df
         if c.files is None or not c.used:
             return None
-        df, report.row_scoped = self._scoped(table, c.files)
+        if self.cache is not None and all(x.whole for x in c.files.values()):
+            df = self._cached(table, c.files, report)
+        else:
+            df, report.row_scoped = self._scoped(table, c.files)
         report.used, report.files_read = c.used, len(c.files)
-        report.bytes_planned = sum(self._bytes(table, f, report.columns) for f in c.files)
+        if not report.cached:
+            report.bytes_planned = sum(self._bytes(table, f, report.columns) for f in c.files)
+        return df
+
+    def _cached(self, table: Table, files, report: ScanReport) -> DataFrame:
+        hits = self.cache.hits
+        df = self.cache.read(table, files, report.columns) if files else table.read(())
+        if self.cache.hits > hits:
+            report.cached, report.bytes_planned = True, 0
         return df
 
     def _bytes(self, table: Table, file: str, columns: frozenset[str]) -> int:
@@ -192,7 +204,8 @@ class Session:
                 r, q = reports[leaf.path], self.query_of(leaf, **({"nearest": reports[leaf.path].nearest} if reports[leaf.path].nearest else {}), **({"aggregate": reports[leaf.path].aggregate} if reports[leaf.path].aggregate else {}))
                 other = self._composed(leaf, self.registry.compose(Query(**(q.__dict__ | {"aggregate": None, "nearest": None, "join": None})), leaf.table.graph), r)
                 if other is None and bare_shapes:
-                    other = leaf.table.read()
+                    files = leaf.table.graph.get(leaf.table.current).files
+                    other = leaf.table.read() if self.cache is None else self._cached(leaf.table, files, r)
                 if other is not None:
                     swaps.append((leaf.path, shaped(other, planio.at(plan, leaf.path))))
             self.last_scan = list(reports.values())
@@ -236,7 +249,7 @@ class Session:
             if not (hit := self._serving(query, leaf, lambda p, d: isinstance(d, Use) and isinstance(d.rewrite, Substitute) and d.rewrite.rollup is not None)):
                 continue
             piece, decision = hit
-            rows = self.spark.read.parquet(piece.kind.path)
+            rows = leaf.table.side(piece.kind.path)
             for f in decision.rewrite.rollup.again:
                 rows = rows.where(self._condition(f))
             columns = [rolled_up(m).alias(f"m{i}") for i, m in enumerate(ask.aggregate.measures)]
@@ -261,7 +274,7 @@ class Session:
         piece, decision = hit
         r = reports[leaf.path]
         r.used, r.substituted, r.files_read, r.bytes_planned, r.missed = [piece.id], True, 0, piece.kind.bytes, getattr(decision, "missed", frozenset())
-        swaps.append((leaf.path, shaped(self.spark.read.parquet(piece.kind.path), planio.at(plan, leaf.path))))
+        swaps.append((leaf.path, shaped(leaf.table.side(piece.kind.path), planio.at(plan, leaf.path))))
         return leaf.path
 
     def _nearest(self, plan, found, calls, reports, swaps):

@@ -19,6 +19,10 @@ from pyspark.sql.types import StructType
 from tessera.model import Commits, Diff, Snapshot, SnapshotGraph
 
 
+#: What bare() takes off, for Spark.
+BARE = r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
+
+
 def bare(path: str) -> str:
     """A path without scheme and authority: what identifies a file."""
     u = urlparse(path)
@@ -45,14 +49,17 @@ class Store:
         if not fs.rename(tmp, p):
             raise OSError(f"cannot put {path} in place")
 
-    def read(self, path: str) -> str:
+    def read_bytes(self, path: str) -> bytes:
         p, fs = self._fs(path)
         f = fs.open(p)
         try:
-            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(f)).decode()
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(f))
         finally:
             f.close()
 
+    def read(self, path: str) -> str:
+        return self.read_bytes(path).decode()
+
     def exists(self, path: str) -> bool:
         p, fs = self._fs(path)
         return fs.exists(p)
@@ -130,6 +137,8 @@ class Table:
         self.files: dict[str, DataFile] = {}
         self.id, self.schema, self.current = uuid.uuid4().hex, StructType(), None
         self.fields: dict[str, int] = {}
+        self._sides: dict[str, StructType] = {}
+        self._shaped = False
 
     # reading the log
 
@@ -163,14 +172,25 @@ class Table:
         """A scan of some files, or of all that live; of none, an empty relation of the same shape."""
         paths = [f.path for f in self.live(snapshot)] if files is None else [self.files[f].path for f in sorted(files)]
         if not paths:
-            return self.spark.createDataFrame([], self.schema)
+            return self.shape()
         return self.spark.read.schema(self.schema).parquet(*paths)
 
+    def located(self, files: Iterable[str] | None = None) -> DataFrame:
+        """A scan with each row's file and place in it, as _file and _row."""
+        return self.read(files).select("*", F.regexp_replace("_metadata.file_path", BARE, "").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+    def side(self, path: str) -> DataFrame:
+        """A side table; its schema is read from the footers once."""
+        if path not in self._sides:
+            self._sides[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._sides[path]).parquet(path)
+
     def shape(self) -> DataFrame:
         """No rows, under the table's root: what a name is bound to while a query is planned, so that planning looks at no data file."""
         path = f"{self.root}/shape"
-        if not self.store.exists(f"{path}/_SUCCESS"):
+        if not self._shaped and not self.store.exists(f"{path}/_SUCCESS"):
             self.spark.createDataFrame([], self.schema).coalesce(1).write.mode("overwrite").parquet(path)
+        self._shaped = True
         return self.spark.read.schema(self.schema).parquet(path)
 
     # writing

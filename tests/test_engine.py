@@ -13,6 +13,7 @@ from tessera.cost import Budget, BudgetExceeded
 from tessera.functions import expand, terms
 from tessera.model import AggFunc, Aggregate, Filter, Measure, Metric, Plan
 from tessera.session import APPROXIMATE, STALE, Session
+from tessera.sources.cache import ScanCache
 from tessera.sources.tablelog import Table, bare
 
 
@@ -106,7 +107,7 @@ def test_stored_rows_and_residual(made):
     t.append(s.spark.sql("SELECT 1L AS user, 5000L AS n, 't2' AS kind, 'new' AS body UNION ALL SELECT 1L, 5001L, 't1', 'x'").coalesce(1))
     r = same(s, sql)
     assert r.substituted and r.also_scanned == 1 and 5000 in [x["n"] for x in s.sql(sql).collect()]
-    t.delete_where("n = 5000")
+    t.delete_where("n = 2")
     r = same(s, sql)
     assert not r.substituted and "subtractive change" in r.refused.values()
 
@@ -227,3 +228,26 @@ def test_subqueries_and_unions_still_answer(made):
     s.registry.register(ops.build_index(t, "user"))
     for sql in ("SELECT n FROM ev WHERE n = (SELECT max(n) FROM ev WHERE user = 3)", "SELECT n FROM ev WHERE user = 1 UNION ALL SELECT n FROM ev WHERE user = 2", "WITH x AS (SELECT * FROM ev WHERE user = 2) SELECT count(*) AS c FROM x WHERE n % 2 = 0", "SELECT user, rank() OVER (PARTITION BY kind ORDER BY n) AS r FROM ev WHERE user = 4"):
         same(s, sql)
+
+
+def test_a_repeated_scan_reads_nothing(made):
+    s, t = made
+    c = Session(s.spark, registry=s.registry, cache=ScanCache(1 << 20))
+    c.attach(t)
+    s.registry.register(ops.build_index(t, "user"))
+    for sql in ("SELECT n FROM ev WHERE user = 3", "SELECT sum(n) AS s FROM ev"):
+        first = sorted(map(tuple, c.sql(sql).collect()))
+        origin = c.cache.origin_bytes
+        for f in t.live():
+            os.rename(bare(f.path), bare(f.path) + ".away")
+        assert sorted(map(tuple, c.sql(sql).collect())) == first
+        assert c.last_scan[0].cached and c.cache.origin_bytes == origin
+        for f in t.live():
+            os.rename(bare(f.path) + ".away", bare(f.path))
+    held = len(c.cache.held)
+    t.compact([bare(f.path) for f in t.live()[:2]])
+    c.cache.forget(t)
+    assert len(c.cache.held) < held
+    tiny = ScanCache(1)
+    tiny.read(t, [bare(t.live()[0].path)], ["n"])
+    assert tiny.bytes == 0
