@@ -4,7 +4,8 @@
    SEQUENCE ids; the last of a partition is filled with end-of-text ids. Sequences are written with their place in the partition.
 2. Counts by partition give each sequence a dense index. A keyed Feistel network over the next even power of two permutes the
    indices; a value beyond the last index walks the cycle until it lies within. So every sequence gets one global slot, no two the same, with
-   no sort and no table of slots, and the order of training is a key.
+   no sort and no table of slots, and the order of training is a key. On their way sequences are compressed with a dictionary that the
+   driver trains on DICTIONARY_ROWS rows at most; it changes no result, and a poor one costs only space.
 3. Slot ranges of SHARD_ROWS go to one task each, which writes them in order with a fixed stride: slot s is at byte
    (s mod SHARD_ROWS) * stride of shard s div SHARD_ROWS. A reader that stopped after slot s goes on by one seek.
 
@@ -30,6 +31,7 @@ from tessera.llm.files import WholeFile, open_read
 
 SEQUENCE, SHARD_ROWS = 1024, 8192
 ROUNDS = 6
+DICTIONARY_ROWS, DICTIONARY_BYTES = 1000, 1 << 17
 KEY = 0x5DEECE66D
 
 _SEQUENCES = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("packed", T.BinaryType())])
@@ -57,7 +59,24 @@ class Vocabulary:
         return tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def sequences(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def dictionary(docs: DataFrame, vocabulary: Vocabulary) -> bytes:
+    """For compressing single sequences; empty if there are too few to learn from."""
+    encode, ids = vocabulary.encoding().encode_ordinary, []
+    for (text,) in docs.select(F.substring(no_null_text("text"), 1, 1 << 14)).take(DICTIONARY_ROWS):
+        ids += encode(text)
+    stream = np.array(ids, vocabulary.kind)
+    samples = [stream[i : i + SEQUENCE].tobytes() for i in range(0, len(stream) - SEQUENCE, SEQUENCE)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 100 else b""
+    except zstandard.ZstdError:
+        return b""
+
+
+def _known(data: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(data) if data else None
+
+
+def sequences(docs: DataFrame, vocabulary: Vocabulary, known: bytes = b"") -> DataFrame:
     """part, at (place in the partition), n_tokens, doc_ids (documents that begin or go on in it), packed."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -66,7 +85,7 @@ def sequences(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
         v = shared.value
         encode = v.encoding().encode_ordinary
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=9, dict_data=_known(known)).compress
         part, at = TaskContext.get().partitionId(), 0
         held, have, docs_held = [], 0, []
 
@@ -126,7 +145,8 @@ def permuted(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 def materialised(docs: DataFrame, vocabulary: Vocabulary, key: int = KEY) -> DataFrame:
     """Writes the shards; slot, shard, byte_offset, n_tokens, doc_ids, ids_sha256, path for each sequence."""
     spark = docs.sparkSession
-    held = written(sequences(docs, vocabulary), "sequences")
+    known = dictionary(docs, vocabulary)
+    held = written(sequences(docs, vocabulary, known), "sequences")
     sizes = held.groupBy("part").agg(F.count("*").alias("n"))
     starts = written(sizes.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("start"), "n"), "starts")
     total = starts.agg(F.sum("n")).first()[0] or 0
@@ -145,7 +165,7 @@ def materialised(docs: DataFrame, vocabulary: Vocabulary, key: int = KEY) -> Dat
     stride = SEQUENCE * np.dtype(kind).itemsize
 
     def rows(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
-        unpack = zstandard.ZstdDecompressor().decompress
+        unpack = zstandard.ZstdDecompressor(dict_data=_known(known)).decompress
         shard, out_file, waiting = -1, None, []
 
         def closed() -> list[tuple]:
