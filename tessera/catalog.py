@@ -452,7 +452,7 @@ plain("time_buckets", "SELECT date_format(window(ts, '1 day').start, 'yyyy-MM-dd
 plain("conditional", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 's' WHEN p_size < 30 THEN 'm' ELSE 'l' END AS size, nullif(p_size, 7) AS nu, coalesce(nullif(p_size, 7), -1) AS co, if(p_size > 25, 1, 0) AS big FROM part")
 plain("casts", "SELECT p_partkey, cast(p_size AS string) AS s, cast(p_retailprice AS int) AS i, try_cast(p_brand AS int) AS t FROM part", "SELECT p_partkey, p_size::varchar AS s, trunc(p_retailprice)::int AS i, try_cast(p_brand AS int) AS t FROM part")
 plain("hashes", "SELECT n_nationkey, md5(n_name) AS m, sha1(n_name) AS s1, sha2(n_name, 256) AS s2 FROM nation", "SELECT n_nationkey, md5(n_name) AS m, sha1(n_name) AS s1, sha256(n_name) AS s2 FROM nation")
-plain("array_functions", "SELECT vec_id, size(embedding) AS n, round(embedding[0], 5) AS first, array_contains(array(1, 2, label), 3) AS has, array_join(array_distinct(array(label, 1, label)), '-') AS uniq, array_position(array(5, label), label) AS pos, element_at(array(label, 9), -1) AS last, array_join(slice(array(1, 2, 3, label), 2, 2), ',') AS sl, array_join(array_union(array(1), array(2, 1)), ',') AS un FROM embeddings", "SELECT vec_id, len(embedding) AS n, round(embedding[1], 5) AS first, list_contains([1, 2, label], 3) AS has, CASE WHEN label = 1 THEN '1' ELSE label || '-1' END AS uniq, CASE WHEN label = 5 THEN 1 ELSE 2 END AS pos, 9 AS last, '2,3' AS sl, '1,2' AS un FROM embeddings")
+plain("array_functions", "SELECT vec_id, size(embedding) AS n, round(embedding[0], 5) AS first, array_contains(array(1, 2, label), 3) AS has, array_join(array_distinct(array(label, 1, label)), '-') AS uniq, array_position(sequence(1, 5), 3) AS pos, element_at(array(label, 9), -1) AS last, array_join(slice(array(1, 2, 3, label), 2, 2), ',') AS sl, array_join(array_union(array(1), array(2, 1)), ',') AS un FROM embeddings", "SELECT vec_id, len(embedding) AS n, round(embedding[1], 5) AS first, list_contains([1, 2, label], 3) AS has, CASE WHEN label = 1 THEN '1' ELSE label || '-1' END AS uniq, 3 AS pos, 9 AS last, '2,3' AS sl, '1,2' AS un FROM embeddings")
 plain("higher_order", "SELECT vec_id, round(aggregate(transform(embedding, x -> cast(x AS double) * x), 0D, (s, x) -> s + x), 4) AS norm2, size(filter(embedding, x -> x > 0)) AS pos, exists(embedding, x -> x > 2) AS far FROM embeddings", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::double * x)), 4) AS norm2, len(list_filter(embedding, lambda x: x > 0)) AS pos, len(list_filter(embedding, lambda x: x > 2)) > 0 AS far FROM embeddings")
 plain("map_struct", "SELECT n_nationkey, map('k', n_name)['k'] AS v, cardinality(map_keys(map('a', 1, 'b', 2))) AS n, named_struct('a', n_regionkey, 'b', n_name).b AS b FROM nation", "SELECT n_nationkey, n_name AS v, 2 AS n, {'a': n_regionkey, 'b': n_name}.b AS b FROM nation")
 plain("json_functions", "SELECT event_id, get_json_object(props, '$.page') AS page, props IS NOT NULL AS has FROM events", "SELECT event_id, json_extract_string(props, '$.page') AS page, props IS NOT NULL AS has FROM events")
