@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import NOT_SPACE, arrow_rows, no_null_text, shingle_hashes, word_hashes, written
+from tessera.llm.common import NOT_SPACE, arrow_rows, dropped, no_null_text, shingle_hashes, word_hashes, written
 
 BANDS, ROWS_PER_BAND = 32, 5
 SAMPLES = BANDS * ROWS_PER_BAND
@@ -162,7 +162,9 @@ def components(edges: DataFrame) -> DataFrame:
         step = label.join(near, "node").select("node", "comp", F.least("comp", "c").alias("c"))
         jump = step.join(label.select(F.col("node").alias("c"), F.col("comp").alias("cc")), "c", "left").select("node", F.col("comp").alias("was"), F.least("c", F.coalesce("cc", "c")).alias("comp"))
         nxt = written(jump, "labels")
+        dropped(label)
         if nxt.where("comp <> was").isEmpty():
+            dropped(both)
             return nxt.select("node", "comp")
         label = nxt.select("node", "comp")
 
@@ -175,7 +177,9 @@ def _relabelled(label: DataFrame | None, links: DataFrame) -> DataFrame:
     between = of("a").select("b", F.coalesce("ca", "a").alias("ca")).join(label.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left").select(F.col("ca").alias("a"), F.coalesce("cb", "b").alias("b"))
     joined = components(between)
     old = label.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("new")), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"))
-    return written(old.unionByName(joined.join(label.select("node"), "node", "left_anti")).groupBy("node").agg(F.min("comp").alias("comp")), "labels")
+    out = written(old.unionByName(joined.join(label.select("node"), "node", "left_anti")).groupBy("node").agg(F.min("comp").alias("comp")), "labels")
+    dropped(joined, label)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -192,7 +196,8 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     crowded = keys.groupBy("key").count().where("count > 1").select("key")
     postings = written(keys.join(crowded, "key", "left_semi").join(nodes.select("node", "rep", "n", "sketch"), "node"), "postings")
     label: DataFrame | None = None
-    tested: DataFrame | None = None
+    sets: DataFrame | None = None
+    tested: list[DataFrame] = []
     n_links = 0
     if not postings.isEmpty():
         # the full sets of all nodes that share a key with another, made once
@@ -214,7 +219,7 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
         if last:
             open_keys = here.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
             # as columns of their own the sketches' parts are read without unpacking an array for each pair
-            here = written(here.join(open_keys, "key", "left_semi").join(nodes.select("node", "bands"), "node").select("key", "band", "node", "n", "comp", *(F.col("bands")[i].alias(f"k{i}") for i in range(BANDS)), *(x.alias(f"s{i}") for i, x in enumerate(_longs("sketch")))), "open")
+            here = opened = written(here.join(open_keys, "key", "left_semi").join(nodes.select("node", "bands"), "node").select("key", "band", "node", "n", "comp", *(F.col("bands")[i].alias(f"k{i}") for i in range(BANDS)), *(x.alias(f"s{i}") for i, x in enumerate(_longs("sketch")))), "open")
             side = lambda p: [F.col(f"{p}.s{i}") for i in range(SKETCH_LONGS)]
             a, b = here.alias("x"), here.alias("y")
             cond = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.node") < F.col("y.node"))
@@ -230,16 +235,19 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
             met = here.join(pivots, "key").where((F.col("comp") != F.col("ca")) & may_be_similar(F.col("n"), F.col("na"), _longs("sketch"), _longs("ska"), percent))
             found = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
         found = found.distinct()
-        if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
+        for old in tested:
+            found = found.join(old, ["a", "b"], "left_anti")
         found = written(found, "pairs")
         links = written(_confirmed(found, sets, percent), "links")
-        tested = found if tested is None else tested.union(found)
+        tested.append(found)
         n_links = links.count()
         if n_links:
             label = _relabelled(label, links)
+        dropped(links)
         if last:
+            dropped(opened)
             break
+    dropped(postings, *([sets] if sets is not None else []), *tested)
     of_node = nodes.select("node", "rep", "copies")
     if label is None:
         named = of_node.where("copies > 1").select("node", F.col("rep").alias("least"), F.lit(None).cast("binary").alias("comp"))
