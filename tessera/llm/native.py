@@ -28,15 +28,22 @@ def marked_spans(text: Column, head: str, value: str) -> Column:
     marked = F.regexp_replace(text, F.lit(f"({head})({value})"), F.lit("\x01$1\x02$2\x01"))
     empty = F.expr(f"cast(array() as array<{_SPAN}>)")
 
-    def found(m: Column) -> Column:
-        start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("inside"), empty.alias("spans"))
+    def spans(pieces: Column) -> Column:
+        # places are gathered as text: a state that holds an array would be cast element by element at each step
+        start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("inside"), F.lit("").alias("out"))
 
         def step(s: Column, piece: Column) -> Column:
             stop = s["pos"] + F.length(piece) - F.when(s["inside"], 1).otherwise(0)
-            span = F.struct(s["pos"].alias("start"), stop.alias("end"), F.substring_index(piece, "\x02", -1).alias("value"))
-            return F.struct(stop.alias("pos"), (~s["inside"]).alias("inside"), F.when(s["inside"], F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"))
+            place = F.when(s["inside"], F.concat(s["pos"].cast("string"), F.lit(":"), stop.cast("string"), F.lit(";"))).otherwise("")
+            return F.struct(stop.alias("pos"), (~s["inside"]).alias("inside"), F.concat(s["out"], place).alias("out"))
+
+        values = F.filter(pieces, lambda p, i: i % 2 == 1)
+        places = F.slice(F.split(F.aggregate(pieces, start, step, lambda s: s["out"]), ";"), 1, F.size(values))
+        both = F.zip_with(places, values, lambda p, v: F.struct(F.substring_index(p, ":", 1).cast("int").alias("start"), F.substring_index(p, ":", -1).cast("int").alias("end"), F.substring_index(v, "\x02", -1).alias("value")))
+        return both.cast(f"array<{_SPAN}>")
 
-        return F.when(F.instr(m, "\x01") > 0, F.aggregate(F.split(m, "\x01"), start, step, lambda s: s["spans"])).otherwise(empty)
+    def found(m: Column) -> Column:
+        return F.when(F.instr(m, "\x01") > 0, let(F.split(m, "\x01"), spans)).otherwise(empty)
 
     return let(marked, found)
 

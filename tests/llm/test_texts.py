@@ -238,6 +238,7 @@ def test_secrets(spark, odd, none):
     r = random.Random(8)
     bits = ["token", "password=", "API_KEY : ", "secret:", "'", '"', " = ", "AKIA", "ABCDEFGH12345678", "deadbeef" * 4, "é", "\x01", "x.y=z", "\n", "short", "passwd"]
     rows = [(100 + i, "".join(r.choice(bits) for _ in range(r.randint(0, 14))), f"s{i % 4}") for i in range(300)]
+    rows.append((999, "token=abcdefgh12 " * 3000 + ("f" * 31 + " ") * 3000, "s1"))
     docs = odd.unionByName(spark.createDataFrame(rows, "doc_id long, text string, source string"), allowMissingColumns=True)
     got = secrets.report(docs, F.col("source"), F.col("lang")).collect()
     want = Counter()
