@@ -1,10 +1,13 @@
 """Main text of web pages by consensus paths of their hosts.
 
-1. Every page's containers are scored by the text of their blocks, less links and boilerplate. The page votes for the path of its best
-   container: the tags and generalised classes from the body down to it.
-2. Spark counts the votes by host and path (partial counts before the shuffle) and takes each host's winner.
-3. Every page is read again with its host's winning path. A page without a container there, or whose container there holds
-   little of what its own best one holds, uses its own best container.
+1. Every page's containers are scored by the text of their blocks, less links and boilerplate. The score only tells where the article
+   lies: the region around the best container is the outermost article about it, else its main, else the container, and from there
+   the highest ancestor (up to the main, or the body where there is neither) that has text of its own. The page votes for the region's
+   path: the tags and generalised classes from the body down to it. The regions that it would choose beside that one are passed over.
+2. Spark counts the votes by host and path (partial counts before the shuffle) and takes each host's winner; paths that more pages
+   passed over than chose are the host's noise.
+3. Every page is read again with its host's winning path. All text that is not boilerplate is given below all containers on that path
+   and below the page's own region, unless that region is the host's noise and something is on the winning path.
 
 The winners (one short row a host) go to all tasks only if there are at most BROADCAST_HOSTS, else they are joined by shuffle.
 
@@ -16,7 +19,7 @@ the path that sorts first. Texts are never cut. Empty tables give no rows; other
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 from pyspark.sql import Column, DataFrame
@@ -26,8 +29,6 @@ from pyspark.sql import types as T
 from tessera.llm.common import arrow_rows, no_null_text, written
 
 BROADCAST_HOSTS = 50_000
-#: A container on the winning path must hold this share of the text of the page's own best.
-LEAST_SHARE = 0.25
 
 # Kinds of elements and the words in classes and ids that mark boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,6 +37,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CONTAINERS = frozenset("article body center div main section table tbody td tr".split())
 DROPPED = frozenset("script style title textarea iframe noframes xmp noembed head noscript template nav aside footer form button select option input svg canvas dialog menu object embed audio video".split())
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus footer footers footnav gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related reply replies respond share sharing shoutbox sidebar sidebars signup skip social sponsor sponsored subscribe tags toolbar toc widget widgets".split())
+HEADS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 GOOD = frozenset("article body content entry main post story text".split())
 #: What a start tag closes: an open element of these names, unless one of the others lies between.
 CLOSES = {
@@ -52,11 +54,11 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("bad", "best", "link", "name", "parent", "path", "score", "text")
+    __slots__ = ("bad", "best", "link", "name", "own", "parent", "path", "score", "text")
 
     def __init__(self, name: str, parent: Node | None, path: str, bad: bool, link: bool, good: bool):
         self.name, self.parent, self.path, self.bad, self.link = name, parent, path, bad, link
-        self.score, self.text = 0.0, 0
+        self.score, self.text, self.own = 0.0, 0, False  # own: has text outside of inner containers
         self.best = 1.25 if good else 1.0
 
 
@@ -185,6 +187,8 @@ def parsed(html: str) -> Page:
         up: Node | None = node
         while up is not None:
             if up.name in CONTAINERS:
+                if share == 1.0 and worth and (up is not page.root or node.name in HEADS):
+                    up.own = True
                 up.score += worth * share * up.best
                 up.text += len(text)
                 share /= 2
@@ -196,6 +200,48 @@ def best(page: Page) -> Node:
     return max(page.containers, key=lambda c: c.score)
 
 
+def region(node: Node) -> Node:
+    """What belongs to the container node: its outermost article or main, and up to the highest ancestor with text of its own."""
+    above: list[Node] = []
+    up: Node | None = node
+    while up is not None:
+        if up.name in CONTAINERS:
+            above.append(up)
+        up = up.parent
+    mains = [i for i, c in enumerate(above) if c.name == "main"]
+    articles = [i for i, c in enumerate(above) if c.name == "article"]
+    at = articles[-1] if articles else mains[-1] if mains else 0
+    top = max(at, *mains) if mains else at if articles else len(above) - 1
+    return above[next((i for i in range(top, at, -1) if above[i].own), at)]
+
+
+def alike(page: Page, top: Node) -> list[Node]:
+    """top, the containers on its path, and where it is an article those beside it."""
+    return [c for c in page.containers if c is top or c.text and (c.path == top.path or c.name == top.name == "article" and c.parent is top.parent)]
+
+
+def passed_over(page: Page, top: Node) -> set[str]:
+    """Paths of the regions that the page would choose in each part beside top."""
+    chain, up = set(), top.parent
+    while up is not None:
+        chain.add(id(up))
+        up = up.parent
+    chosen = set(map(id, alike(page, top)))
+    parts: dict[int, Node | None] = {}  # of each container, the highest above it that is not above top; None within top
+    loudest: dict[int, Node] = {}
+    for c in page.containers:
+        if id(c) in chain:
+            continue
+        up = c.parent
+        while up is not None and id(up) not in parts and id(up) not in chain:
+            up = up.parent
+        part = None if id(c) in chosen else parts[id(up)] if up is not None and id(up) in parts else c
+        parts[id(c)] = part
+        if part is not None and c.text and (id(part) not in loudest or c.score > loudest[id(part)].score):
+            loudest[id(part)] = c
+    return {r.path for r in map(region, loudest.values()) if id(r) not in chain and r.path != top.path}
+
+
 def text_under(page: Page, tops: list[Node]) -> str:
     chosen = set(map(id, tops))
     out = []
@@ -209,59 +255,64 @@ def text_under(page: Page, tops: list[Node]) -> str:
     return "\n\n".join(out)
 
 
-def main_text(html: str, path: str | None) -> str:
-    """The text of the containers on path; of the page's own best one where path doesn't serve."""
+def main_text(html: str, path: str | None, noise: Iterable[str] = ()) -> str:
+    """The text below the containers on path and below the page's own region, the latter not if it is noise beside them."""
     page = parsed(html)
-    own = best(page)
+    own = region(best(page))
     there = [c for c in page.containers if c.path == path and c.text]
-    if there:
-        most = max(c.score for c in there)
-        there = [c for c in there if c.score >= 0.25 * most]
-        if sum(c.text for c in there) >= LEAST_SHARE * own.text:
-            return text_under(page, there)
-    return text_under(page, [own])
+    if there and own.path in noise:
+        return text_under(page, there)
+    return text_under(page, [*there, *alike(page, own)])
 
 
 def host() -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-_VOTE = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("chars", T.LongType())])
+_VOTE = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("chars", T.LongType()), T.StructField("voted", T.IntegerType())])
 _TEXT = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
 
-def votes(pages: DataFrame) -> DataFrame:
-    """host, path, chars: one vote a page with text."""
+def _seen(pages: DataFrame) -> DataFrame:
+    """host, path, chars, voted: of each page with text its vote (1), and the paths that it passed over (0)."""
 
     def rows(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
         for hosts, htmls in batches:
             out = []
             for h, html in zip(hosts, htmls):
-                c = best(parsed(html))
+                page = parsed(html)
+                c = region(best(page))
                 if c.text:
-                    out.append((h, c.path, c.text))
+                    out.append((h, c.path, c.text, 1))
+                    out += [(h, path, 0, 0) for path in passed_over(page, c)]
             yield out
 
     return arrow_rows(pages.select(host().alias("host"), no_null_text("html")), _VOTE, rows)
 
 
+def votes(pages: DataFrame) -> DataFrame:
+    """host, path, chars: one vote a page with text."""
+    return _seen(pages).where("voted = 1").select("host", "path", "chars")
+
+
 def winners(pages: DataFrame) -> DataFrame:
-    """host, path: the path with most votes of each host."""
-    counted = votes(pages).groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
-    return counted.groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("chars")).alias("chars"), "path")).alias("w")).select("host", F.col("w.path").alias("path"))
+    """host, path, noise: the path with most votes of each host, and those with votes that more pages passed over."""
+    counted = _seen(pages).groupBy("host", "path").agg(F.sum("voted").alias("n"), F.sum("chars").alias("chars"), F.count("*").alias("seen")).where("n > 0")
+    first = F.min(F.struct((-F.col("n")).alias("n"), (-F.col("chars")).alias("chars"), "path"))
+    return counted.groupBy("host").agg(first.alias("w"), F.collect_list(F.when(F.col("seen") > 2 * F.col("n"), F.col("path"))).alias("noise")).select("host", F.col("w.path").alias("path"), "noise")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
     won = written(winners(pages), "paths")
     won = F.broadcast(won) if won.count() <= BROADCAST_HOSTS else won
-    rows_in = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), no_null_text("html"), host().alias("host")).join(won, "host", "left").select("page_id", "url", "html", "path")
+    rows_in = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), no_null_text("html"), host().alias("host")).join(won, "host", "left").select("page_id", "url", "html", "path", "noise")
 
     def rows(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
         for columns in batches:
             out = []
-            for page_id, url, html, path in zip(*columns):
-                text = main_text(html, path)
+            for page_id, url, html, path, noise in zip(*columns):
+                text = main_text(html, path, noise or ())
                 out.append((page_id, url, text, len(text)))
             yield out
 

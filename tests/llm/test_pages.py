@@ -53,6 +53,32 @@ def test_consensus_overrules_a_page(spark):
     assert got[9].startswith("short main") and "noise" not in got[9]
 
 
+WORDS = "many words of the article itself " * 12
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<article><h1>Title</h1><p>intro</p><div class=entry-content>{WORDS}</div></article>", f"Title\n\nintro\n\n{WORDS.strip()}"),
+        (f"<div class=post><h1>Title</h1><p>intro</p><div class=entry-content>{WORDS}</div></div>", f"Title\n\nintro\n\n{WORDS.strip()}"),
+        (f"<main><h1>Title</h1><div class=row><article><p>{WORDS}</article></div></main><div>beside</div>", f"Title\n\n{WORDS.strip()}"),
+        (f"<article class=first><p>short one</article><article class=second><p>{WORDS}</article>", f"short one\n\n{WORDS.strip()}"),
+        (f"<article><div class=a><p>{WORDS}</div><div class=b><p>end</div></article>", f"{WORDS.strip()}\n\nend"),
+    ],
+)
+def test_whole_article(html, text):
+    """No score keeps a title, an introduction or a shorter part from the article."""
+    assert html_text.main_text(html, None) == text
+
+
+def test_short_and_long_parts_on_the_hosts_path(spark):
+    """Containers on the host's path are all given; an own region that the host does not know as noise comes too."""
+    rows = [(i, "http://h.com/1", f"<div class=a><p>{WORDS}</div>") for i in range(3)]
+    rows += [(7, "http://h.com/2", f"<div class=a><p>{WORDS}</div><div class=a><p>end</div>"), (8, "http://h.com/3", f"<div class=a><p>{WORDS}</div><div class=other><p>{WORDS * 3}</div>")]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[7] == f"{WORDS.strip()}\n\nend" and got[8] == f"{WORDS.strip()}\n\n{(WORDS * 3).strip()}"
+
+
 def test_pages(pages, odd_pages, spark):
     got = {r["page_id"]: r for r in html_text.extract(pages).collect()}
     for r in pages.collect():
