@@ -6,6 +6,8 @@
    path: the tags and generalised classes from the body down to it. The regions that it would choose beside that one are passed over.
 2. Spark counts the votes by host and path (partial counts before the shuffle) and takes each host's winner; paths that more pages
    passed over than chose are the host's noise.
+   Elements of boilerplate tags are left out. A word that marks boilerplate in a class, id, role or itemprop leaves an element out unless
+   it holds the article: see settled().
 3. Every page is read again with its host's winning path. All text that is not boilerplate is given below all containers on that path
    and below the page's own region, unless that region is the host's noise and something is on the winning path.
 
@@ -37,6 +39,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CONTAINERS = frozenset("article body center div main section table tbody td tr".split())
 DROPPED = frozenset("script style title textarea iframe noframes xmp noembed head noscript template nav aside footer form button select option input svg canvas dialog menu object embed audio video".split())
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus footer footers footnav gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related reply replies respond share sharing shoutbox sidebar sidebars signup skip social sponsor sponsored subscribe tags toolbar toc widget widgets".split())
+NOT_MARKED = frozenset("has no with without".split())
 HEADS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 GOOD = frozenset("article body content entry main post story text".split())
 #: What a start tag closes: an open element of these names, unless one of the others lies between.
@@ -54,67 +57,63 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("bad", "best", "link", "name", "own", "parent", "path", "score", "text")
+    __slots__ = ("bad", "best", "good", "link", "mark", "name", "out", "own", "parent", "path", "score", "text")
 
-    def __init__(self, name: str, parent: Node | None, path: str, bad: bool, link: bool, good: bool):
+    def __init__(self, name: str, parent: Node | None, path: str, bad: bool, link: bool, good: bool, marked: bool = False):
+        self.good, self.out = good, False  # out: a marked element that is boilerplate; mark: the innermost marked element about it
+        self.mark: Node | None = self if marked else parent.mark if parent is not None else None
         self.name, self.parent, self.path, self.bad, self.link = name, parent, path, bad, link
         self.score, self.text, self.own = 0.0, 0, False  # own: has text outside of inner containers
         self.best = 1.25 if good else 1.0
 
 
 class Page:
-    """Blocks of text in page order, each with its node; the scored containers."""
+    """Blocks of text in page order, each with its node; the scored containers; the marked elements in page order."""
 
-    __slots__ = ("blocks", "containers", "root")
+    __slots__ = ("blocks", "containers", "marked", "pieces", "root")
 
     def __init__(self) -> None:
         self.root = Node("body", None, "body", False, False, False)
         self.blocks: list[tuple[Node, str, int]] = []  # node, text, characters within links
         self.containers = [self.root]
+        self.marked: list[Node] = []
+        self.pieces: list[tuple[Node, list[tuple[Node, str]]]] = []  # node, text as it stands in the elements
 
 
 def _described(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """Generalised tag-class name, whether it marks boilerplate, whether it marks content."""
-    bad, good, shown = name in DROPPED, name in ("article", "main"), name
+    """Generalised tag-class name, whether a word marks boilerplate, whether one marks content."""
+    marked, good, shown = False, name in ("article", "main"), name
     if "=" in attributes:
         for key, *values in _CLASS.findall(attributes):
             value = next(filter(None, values), "")
             words = [w.lower() for w in _WORD.findall(value)]
-            if any(w in MARKS for w in words):
-                bad = True
+            if any(w in MARKS and (i == 0 or words[i - 1] not in NOT_MARKED) for i, w in enumerate(words)):
+                marked = True
             elif any(w in GOOD for w in words):
                 good = True
             if key.lower() == "class":
                 shown += "." + "-".join(w if w.isalpha() else "N" for w in words)
-    return shown, bad, good
+    return shown, marked, good
 
 
-def parsed(html: str) -> Page:
+def parsed(html: str, path: str | None = None) -> Page:
     page = Page()
     stack = [page.root]
-    pieces: list[str] = []
-    linked = 0
+    pieces: list[tuple[Node, str]] = []
     at, n = 0, len(html)
     head: Node | None = None
 
     def flush(node: Node) -> None:
-        nonlocal linked
         if pieces:
-            text = _SPACE.sub(" ", unescape("".join(pieces))).strip()
-            if text:
-                while node.parent is not None and node.name not in BLOCKS:
-                    node = node.parent
-                page.blocks.append((node, text, linked))
+            while node.parent is not None and node.name not in BLOCKS:
+                node = node.parent
+            page.pieces.append((node, pieces.copy()))
             pieces.clear()
-        linked = 0
 
     def take(text: str) -> None:
-        nonlocal linked
         top = stack[-1]
         if not top.bad:
-            pieces.append(text)
-            if top.link:
-                linked += len(text)
+            pieces.append((top, text))
 
     while at < n:
         m = _TAG.search(html, at)
@@ -164,13 +163,19 @@ def parsed(html: str) -> Page:
                     if name in ("li", "dt", "dd", "td", "th", "tr", "tbody"):
                         continue
                     break
-        shown, bad, good = _described(name, m[3])
+        shown, marked, good = _described(name, m[3])
+        bad = name in DROPPED
         top = stack[-1]
         if name == "header" and not any(x.name in ("article", "main") for x in stack):
             bad = True
-        if name in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "article", "main") and name not in DROPPED:
-            bad = False
-        node = Node(name, top, f"{top.path}/{shown}" if name in CONTAINERS else top.path, bad or top.bad, top.link or name == "a", good)
+        unclean = marked
+        if name in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "article", "main"):
+            marked = False
+        bad = bad or top.bad
+        node = Node(name, top, f"{top.path}/{shown}" if name in CONTAINERS else top.path, bad, top.link or name == "a", good, marked and not bad)
+        node.good = good and not unclean
+        if marked and not bad:
+            page.marked.append(node)
         if name == "head":
             head = node
         if name in CONTAINERS and not node.bad:
@@ -180,6 +185,7 @@ def parsed(html: str) -> Page:
         stack.append(node)
     flush(stack[-1])
     del head
+    settled(page, path)
     # a block's text counts whole for the nearest container, and half as much for each one above
     for node, text, links in page.blocks:
         worth = max(0.0, len(text) - 2.0 * links) + (20.0 if node.name == "p" and len(text) > 40 else 0.0)
@@ -196,6 +202,83 @@ def parsed(html: str) -> Page:
     return page
 
 
+def _under(node: Node, top: Node) -> bool:
+    up: Node | None = node
+    while up is not None and up is not top:
+        up = up.parent
+    return up is not None
+
+
+def _hidden(node: Node) -> bool:
+    return node.mark is not None and node.mark.out
+
+
+def settled(page: Page, path: str | None) -> None:
+    """Decide which marked elements are boilerplate, and make blocks of the remaining text.
+
+    From the outermost on, a marked element stays if it holds a main, or a container on the host's path; or an article whose own class
+    bears no mark, if no article or main outside of what is marked has text or this one is longer than all that is outside; or
+    more than half of the page's text, most of it not links, while no article, main or container of good name beside it has text.
+    """
+    if page.marked:
+        sizes: dict[Node, int] = {}  # characters of marked elements and of containers
+        links: dict[Node, int] = {}
+        total = 0
+        for _, parts in page.pieces:
+            for node, text in parts:
+                if size := len(text.strip()):
+                    total += size
+                    up: Node | None = node
+                    while up is not None:
+                        if up.mark is up or up.name in CONTAINERS:
+                            sizes[up] = sizes.get(up, 0) + size
+                            links[up] = links.get(up, 0) + size * node.link
+                        up = up.parent
+        needed: set[Node] = set()  # marked elements that hold a main or the host's path
+        longest: dict[Node, int] = {}  # the longest article in a marked element
+        for c, size in sizes.items():
+            if c.mark is not None and (c.name == "main" or c.path == path and c.name in CONTAINERS or c.name == "article" and c.good):
+                m: Node | None = c.mark
+                while m is not None:
+                    if c.name == "article" and c.path != path:
+                        longest[m] = max(size, longest.get(m, 0))
+                    else:
+                        needed.add(m)
+                    m = m.parent.mark
+        for m in page.marked:
+            m.out = True
+        level = [m for m in page.marked if m.parent.mark is None]
+        while level:
+            outside, free = 0, set()  # characters that are not hidden, and the containers with such
+            for _, parts in page.pieces:
+                for node, text in parts:
+                    if not _hidden(node) and (size := len(text.strip())):
+                        outside += size
+                        up = node
+                        while up is not None and up not in free:
+                            free.add(up)
+                            up = up.parent
+            articles = any(c.name in ("article", "main") for c in free)
+            good = [c for c in free if c.good]
+            stay = []
+            for m in level:
+                size = sizes.get(m, 0)
+                if m in needed or m in longest and (not articles or longest[m] > outside):
+                    stay.append(m)
+                elif 2 * size > total and 2 * links[m] <= size and not any(not _under(m, c) for c in good):
+                    stay.append(m)
+            for m in stay:
+                m.out = False
+            level = [m for m in page.marked if m.out and m.parent.mark in stay] if stay else []
+    for node, parts in page.pieces:
+        shown = [(x, text) for x, text in parts if not _hidden(x)] if page.marked else parts
+        text = _SPACE.sub(" ", unescape("".join([text for _, text in shown]))).strip()
+        if text:
+            page.blocks.append((node, text, sum([len(text) for x, text in shown if x.link])))
+    if page.marked:
+        page.containers = [c for c in page.containers if not _hidden(c)]
+
+
 def best(page: Page) -> Node:
     return max(page.containers, key=lambda c: c.score)
 
@@ -257,7 +340,7 @@ def text_under(page: Page, tops: list[Node]) -> str:
 
 def main_text(html: str, path: str | None, noise: Iterable[str] = ()) -> str:
     """The text below the containers on path and below the page's own region, the latter not if it is noise beside them."""
-    page = parsed(html)
+    page = parsed(html, path)
     own = region(best(page))
     there = [c for c in page.containers if c.path == path and c.text]
     if there and own.path in noise:

@@ -71,6 +71,24 @@ def test_whole_article(html, text):
     assert html_text.main_text(html, None) == text
 
 
+@pytest.mark.parametrize("wrapper", ["div class='layout has-sidebar'", "div class=no-sidebar", "div class='content-with-header'", "div class=page-social", "section class='related-content main'"])
+@pytest.mark.parametrize("inner", ["<article><h1>Title</h1><p>{}</article>", "<main><h1>Title</h1><p>{}</main>", "<div><h1>Title</h1><p>{}</div>"])
+def test_marked_wrappers(wrapper, inner):
+    """A word of boilerplate in the class of a layout element doesn't hide the article; within it, and beside an article, it hides."""
+    chrome = "<div class=sidebar>aside <a href=x>more</a></div>"
+    html = f"<body><{wrapper}>{inner.format(WORDS)}{chrome}</{wrapper.split()[0]}>{chrome}</body>"
+    assert html_text.main_text(html, None) == f"Title\n\n{WORDS.strip()}"
+    comments = "<div class=comments><article class=comment><p>Reader says a lot</article><article><p>so does another</article></div>"
+    assert html_text.main_text(f"<article><p>{WORDS}</article>{comments}", None) == WORDS.strip()
+
+
+def test_several_marked_wrappers_and_the_hosts_vote():
+    assert html_text.main_text(f"<body><div class=social><article><p>{WORDS}</article></div><div class=social><article><p>two</article></div></body>", None) == f"{WORDS.strip()}\n\ntwo"
+    html = f"<body><div class=social><div class=entry><p>short text</div></div><div class=story><p>{WORDS}</div></body>"
+    assert "short text" not in html_text.main_text(html, None)
+    assert html_text.main_text(html, "body/div.social/div.entry", ["body/div.story"]) == "short text"
+
+
 def test_short_and_long_parts_on_the_hosts_path(spark):
     """Containers on the host's path are all given; an own region that the host does not know as noise comes too."""
     rows = [(i, "http://h.com/1", f"<div class=a><p>{WORDS}</div>") for i in range(3)]
