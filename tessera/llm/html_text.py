@@ -49,7 +49,8 @@ CLOSES = {
     "tr": (("tr", "td", "th", "p"), ("table", "tbody", "thead", "tfoot")), "option": (("option",), ("select",)), "body": (("head",), ()), "tbody": (("tbody", "thead", "tr", "td", "th", "p"), ("table",)),
 }
 
-_TAG = re.compile(r"""<(?:!--(?:.*?-->|.*\Z)|[!?][^>]*+>?|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>?)""", re.S)
+# a quote opens a value right after = only, and is an ordinary character elsewhere
+_TAG = re.compile(r"""<(?:!--(?:.*?-->|.*\Z)|[!?][^>]*+>?|(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+)>?)""", re.S)
 _CLASS = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACE = re.compile(r"[\s\x00]+")

@@ -45,6 +45,12 @@ def test_own_text(html, text):
     assert html_text.main_text(html, None) == text
 
 
+@pytest.mark.parametrize("tag", ['<p title="a"">', "<p title=it's>", "<p 'x>", '<p title = "a>b">', "<p title='a>\"b' data-x==\"y>", '<p title="a>'])
+def test_stray_quotes_in_tags(tag):
+    end = "" if tag == '<p title="a>' else "<a href=\"x\" title='y'>link</a>"
+    assert html_text.main_text(f"<div>{tag}text{end}</div>", None) == "text" + ("link" if end else "")
+
+
 def test_consensus_overrules_a_page(spark):
     """A page whose loudest container is not the article still gives the article, by the vote of its host."""
     good = "<body><div class='a'><p>{}</p></div><div class='b'><p>{}</p></div></body>"
