@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from tessera.llm.common import written
 from tessera.llm.native import let, marked_spans, unmarked
 
-#: Kinds in order; head and value patterns. The last is the method's own.
+_LONG = "[A-Za-z0-9_+/-]{24,}"
+#: Kinds in order; head and value patterns. The last is the method's own: a token may follow '=' and '.', and '/' where this only parts the
+#: segments of a path, after a host's or file's ending, say; such a segment ends at the next '/'.
 KINDS = {
     "assign": (r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?", r"[A-Za-z0-9+/_.=-]+"),
     "access": ("", "AKIA[A-Z0-9]{12,}"),
     "hex": ("", "(?<![0-9a-f])[0-9a-f]{32,}"),
-    "token": ("", r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/-]{24,}={0,2}"),
+    "token": ("", rf"(?:(?<![A-Za-z0-9_+/.-]){_LONG}|(?<=\.)(?![a-z]{{2,12}}/){_LONG}|(?<=/)[A-Za-z0-9_+-]{{24,}})={{0,2}}"),
 }
 BASE = ("assign", "access", "hex")
 #: Owners from which on a value counts as a copied example.

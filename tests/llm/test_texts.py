@@ -259,6 +259,19 @@ def test_examples_and_live_secrets(spark):
         assert (x["n_live"], x["n_example"], x["spans"]) == ((1, 0, "token:4:30") if x["doc_id"] == 9 else (0, 1, ""))
 
 
+def test_tokens_after_delimiters(spark):
+    """Unquoted values of settings, URL parameters, path segments and parts between dots are candidates; base spans are not repeated."""
+    aws, own = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzExam1pleK", "Zx8cVb7nMq2wErT5yUiOp3aSdF"
+    texts = {
+        f"AWS_SECRET_ACCESS_KEY={aws}": [aws], f"GITHUB_PAT=ghp_{own}9": [f"ghp_{own}9"], f"https://a.org/f?x=1&sig={own}&y=2": [own], f"https://hooks.a.com/services/T0/{own}/end": [own],
+        f"{own}.Q{aws}.R{own}": [own, f"Q{aws}", f"R{own}"], f"a {own}== b": [f"{own}=="], f"secret={own}": [],
+    }
+    docs = spark.createDataFrame([(i, t, f"o{i % 2}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(docs, F.col("source"), F.col("source")).collect()}
+    for i, (t, want) in enumerate(texts.items()):
+        assert [t[s["start"] : s["end"]] for s in got[i] if s["kind"] == len(secrets.BASE)] == want, t
+
+
 # --- BPE
 
 
