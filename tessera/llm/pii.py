@@ -84,6 +84,8 @@ def base_spans(text: str) -> list[Span]:
 _REGION = re.compile(r"[+(]{0,2}[0-9]++(?:[ ().+/-]{1,3}+[0-9]++)*+")
 _GROUP = re.compile("[0-9]+")
 _AT = re.compile(r" at | ?(?:\(at\)|\[at\]|\{at\}) ?", re.I | re.A)
+#: One of these is in any match of _AT.
+_ATS = (" at ", "(at)", "[at]", "{at}")
 _SPELLED = re.compile(r"([A-Za-z0-9-]{1,63})((?: dot | ?(?:\(dot\)|\[dot\]|\{dot\}) ?|\.)[A-Za-z0-9-]{2,63}){1,4}", re.I | re.A)
 _LOCAL_BEFORE = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
 _IP6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::?[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])")
@@ -199,7 +201,8 @@ def lattices(text: str, base: list[Span]) -> Iterator[Lattice]:
             for m in _IP6.finditer(text):
                 groups = m[0].split(":")
                 yield _single(text, *m.span(), 1, [f"groups {len(groups)}", f"letters {any(c.isalpha() for c in m[0])}", f"long {max(map(len, groups))}", f"double {'::' in m[0]}"])
-    if "dot" in text or "DOT" in text or "(at)" in text or "[at]" in text:
+    small = text.lower()
+    if any(x in small for x in _ATS):
         for m in _AT.finditer(text):
             x = spelled_lattice(text, m)
             if x and free(*x.spans[0, 1]):
@@ -303,12 +306,13 @@ def training_line(r: random.Random) -> tuple[str, set[Span]]:
         lambda: f"0{d(3)} {d(3)} {d(4)}", lambda: "0" + d(1) + "".join(" " + d(2) for _ in range(4)), lambda: f"0{d(3)}/{d(7)}", lambda: f"+{d(11)}",
     ]
     cards = [lambda: card(), lambda: grouped(card(), " "), lambda: grouped(card(), "-"), lambda: grouped(card(), ".")]
-    address = [lambda: f"{word()}.{d(2)} at {word()} dot {r.choice(['com', 'org', 'net', 'de'])}", lambda: f"{word()} (at) {word()} (dot) com", lambda: f"{word()}[at]{word()}.org", lambda: f"{word()}_{word()} at {word()} dot {word()} dot net", lambda: f"{word()}[at]{word()}[dot]com"]
+    address = [lambda: f"{word()}.{d(2)} at {word()} dot {r.choice(['com', 'org', 'net', 'de'])}", lambda: f"{word()} (at) {word()} (dot) com", lambda: f"{word()}[at]{word()}.org", lambda: f"{word()}_{word()} at {word()} dot {word()} dot net", lambda: f"{word()}[at]{word()}[dot]com", lambda: f"{word()}.{d(2)} at {word()}.{r.choice(['com', 'org', 'net', 'de'])}", lambda: f"{word()} at {word()} dot {r.choice(['com', 'org', 'net', 'de'])}"]
     ip6 = [lambda: ":".join(f"{r.randrange(65536):x}" for _ in range(8)), lambda: f"2001:db8:{r.randrange(65536):x}::{r.randrange(65536):x}"]
     other = [
         lambda: f"20{d(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}", lambda: f"{r.randint(10, 28)}/{r.randint(10, 12)}/19{d(2)} {r.randint(10, 23)}:{d(2)}", lambda: f"{r.randint(10, 28)}.{r.randint(10, 12)}.20{d(2)}", lambda: f"{d(1)},{d(3)}.{d(2)}", lambda: f"{d(1)}.{d(1)}.{d(2)}",
         lambda: d(r.choice([7, 8, 9, 10, 11, 12, 13])), lambda: d(16), lambda: d(r.choice([14, 15, 17, 18, 20])), lambda: f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", lambda: f"19{d(2)}-20{d(2)}", lambda: " ".join(d(r.randint(1, 4)) for _ in range(r.randint(3, 9))), lambda: "17" + d(8),
         lambda: f"{d(4)}-{d(4)}", lambda: f"{r.randint(300, 999)}.{d(3)}.{d(3)}.{d(3)}", lambda: f"{d(2)}:{d(2)}:{d(2)}:{d(2)}", lambda: f"{word()} at {word()}.", lambda: f"look at {word()} dot", lambda: f"{d(2)}-{d(5)}-{d(4)}-{d(3)}", lambda: f"{d(3)} {d(3)} {d(3)}",
+        lambda: f"{word()} at {word()}.{r.choice(['com', 'org', 'net', 'de'])}", lambda: f"{word()} at {word()}.{word()}",
     ]
     cues = {3: ["call", "tel", "phone", "fax", "mobile", "Telefon"], 2: ["card", "visa", "paid with"], 0: ["mail", "write to", "contact"], 1: ["host", "from", "ip"]}
     text, gold = word(), set()

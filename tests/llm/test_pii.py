@@ -85,6 +85,15 @@ def test_numbers_run_together_are_told_apart():
     assert pii.redacted("a b@c.de f", [(2, 8, 0)]) == "a [EMAIL] f"
 
 
+def test_spelled_addresses_whatever_else_the_text_holds():
+    w = pii.train()
+    for s in ("name {at} host.org", "name[AT]host.org", "name (AT) host.com", "name at host Dot com", "name.42 at host.org"):
+        for text in (f"write to {s}", f"an anecdote: write to {s}"):
+            assert (len(text) - len(s), len(text), 0) in pii.spans(text, w), text
+    for text in ("look at example.com for", "you are at risk.The next anecdote", "see file at index.html now"):
+        assert pii.spans(text, w) == [], text
+
+
 def test_report_and_redaction_of_odd_rows(odd, none):
     rows = pii.report(odd).collect()
     texts = {r["doc_id"]: r["text"] or "" for r in odd.collect() if r["doc_id"] is not None}
