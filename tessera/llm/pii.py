@@ -88,7 +88,8 @@ _AT = re.compile(r" at | ?(?:\(at\)|\[at\]|\{at\}) ?", re.I | re.A)
 _ATS = (" at ", "(at)", "[at]", "{at}")
 _SPELLED = re.compile(r"([A-Za-z0-9-]{1,63})((?: dot | ?(?:\(dot\)|\[dot\]|\{dot\}) ?|\.)[A-Za-z0-9-]{2,63}){1,4}", re.I | re.A)
 _LOCAL_BEFORE = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
-_IP6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::?[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])")
+_H = "[0-9A-Fa-f]{1,4}"
+_IP6 = re.compile(rf"(?<![0-9A-Za-z:])(?:{_H}(?::{_H}){{0,6}}+)?+::(?:{_H}(?::{_H}){{0,6}}+)?+(?![0-9A-Za-z:]|\.[0-9])|(?<![0-9A-Za-z:])(?:{_H}:){{3,7}}{_H}(?![0-9A-Za-z:])")
 _WORD_BEFORE = re.compile(r"([A-Za-z]+)[^A-Za-z0-9]{0,4}\Z")
 
 
@@ -197,10 +198,12 @@ def lattices(text: str, base: list[Span]) -> Iterator[Lattice]:
                 j += 1
             if start < end and (x := number_lattice(text, start, end)):
                 yield x
-        if text.count(":") >= 3:
-            for m in _IP6.finditer(text):
-                groups = m[0].split(":")
-                yield _single(text, *m.span(), 1, [f"groups {len(groups)}", f"letters {any(c.isalpha() for c in m[0])}", f"long {max(map(len, groups))}", f"double {'::' in m[0]}"])
+    if "::" in text or text.count(":") >= 3:
+        for m in _IP6.finditer(text):
+            groups = m[0].split(":")
+            if 1 <= sum(map(bool, groups)) <= 8 - ("::" in m[0]):
+                digits = any(c.isdigit() for c in m[0])
+                yield _single(text, *m.span(), 1, [f"groups {len(groups)}", f"letters {any(c.isalpha() for c in m[0])}", f"long {max(map(len, groups))}", f"double {'::' in m[0]}", f"double {'::' in m[0]} first {len(groups[0])} digits {digits}"])
     small = text.lower()
     if any(x in small for x in _ATS):
         for m in _AT.finditer(text):
@@ -298,6 +301,11 @@ def training_line(r: random.Random) -> tuple[str, set[Span]]:
         body = r.choice("3456") + d(n - 2)
         return next(body + c for c in "0123456789" if luhn(body + c))
 
+    def compressed() -> str:
+        h = lambda n: "".join(f":{r.randrange(65536):x}" for _ in range(n))
+        before = r.randint(0, 5)
+        return f"{r.choice(['2001', '2a02', 'fe80', 'fd12'])}{h(before)}::{h(r.randint(0 if before else 1, 6 - before))[1:] if r.random() < 0.7 else r.randint(1, 9)}"
+
     def grouped(s: str, sep: str) -> str:
         return sep.join(s[i : i + 4] for i in range(0, len(s), 4))
 
@@ -307,12 +315,13 @@ def training_line(r: random.Random) -> tuple[str, set[Span]]:
     ]
     cards = [lambda: card(), lambda: grouped(card(), " "), lambda: grouped(card(), "-"), lambda: grouped(card(), ".")]
     address = [lambda: f"{word()}.{d(2)} at {word()} dot {r.choice(['com', 'org', 'net', 'de'])}", lambda: f"{word()} (at) {word()} (dot) com", lambda: f"{word()}[at]{word()}.org", lambda: f"{word()}_{word()} at {word()} dot {word()} dot net", lambda: f"{word()}[at]{word()}[dot]com", lambda: f"{word()}.{d(2)} at {word()}.{r.choice(['com', 'org', 'net', 'de'])}", lambda: f"{word()} at {word()} dot {r.choice(['com', 'org', 'net', 'de'])}"]
-    ip6 = [lambda: ":".join(f"{r.randrange(65536):x}" for _ in range(8)), lambda: f"2001:db8:{r.randrange(65536):x}::{r.randrange(65536):x}"]
+    ip6 = [lambda: ":".join(f"{r.randrange(65536):x}" for _ in range(8)), lambda: f"2001:db8:{r.randrange(65536):x}::{r.randrange(65536):x}", lambda: compressed()]
     other = [
         lambda: f"20{d(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}", lambda: f"{r.randint(10, 28)}/{r.randint(10, 12)}/19{d(2)} {r.randint(10, 23)}:{d(2)}", lambda: f"{r.randint(10, 28)}.{r.randint(10, 12)}.20{d(2)}", lambda: f"{d(1)},{d(3)}.{d(2)}", lambda: f"{d(1)}.{d(1)}.{d(2)}",
         lambda: d(r.choice([7, 8, 9, 10, 11, 12, 13])), lambda: d(16), lambda: d(r.choice([14, 15, 17, 18, 20])), lambda: f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", lambda: f"19{d(2)}-20{d(2)}", lambda: " ".join(d(r.randint(1, 4)) for _ in range(r.randint(3, 9))), lambda: "17" + d(8),
         lambda: f"{d(4)}-{d(4)}", lambda: f"{r.randint(300, 999)}.{d(3)}.{d(3)}.{d(3)}", lambda: f"{d(2)}:{d(2)}:{d(2)}:{d(2)}", lambda: f"{word()} at {word()}.", lambda: f"look at {word()} dot", lambda: f"{d(2)}-{d(5)}-{d(4)}-{d(3)}", lambda: f"{d(3)} {d(3)} {d(3)}",
         lambda: f"{word()} at {word()}.{r.choice(['com', 'org', 'net', 'de'])}", lambda: f"{word()} at {word()}.{word()}",
+        lambda: f"{r.choice(['a', 'be', 'add', 'dead', 'face', 'x[', ''])}::{r.choice(['add', 'bad', 'beef', 'c', d(1)])}", lambda: f"{d(1)}::{d(1)}",
     ]
     cues = {3: ["call", "tel", "phone", "fax", "mobile", "Telefon"], 2: ["card", "visa", "paid with"], 0: ["mail", "write to", "contact"], 1: ["host", "from", "ip"]}
     text, gold = word(), set()

@@ -94,6 +94,14 @@ def test_spelled_addresses_whatever_else_the_text_holds():
         assert pii.spans(text, w) == [], text
 
 
+def test_compressed_addresses():
+    w = pii.train()
+    for s in ("2001:db8::1", "fe80::1ff:fe23:4567:890a", "2001:db8:85a3::8a2e:370:7334", "2001:db8:1:2::1", "2001:db8:1:2:3:4:5:6"):
+        assert (5, 5 + len(s), 1) in pii.spans(f"from {s} on", w), s
+    for text in ("call std::add or dead::beef", "x[1::2] and x[::2]", "at 12:30:45:10", "::ffff:1.2.3"):
+        assert not [s for s in pii.spans(text, w) if s[2] == 1], text
+
+
 def test_report_and_redaction_of_odd_rows(odd, none):
     rows = pii.report(odd).collect()
     texts = {r["doc_id"]: r["text"] or "" for r in odd.collect() if r["doc_id"] is not None}
