@@ -6,7 +6,7 @@
    other; the links found join components, and only pairs that still lie in different components come up again: after
    some rounds of fresh pivots, as a join that tests the odd sketches before it emits a pair. All pairs that share a key
    are thus either compared or known to be connected.
-4. A candidate must pass the size bound and the odd sketch, and is confirmed on both full sets.
+4. A candidate must pass the size bound and, unless both sets are small, the odd sketch, and is confirmed on both full sets.
 
 Cases. Null or blank text: no shingles, linked with nothing, its own component. Fewer than k words: one shingle. Equal rows: one node,
 each row is returned; kept is true for each row that has the smallest doc_id. Null doc_id: such a row takes the group's
@@ -36,6 +36,9 @@ SLACK = 4.5
 #: Simulated pairs of 20 to 10,000 shingles at the threshold vary by at most this share of what most_bits() reckons, about a mean no
 #: larger than its own: the bound is 5 to 7 standard deviations away from them.
 SPREAD = 0.68
+#: Two sets of fewer shingles together than FEW_SHINGLES go straight to the full sets, as the bound is too tight for them; from
+#: MANY_SHINGLES on, which were not simulated, SLACK is WIDE.
+FEW_SHINGLES, MANY_SHINGLES, WIDE = 128, 18_000, 6.0
 #: Pivots of a key in a round; rounds at most, of which the last compares all that is left within its keys. Earlier rounds do so
 #: too once that is at most MOST_PER_POSTING pairs for each node of a key, or pivots have ceased to find links for one node in FEW.
 PIVOTS, MOST_ROUNDS, MOST_PER_POSTING, FEW = 3, 6, 8, 100
@@ -134,12 +137,12 @@ def most_bits(n: Column, percent: int) -> Column:
     filled = BINS * (1 - empty)
     mean = filled * (1 - p) * (2 - F.pow(empty, F.lit(0.9)))
     spread = F.sqrt(p * (1 - p) * F.least(2 * u * (1 - empty), 4 * filled))
-    return m / 2 * (1 - F.exp(-2 * mean / m)) + SLACK * SPREAD * F.sqrt(spread * spread + 2 * mean * mean / m) + 1
+    return m / 2 * (1 - F.exp(-2 * mean / m)) + F.when(n < MANY_SHINGLES, SLACK).otherwise(WIDE) * SPREAD * F.sqrt(spread * spread + 2 * mean * mean / m) + 1
 
 
 def may_be_similar(n_a: Column, n_b: Column, a: list[Column], b: list[Column], percent: int) -> Column:
     differing = reduce(lambda x, y: x + y, (F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)))
-    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (differing <= most_bits((n_a + n_b).cast("double"), percent))
+    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & ((n_a + n_b < FEW_SHINGLES) | (differing <= most_bits((n_a + n_b).cast("double"), percent)))
 
 
 def _longs(sketch: str) -> list[Column]:

@@ -222,6 +222,14 @@ def test_clean_keeps_columns(odd, spark):
     assert kept.columns == odd.columns and kept.count() == sum(not counts_by_brute_force(r["text"])[-1] for r in odd.collect())
 
 
+def test_sketches_do_not_rule_out_short_texts(spark):
+    """12 of 15 shingles in common, and sketches that differ in more bits than most_bits() allows so few."""
+    rows = [(13, 14, [31] + [0] * 31, [0] * 32), (900, 920, [-1] * 32, [0] * 32)]
+    got = spark.createDataFrame(rows, "n long, na long, sketch array<long>, ska array<long>")
+    kept = near_dedup.may_be_similar(F.col("n"), F.col("na"), near_dedup._longs("sketch"), near_dedup._longs("ska"), 80)
+    assert [r[0] for r in got.where(kept).select("n").collect()] == [13]
+
+
 # --- secrets
 
 
