@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,15 +18,19 @@ from tessera import operators as ops
 from tessera.functions import cosine_distance, hll_merge, hll_state, l2_distance, text_matches
 from tessera.model import AggFunc, Aggregate, Filter, Measure, Metric, Plan
 from tessera.session import APPROXIMATE, Session
+from tessera.sources import read_files
 from tessera.sources.tablelog import Table, bare
+from tessera.streaming import commit_stream
 
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 _tables: dict[tuple, Table] = {}
 
 
 def root(spark: SparkSession) -> str:
-    """A folder of our own in the shared one, or a temporary one where there is none."""
+    """A folder of our own in the shared one; in local mode, where all is one machine, a temporary one if none is named."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
     return f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp(prefix='tessera-')}/tables-{uuid.uuid4().hex}"
 
 
@@ -58,8 +63,13 @@ def table_of(spark: SparkSession, sf_dir: str, layout: str, fresh: bool = False)
     return _tables[key]
 
 
+#: The session of the last aided query, for who wants to see what was used.
+latest: list[Session] = []
+
+
 def session_of(spark: SparkSession, *tables: Table, **settings) -> Session:
     s = Session(spark, **settings)
+    latest[:] = [s]
     for t in tables:
         s.attach(t)
     return s
@@ -68,6 +78,8 @@ def session_of(spark: SparkSession, *tables: Table, **settings) -> Session:
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: The texts of those that Spark answers natively.
+NATIVE: dict[str, str] = {}
 
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
@@ -89,7 +101,7 @@ def plain(name: str, sql: str, oracle: str | None = None) -> None:
                 base(spark, sf_dir, t).createOrReplaceTempView(t)
         return spark.sql(sql)
 
-    QUERIES[name], ORACLES[name] = run, oracle or sql
+    QUERIES[name], ORACLES[name], NATIVE[name] = run, oracle or sql, sql
 
 
 # --- scans and pruning ------------------------------------------------------------------------------------------------
@@ -99,7 +111,7 @@ Q_USER = "SELECT event_id, user_id, event_type, round(value, 2) AS value FROM ev
 
 @query(Q_USER)
 def index_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1: an equality index on a scattered column prunes files."""
+    """K1: an equality index prunes files."""
     t = table_of(spark, sf_dir, "events_clustered")
     s = session_of(spark, t)
     s.registry.register(ops.build_index(t, "user_id"))
@@ -217,6 +229,26 @@ def time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_of(spark, Table.open(spark, "events", t.root, at=first)).sql("SELECT event_id, user_id FROM events WHERE user_id = 7")
 
 
+@query("SELECT event_type, max(event_id) AS top FROM events WHERE user_id = 7 GROUP BY event_type")
+def index_many_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1: the text is told by its parsed plan: comments, tabs and line breaks don't matter."""
+    t = table_of(spark, sf_dir, "events_clustered")
+    s = session_of(spark, t)
+    s.registry.register(ops.build_index(t, "user_id"))
+    return s.sql("/* the same */\n-- question\nWITH\n\tmine AS (\n  SELECT event_type, event_id\n  FROM\tevents\n  WHERE user_id\n    = 7\n)\nSELECT\n  event_type,\n  max(event_id) AS top\nFROM mine\nGROUP BY event_type")
+
+
+@query("SELECT event_id, event_type FROM events WHERE user_id = 7")
+def create_table_as(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands run once: CREATE TABLE AS and INSERT get their query planned like any other."""
+    t = table_of(spark, sf_dir, "events_clustered")
+    s = session_of(spark, t)
+    s.registry.register(ops.build_index(t, "user_id"))
+    where = f"{root(spark)}/out"
+    s.sql(f"INSERT OVERWRITE DIRECTORY '{where}' USING parquet\nSELECT event_id, event_type\nFROM events\nWHERE user_id = 7")
+    return spark.read.schema("event_id bigint, event_type string").parquet(where)
+
+
 # --- substitutes ------------------------------------------------------------------------------------------------------
 
 Q_ORDERS = "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'"
@@ -290,21 +322,30 @@ def cube_range_implied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.sql(ORACLES["cube_range_implied"])
 
 
-@query()
+def _close(estimate: str, exact: str) -> F.Column:
+    """Whether an estimate is within 2 % (three standard errors of the sketches) of the truth."""
+    return (F.abs(F.col(estimate) - F.col(exact)) <= F.col(exact) * 0.02).alias("close")
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, true AS close FROM lineitem GROUP BY l_returnflag")
 def count_distinct_optin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An exact distinct count answered by a sketch, under the session's flag."""
+    """A7, A8: an exact distinct count answered by merged sketches of a cube, under the session's flag, beside the truth."""
+    sql = "SELECT l_returnflag, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY l_returnflag"
     spark.conf.set(APPROXIMATE, "true")
     try:
-        return _cube(spark, sf_dir, "SELECT l_returnflag, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY l_returnflag")
+        about = _cube(spark, sf_dir, sql)
     finally:
         spark.conf.unset(APPROXIMATE)
+    exact = base(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("exact"))
+    return about.join(exact, "l_returnflag").select("l_returnflag", "exact", _close("n", "exact"))
 
 
-@query()
+@query("SELECT count(DISTINCT user_id) AS exact, true AS close FROM events")
 def approx_distinct_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketches by type, merged."""
+    """A6, A7: sketches by type, merged, beside the truth."""
     per_type = base(spark, sf_dir, "events").groupBy("event_type").agg(hll_state("user_id").alias("sketch"))
-    return per_type.agg(hll_merge("sketch").alias("n_users"))
+    about = per_type.agg(hll_merge("sketch").alias("n"))
+    return about.crossJoin(base(spark, sf_dir, "events").agg(F.count_distinct("user_id").alias("exact"))).select("exact", _close("n", "exact"))
 
 
 # --- vectors and text -------------------------------------------------------------------------------------------------
@@ -374,6 +415,19 @@ def text_prefix_is_no_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark, sf_dir, "documents").where(text_matches("text", "licens")).select("doc_id")
 
 
+SCRIPTS = ["हिन्दी में लिखा", "กรุงเทพ महान", "İstanbul DİYARBAKIR", "cafe\u0301 naïve", "Ελλάδα ΣΟΦΟΣ", "日本語 テキスト", "x² ½ Ⅳ", "under_score"]
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS id, '{w}' AS word" for i, text in enumerate(SCRIPTS) for w in text.split()))
+def text_match_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1, T2, K4: one definition of a term for columns, indexes and asked words, in any script. Each word is found in its own text alone."""
+    t = Table.create(spark.createDataFrame(list(enumerate(SCRIPTS)), "id int, body string").repartitionByRange(len(SCRIPTS), "id"), "scripts", f"{root(spark)}/scripts")
+    s = session_of(spark, t)
+    s.registry.register(ops.build_text_index(t, "body"))
+    asked = [s.sql(f"SELECT id, '{w}' AS word FROM scripts WHERE text_matches(body, '{w}')") for text in SCRIPTS for w in text.split()]
+    return reduce(DataFrame.unionAll, asked)
+
+
 # --- joins ------------------------------------------------------------------------------------------------------------
 
 
@@ -398,6 +452,35 @@ def _join_query(kind: str) -> None:
 for _kind in ("INNER", "LEFT", "RIGHT"):
     _join_query(_kind)
 
+# --- streams, rows in memory, other formats ---------------------------------------------------------------------------
+
+
+@query("SELECT event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY event_type")
+def stream_into_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Micro-batches as commits, exactly once; then the plain question over the table."""
+    source, folder = base(spark, sf_dir, "events"), root(spark)
+    source.repartition(3).write.parquet(f"{folder}/in")
+    t = Table.create(source.limit(0), "events", f"{folder}/events")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    commit_stream(stream, t, f"{folder}/checkpoint").awaitTermination()
+    return session_of(spark, t).sql("SELECT event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY event_type")
+
+
+def _through(kind: str, **options: str) -> None:
+    """Written in a format and read back with its schema."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{root(spark)}/{kind}"
+        rows = base(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+        rows.write.format(kind).options(**options).save(path)
+        return read_files(spark, kind, rows.schema, path, **options)
+
+    QUERIES[f"format_{kind}"], ORACLES[f"format_{kind}"] = run, "SELECT c_custkey, c_name, c_nationkey FROM customer"
+
+
+for _kind in ("csv", "json", "orc"):
+    _through(_kind, **({"header": "true"} if _kind == "csv" else {}))
+
 # --- what Spark answers natively --------------------------------------------------------------------------------------
 
 plain("full_scan", "SELECT r_regionkey, r_name FROM region")
@@ -459,6 +542,27 @@ plain("json_functions", "SELECT event_id, get_json_object(props, '$.page') AS pa
 plain("pivoted", "SELECT * FROM (SELECT event_type, user_id % 3 AS g FROM events) PIVOT (count(*) FOR g IN (0 AS g0, 1 AS g1, 2 AS g2))", "SELECT event_type, count(*) FILTER (WHERE user_id % 3 = 0) AS g0, count(*) FILTER (WHERE user_id % 3 = 1) AS g1, count(*) FILTER (WHERE user_id % 3 = 2) AS g2 FROM events GROUP BY event_type")
 
 
+plain("generators_more", "SELECT vec_id, pos, e FROM (SELECT vec_id, posexplode(slice(embedding, 1, 3)) AS (pos, x), label AS e FROM embeddings) t", "SELECT vec_id, pos::int AS pos, label AS e FROM embeddings, (VALUES (0), (1), (2)) v(pos)")
+plain("lateral_view", "SELECT n_nationkey, k, v FROM nation LATERAL VIEW explode(map('a', n_regionkey, 'b', n_nationkey)) t AS k, v", "SELECT n_nationkey, 'a' AS k, n_regionkey AS v FROM nation UNION ALL SELECT n_nationkey, 'b', n_nationkey FROM nation")
+plain("lateral_join", "SELECT r_name, t.n_name FROM region, LATERAL (SELECT n_name FROM nation WHERE n_regionkey = r_regionkey ORDER BY n_name LIMIT 2) t", "SELECT r_name, t.n_name FROM region, LATERAL (SELECT n_name FROM nation WHERE n_regionkey = r_regionkey ORDER BY n_name LIMIT 2) t")
+plain("stack_inline", "SELECT n_nationkey, a, b FROM nation LATERAL VIEW inline(array(struct(1 AS a, n_name AS b), struct(2 AS a, 'x' AS b))) t UNION ALL SELECT n_nationkey, a, b FROM nation LATERAL VIEW stack(2, 3, 'y', 4, 'z') t AS a, b", "SELECT n_nationkey, v.a AS a, CASE WHEN v.a = 1 THEN n_name ELSE v.b END AS b FROM nation, (VALUES (1, ''), (2, 'x'), (3, 'y'), (4, 'z')) v(a, b)")
+plain("unpivoted", "SELECT * FROM (SELECT n_nationkey, n_nationkey * 2 AS twice, n_nationkey * 3 AS thrice FROM nation) UNPIVOT (v FOR k IN (twice, thrice))", "SELECT n_nationkey, 'twice' AS k, n_nationkey * 2 AS v FROM nation UNION ALL SELECT n_nationkey, 'thrice', n_nationkey * 3 FROM nation")
+plain("aggregates_more", "SELECT l_returnflag, count_if(l_quantity > 25) AS many, max_by(l_orderkey, struct(l_extendedprice, l_orderkey, l_linenumber)) AS dearest, round(skewness(l_quantity), 4) + 0.0 AS sk, round(stddev_pop(l_tax), 6) AS sp, round(var_samp(l_tax), 6) AS vs, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, round(regr_intercept(l_extendedprice, l_quantity), 2) AS ic, regr_count(l_extendedprice, l_quantity) AS rc, round(covar_samp(l_quantity, l_tax), 4) AS cs, any_value(l_returnflag) AS av FROM lineitem GROUP BY l_returnflag",
+      "SELECT l_returnflag, count_if(l_quantity > 25)::bigint AS many, arg_max(l_orderkey, (l_extendedprice, l_orderkey, l_linenumber)) AS dearest, round((avg(l_quantity * l_quantity * l_quantity) - 3 * avg(l_quantity) * var_pop(l_quantity) - avg(l_quantity) ** 3) / stddev_pop(l_quantity) ** 3, 4) + 0.0 AS sk, round(stddev_pop(l_tax), 6) AS sp, round(var_samp(l_tax), 6) AS vs, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, round(regr_intercept(l_extendedprice, l_quantity), 2) AS ic, regr_count(l_extendedprice, l_quantity)::bigint AS rc, round(covar_samp(l_quantity, l_tax), 4) AS cs, any_value(l_returnflag) AS av FROM lineitem GROUP BY l_returnflag")
+plain("aggregates_first", "SELECT o_custkey, min_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS first, max_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS last, mode(o_orderstatus, true) AS usual FROM orders GROUP BY o_custkey", "SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last, (SELECT i.o_orderstatus FROM orders i WHERE i.o_custkey = orders.o_custkey GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS usual FROM orders GROUP BY o_custkey")
+plain("aggregates_approximate", "SELECT event_type, count(DISTINCT user_id) AS users, abs(approx_count_distinct(user_id, 0.01) - count(DISTINCT user_id)) <= 0.05 * count(DISTINCT user_id) + 1 AS about, abs(percentile_approx(value, 0.5, 10000) - percentile(value, 0.5)) <= 0.02 * abs(percentile(value, 0.5)) + 1 AS middle, abs(kll_sketch_get_quantile_double(kll_sketch_agg_double(value), 0.5D) - percentile(value, 0.5)) <= 0.1 * abs(percentile(value, 0.5)) + 1 AS kll, abs(theta_sketch_estimate(theta_sketch_agg(user_id)) - count(DISTINCT user_id)) <= 0.05 * count(DISTINCT user_id) + 1 AS theta, abs(hll_sketch_estimate(hll_sketch_agg(user_id, 14)) - count(DISTINCT user_id)) <= 0.05 * count(DISTINCT user_id) + 1 AS hll FROM events GROUP BY event_type", "SELECT event_type, count(DISTINCT user_id) AS users, true AS about, true AS middle, true AS kll, true AS theta, true AS hll FROM events GROUP BY event_type")
+plain("top_values", "SELECT t.item AS priority, t.count AS n FROM (SELECT explode(approx_top_k(o_orderpriority, 10)) AS t FROM orders)", "SELECT o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY 1")
+plain("regex_more", "SELECT page_id, regexp_count(url, '[0-9]') AS digits, regexp_instr(url, '[.]') AS dot, regexp_substr(url, '[0-9]+') AS num, array_join(regexp_extract_all(url, '([a-z]+)', 1), ' ') AS words, size(regexp_extract_all(url, '/', 0)) AS depth FROM pages", "SELECT page_id, len(regexp_extract_all(url, '[0-9]'))::int AS digits, instr(url, '.')::int AS dot, CASE WHEN regexp_matches(url, '[0-9]') THEN regexp_extract(url, '[0-9]+') END AS num, array_to_string(regexp_extract_all(url, '[a-z]+'), ' ') AS words, len(regexp_extract_all(url, '/'))::int AS depth FROM pages")
+plain("map_more", "SELECT n_nationkey, map_filter(m, (k, v) -> v > 5)['a'] AS big, transform_values(m, (k, v) -> v + 1)['b'] AS up, element_at(map_concat(m, map('c', 9)), 'c') AS c, size(map_entries(m)) AS n, map_from_arrays(array('x', 'y'), array(1, n_regionkey))['y'] AS y, map_contains_key(m, 'a') AS has, map_zip_with(m, map('a', 10, 'b', 20), (k, x, z) -> x + z)['b'] AS zip FROM (SELECT n_nationkey, n_regionkey, map('a', n_nationkey, 'b', n_regionkey) AS m FROM nation)", "SELECT n_nationkey, CASE WHEN n_nationkey > 5 THEN n_nationkey END AS big, n_regionkey + 1 AS up, 9 AS c, 2 AS n, n_regionkey AS y, true AS has, n_regionkey + 20 AS zip FROM nation")
+plain("json_more", "SELECT n_nationkey, from_json(to_json(named_struct('k', n_nationkey, 'n', n_name)), 'k INT, n STRING').n AS n, json_tuple(to_json(named_struct('a', n_name, 'b', 1)), 'a') AS a FROM nation", "SELECT n_nationkey, n_name AS n, n_name AS a FROM nation")
+plain("json_shape", "SELECT n_nationkey, json_array_length(to_json(array(n_nationkey, 2, 3))) AS len, size(json_object_keys(to_json(named_struct('a', 1, 'b', 2)))) AS keys, variant_get(parse_json(to_json(named_struct('x', n_nationkey))), '$.x', 'int') AS x, is_variant_null(parse_json('null')) AS nil FROM nation", "SELECT n_nationkey, 3 AS len, 2 AS keys, n_nationkey AS x, true AS nil FROM nation")
+plain("array_more", "SELECT n_nationkey, array_join(array_sort(array(3, n_regionkey, 1)), ',') AS so, array_join(flatten(array(array(1), array(2, 3))), ',') AS fl, array_join(array_except(array(1, 2, 3), array(2)), ',') AS ex, array_join(array_intersect(array(1, 2), array(2, 3)), ',') AS it, array_max(array(1, n_nationkey)) AS mx, array_join(array_repeat('z', 2), '') AS rp, arrays_overlap(array(1, n_regionkey), array(4)) AS ov, forall(array(1, 2), x -> x > 0) AS fa, array_join(array_append(array_prepend(array(2), 1), 3), '') AS ap, size(arrays_zip(array(1, 2), array(3, 4))) AS zp, array_join(array_compact(array(1, NULL, 2)), ',') AS cp, array_join(reverse(sequence(1, 7, 3)), ',') AS sq FROM nation", "SELECT n_nationkey, array_to_string(list_sort([3, n_regionkey, 1]), ',') AS so, '1,2,3' AS fl, '1,3' AS ex, '2' AS it, greatest(1, n_nationkey) AS mx, 'zz' AS rp, n_regionkey = 4 AS ov, true AS fa, '123' AS ap, 2 AS zp, '1,2' AS cp, '7,4,1' AS sq FROM nation")
+plain("string_more", "SELECT n_nationkey, initcap(lower(n_name)) AS ic, instr(n_name, 'A') AS ia, locate('N', n_name, 2) AS lo, substring_index(n_name, 'A', 1) AS si, overlay(n_name PLACING '__' FROM 2) AS ov, soundex('Robert') AS sx, hex(n_name) AS hx, base64(encode(n_name, 'utf-8')) AS b6, bit_length(n_name) AS bl, char_length(n_name) AS cl, format_number(n_nationkey * 1234.5, 2) AS fn, find_in_set('b', 'a,b') AS fi, elt(2, 'x', 'y') AS el, url_encode('a b') AS ue, parse_url('https://h.org/p?q=1', 'HOST') AS pu FROM nation", "SELECT n_nationkey, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS ic, instr(n_name, 'A')::int AS ia, CASE WHEN instr(n_name[2:], 'N') > 0 THEN instr(n_name[2:], 'N') + 1 ELSE 0 END::int AS lo, string_split(n_name, 'A')[1] AS si, n_name[1:1] || '__' || n_name[4:] AS ov, 'R163' AS sx, hex(n_name) AS hx, base64(encode(n_name)) AS b6, (strlen(n_name) * 8)::int AS bl, length(n_name)::int AS cl, format('{:,.2f}', n_nationkey * 1234.5::double) AS fn, 2 AS fi, 'y' AS el, 'a+b' AS ue, 'h.org' AS pu FROM nation")
+plain("hashes_spark", "SELECT n_nationkey, hash(cast(1 AS int)) AS h, xxhash64(cast(1 AS bigint)) AS x, crc32('ABC') AS c FROM nation", "SELECT n_nationkey, -559580957 AS h, -7001672635703045582 AS x, 2743272264 AS c FROM nation")
+plain("recursive_cte", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 12) SELECT n FROM t")
+plain("time_more", "SELECT o_orderkey, date_format(o_orderdate, 'yyyy-MM-dd') AS f, unix_timestamp(o_orderdate) AS u, weekofyear(o_orderdate) AS w, date_part('month', o_orderdate) AS m, cast(date_sub(cast(o_orderdate AS date), 3) AS string) AS b, cast(make_date(2020, 2, 29) AS string) AS md, timestampdiff(DAY, timestamp '1990-01-01', o_orderdate) AS td FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS f, epoch(o_orderdate)::bigint AS u, weekofyear(o_orderdate)::int AS w, month(o_orderdate)::int AS m, (o_orderdate::date - 3)::varchar AS b, '2020-02-29' AS md, date_diff('day', timestamp '1990-01-01', o_orderdate) AS td FROM orders")
+
+
 @query("SELECT user_id, count(*) AS sessions FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) t WHERE p IS NULL OR ts - p > interval '6 hours' GROUP BY user_id")
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions by gaps, one window over each user."""

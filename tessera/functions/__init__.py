@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: What parts terms: anything that is neither a letter nor a number.
@@ -14,14 +14,15 @@ NOT_TERM = r"[^\p{IsAlphabetic}\p{N}]+"
 SKETCH_LG = 14
 
 
-def terms(text: str) -> list[str]:
-    """Terms of a query text, repeats kept."""
-    return [t for t in re.split(r"[\W_]+", text.lower()) if t]
+def terms_sql(text: str) -> str:
+    """The terms of an SQL expression, repeats kept: the one definition, for columns, indexes and the words that are looked for."""
+    pattern = NOT_TERM.replace("\\", "\\\\")
+    return f"array_remove(split(lower({text}), '{pattern}'), '')"
 
 
-def terms_sql(column: str) -> str:
-    pattern = NOT_TERM.replace("\\", "\\\\")
-    return f"filter(split(lower({column}), '{pattern}'), t -> t <> '')"
+def terms(text: str, spark: SparkSession | None = None) -> list[str]:
+    """Terms of a query text, repeats kept; evaluated by Spark on the driver, without a job."""
+    return (spark or SparkSession.getActiveSession()).sql(f"SELECT {terms_sql(_quoted(text))}").first()[0]
 
 
 def text_terms(column: str) -> Column:
@@ -34,9 +35,7 @@ def _quoted(s: str) -> str:
 
 def matches_sql(column: str, query: str) -> str:
     """Every term of query is a term of the text; null for a null text; true if query has no terms."""
-    wanted = sorted(set(terms(query)))
-    inner = f"size(array_except(array({', '.join(map(_quoted, wanted))}), {terms_sql(column)})) = 0" if wanted else "true"
-    return f"(CASE WHEN {column} IS NULL THEN NULL ELSE {inner} END)"
+    return f"(CASE WHEN {column} IS NULL THEN NULL ELSE size(array_except({terms_sql(_quoted(query))}, {terms_sql(column)})) = 0 END)"
 
 
 def text_matches(column: str, query: str) -> Column:
@@ -91,39 +90,38 @@ class Called:
     query: str | None = None
 
 
-_CALL = re.compile(r"\b(text_matches|l2_distance|cosine_distance)\s*\(", re.I)
+#: Text in which nothing is looked for: literals, quoted names and comments.
+_APART = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/"""
+_CALL = re.compile(rf"{_APART}|\b(text_matches|l2_distance|cosine_distance)\s*\(", re.I | re.S)
+_PART = re.compile(rf"({_APART})|[(\[]|[)\]]|,", re.S)
 
 
 def _arguments(sql: str, at: int) -> tuple[list[str], int]:
     """Comma-separated arguments from just behind an opening parenthesis, and the place behind the closing one."""
-    depth, start, out, quote = 0, at, [], ""
-    i = at
-    while i < len(sql):
-        c = sql[i]
-        if quote:
-            if c == "\\":
-                i += 1
-            elif c == quote:
-                quote = ""
-        elif c in "'\"`":
-            quote = c
-        elif c in "([":
+    depth, start, out = 0, at, []
+    for m in _PART.finditer(sql, at):
+        c = m[0]
+        if m[1] is not None:
+            continue
+        if c in "([":
             depth += 1
         elif c in ")]":
             if depth == 0:
-                return [*out, sql[start:i].strip()], i + 1
+                return [*out, sql[start : m.start()].strip()], m.end()
             depth -= 1
-        elif c == "," and depth == 0:
-            out.append(sql[start:i].strip())
-            start = i + 1
-        i += 1
+        elif depth == 0:
+            out.append(sql[start : m.start()].strip())
+            start = m.end()
     raise ValueError("unbalanced parentheses")
 
 
 def expand(sql: str) -> tuple[str, list[Called]]:
     """SQL with the named functions replaced by their expressions, and what was called."""
-    out, calls, at = [], [], 0
-    while m := _CALL.search(sql, at):
+    out, calls, at, seen = [], [], 0, 0
+    while m := _CALL.search(sql, seen):
+        seen = m.end()
+        if m[1] is None:
+            continue
         name = m[1].lower()
         args, stop = _arguments(sql, m.end())
         if len(args) != 2:
@@ -140,5 +138,5 @@ def expand(sql: str) -> tuple[str, list[Called]]:
             literal = re.fullmatch(r"array\s*\((.*)\)", q, re.I | re.S)
             calls.append(Called(name, v.split(".")[-1].strip("`"), len(_arguments(literal[1] + ")", 0)[0]) if literal else None))
         out += [sql[at : m.start()], text]
-        at = stop
+        at = seen = stop
     return "".join([*out, sql[at:]]), calls

@@ -52,6 +52,9 @@ class SnapshotGraph:
     def __contains__(self, id: int) -> bool:
         return id in self._by_id
 
+    def __len__(self) -> int:
+        return len(self._by_id)
+
     def __iter__(self):
         return iter(sorted(self._by_id.values(), key=lambda s: s.id))
 

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from datetime import date
 from decimal import Decimal
 from typing import Any
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 
 from tessera.functions import Called
 from tessera.model import AggFunc, Aggregate, Eq, Filter, JoinAsk, Matches, Measure, Metric, Nearest, Opaque, Predicate
-from tessera.sources.tablelog import Table, bare
+from tessera.sources.tablelog import SHAPE_OPTION, TABLE_OPTION, Table
 
 Path = tuple[int, ...]
 
@@ -50,24 +50,28 @@ class Leaf:
     deterministic: bool = True
 
 
-def _location(node) -> str | None:
-    if simple(node) != "LogicalRelation":
+def _option(node, name: str) -> str | None:
+    """An option that a file scan was made with; None for other nodes."""
+    if simple(node) != "LogicalRelation" or simple(node.relation()) != "HadoopFsRelation":
         return None
-    relation = node.relation()
-    if simple(relation) != "HadoopFsRelation":
-        return None
-    roots = seq(relation.location().rootPaths())
-    return bare(roots[0].toString()) if roots else None
+    found = node.relation().options().get(name)
+    return found.get() if found.isDefined() else None
 
 
 def _leaf(node, path: Path, tables: list[Table]) -> Leaf | None:
-    where = _location(node)
-    if where is None:
-        return None
-    for t in tables:
-        if where.startswith(bare(t.root) + "/") or where in t.files:
-            return Leaf(t, path, {a.exprId().id(): a.name() for a in seq(node.output())})
-    return None
+    handle = _option(node, TABLE_OPTION)
+    table = next((t for t in tables if t.handle == handle), None) if handle else None
+    return Leaf(table, path, {a.exprId().id(): a.name() for a in seq(node.output())}) if table else None
+
+
+def holds_shapes(plan) -> bool:
+    """Whether some scan of the plan still is a shape. Scans within subquery expressions are not looked at."""
+    return any(_option(n, SHAPE_OPTION) for _, n in walk(plan))
+
+
+def out_of_reach(plan) -> bool:
+    """Whether scans lie where walk() doesn't come: within subquery expressions."""
+    return plan.treeString().count("Relation [") != sum(simple(n) == "LogicalRelation" for _, n in walk(plan))
 
 
 def leaves(plan, tables: list[Table]) -> list[Leaf]:
@@ -141,7 +145,12 @@ def filter_of(e, ids: dict[int, str]) -> Filter:
     return Filter(sql_of(e, ids), references(e, ids))
 
 
-_TERMS = re.compile(r"array_except\((?:ARRAY|array)\((.*?)\), filter\(split\(lower\(", re.S)
+def _sought(e) -> frozenset[str] | None:
+    """The terms that a folded text_matches looks for: the literal of an array_except against the terms of a column."""
+    if simple(e) == "ArrayExcept" and simple(e.left()) == "Literal" and simple(e.right()) == "ArrayRemove" and e.left().value() is not None:
+        found = e.left().value().array()
+        return frozenset(found[i].toString() for i in range(len(found)))
+    return next((t for c in seq(e.children()) if (t := _sought(c)) is not None), None)
 
 
 def predicate_of(e, ids: dict[int, str]) -> Predicate | None:
@@ -165,10 +174,8 @@ def predicate_of(e, ids: dict[int, str]) -> Predicate | None:
     except ValueError:
         pass
     columns = references(e, ids)
-    if m := _TERMS.search(e.sql()):
-        terms = re.findall(r"'((?:[^'\\]|\\.)*)'", m[1])
-        if terms and len(columns) == 1:
-            return Matches(next(iter(columns)), frozenset(terms))
+    if len(columns) == 1 and (terms := _sought(e)):
+        return Matches(next(iter(columns)), terms)
     return Opaque(columns) if columns else None
 
 
@@ -221,6 +228,12 @@ def _passes(node) -> bool:
     return kind in ("SubqueryAlias", "View", "Filter")
 
 
+def _folded(node):
+    """A filter with its constants folded, as the optimizer would have it."""
+    rules = SparkContext._active_spark_context._jvm.org.apache.spark.sql.catalyst.optimizer
+    return rules.UnwrapCastInBinaryComparison.apply(rules.ConstantFolding.apply(node))
+
+
 def _below(plan, path: Path) -> tuple[Path, list]:
     """The node under pass-through nodes below path, and the conjuncts met on the way."""
     met = []
@@ -228,7 +241,8 @@ def _below(plan, path: Path) -> tuple[Path, list]:
     node = at(plan, path)
     while _passes(node):
         if simple(node) == "Filter":
-            met += conjuncts(node.condition())
+            folded = _folded(node)
+            met += conjuncts((folded if simple(folded) == "Filter" else node).condition())
         path = (*path, 0)
         node = at(plan, path)
     return path, met

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.plans.planio import Path, seq, simple
 
 
-def _scala_seq(spark: SparkSession, items: list):
+def scala_seq(spark: SparkSession, items: list):
     jvm = spark._jvm
     buffer = jvm.java.util.ArrayList()
     for x in items:
@@ -22,8 +22,8 @@ def _named(spark: SparkSession, df: DataFrame, output: list) -> object:
     plan = df._jdf.queryExecution().analyzed()
     aliases = []
     for mine, theirs in zip(seq(plan.output()), output):
-        aliases.append(jvm.org.apache.spark.sql.catalyst.expressions.Alias(mine, theirs.name(), theirs.exprId(), theirs.qualifier(), jvm.scala.Option.apply(theirs.metadata()), _scala_seq(spark, [])))
-    return jvm.org.apache.spark.sql.catalyst.plans.logical.Project(_scala_seq(spark, aliases), plan)
+        aliases.append(jvm.org.apache.spark.sql.catalyst.expressions.Alias(mine, theirs.name(), theirs.exprId(), theirs.qualifier(), jvm.scala.Option.apply(theirs.metadata()), scala_seq(spark, [])))
+    return jvm.org.apache.spark.sql.catalyst.plans.logical.Project(scala_seq(spark, aliases), plan)
 
 
 def _rebuilt(spark: SparkSession, node, path: Path, put):
@@ -31,7 +31,7 @@ def _rebuilt(spark: SparkSession, node, path: Path, put):
         return put
     children = seq(node.children())
     children[path[0]] = _rebuilt(spark, children[path[0]], path[1:], put)
-    return node.withNewChildren(_scala_seq(spark, children))
+    return node.withNewChildren(scala_seq(spark, children))
 
 
 def spliced(df: DataFrame, swaps: list[tuple[Path, DataFrame]]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -16,6 +18,7 @@ from tessera.model import Aggregate, AggFunc, JoinAsk, Matches, Nearest, Plan, Q
 from tessera.operators import rolled_up
 from tessera.plans import planio
 from tessera.plans.splice import shaped, spliced
+from tessera.plans.statement import Statement, parsed
 from tessera.rule import Composition, Derived, Registry
 from tessera.sources.cache import ScanCache
 from tessera.sources.tablelog import Table
@@ -139,15 +142,14 @@ class Session:
         return sum(f.columns.get(c, 0) for c in columns) if columns and f.columns else f.bytes
 
     def _report(self, leaf: planio.Leaf, query: Query) -> ScanReport:
-        table, live = leaf.table, leaf.table.live()
+        table, sums = leaf.table, leaf.table.totals()
         columns = query.projected
-        files = {f.path for f in live}
-        r = ScanReport(table.name, table.current, len(live), len(live), table.bytes, sum(self._bytes(table, x, columns) for x in table.graph.get(table.current).files), projected=leaf.needed, columns=columns, plan=query.plan, deterministic=leaf.deterministic)
+        r = ScanReport(table.name, table.current, sums.files, sums.files, sums.bytes, sums.of(columns), projected=leaf.needed, columns=columns, plan=query.plan, deterministic=leaf.deterministic)
         r.conditions = {f.text: self._condition(f) for f in leaf.filters}
         r.texts = tuple(p for p in leaf.predicates if isinstance(p, Matches))
         r.equalities = frozenset(p.column for p in leaf.predicates if type(p).__name__ == "Eq")
         r.refused = self._refusals(query, leaf)
-        r.assumed = any(self.facts.resolve(f).assumed for f in files)
+        r.assumed = any(self.facts.resolve(f).assumed for f in sums.folders)
         return r
 
     @staticmethod
@@ -160,57 +162,78 @@ class Session:
 
     # whole queries
 
-    def _planned(self, expanded: str) -> tuple[DataFrame, bool]:
-        """The query over the tables' shapes, whose scans are all swapped for files later. Where a scan lies within a subquery expression, out of
-        the swap's reach, the query is planned over all live files instead."""
+    @contextmanager
+    def _bound(self, whole: bool) -> Iterator[None]:
+        """The tables' names stand for their shapes, or for all files that live, while something is analyzed."""
         for name, t in self.tables.items():
-            t.shape().createOrReplaceTempView(name)
+            (t.read() if whole else t.shape()).createOrReplaceTempView(name)
         try:
-            df = self.spark.sql(expanded)
-            plan = df._jdf.queryExecution().analyzed()
-            everywhere = plan.treeString().count("Relation [")
-            here = sum(planio.simple(n) == "LogicalRelation" for _, n in planio.walk(plan))
-            if everywhere == here:
-                return df, True
+            yield
         finally:
             for name in self.tables:
-                self._lazily(name)
-        for name in self.tables:
-            self.refresh(name)
-        return self.spark.sql(expanded), False
+                self.spark.catalog.dropTempView(name)
 
-    def _lazily(self, name: str) -> None:
-        """Drops the planning view; the name is bound to its files again when somebody asks for them."""
-        self.spark.catalog.dropTempView(name)
+    def _planned(self, s: Statement) -> tuple[DataFrame, bool]:
+        """The query over the tables' shapes, whose scans are all swapped for files later. Where a scan lies within a subquery expression, out of
+        the swap's reach, the query is planned over all live files instead."""
+        with self._bound(whole=False):
+            df = s.frame()
+        if not planio.out_of_reach(df._jdf.queryExecution().analyzed()):
+            return df, True
+        with self._bound(whole=True):
+            return s.frame(), False
 
     def sql(self, text: str) -> DataFrame:
         """The answer, by whatever derived state the rule allows. At most one plan-level rewrite: a cube, else a vector copy, else a join side;
-        every other scan is composed by itself. A query over the budget raises BudgetExceeded before it runs."""
+        every other scan is composed by itself. A query over the budget raises BudgetExceeded before it runs.
+
+        What the text is follows from its parsed plan. INSERT, CREATE TABLE AS and EXPLAIN get their query planned in the same way; every other
+        command runs once, as in Spark, with the names bound to all live files, and is charged for the tables that it reads.
+        """
         expanded, calls = expand(text)
         with self._lock:
-            df, bare_shapes = self._planned(expanded)
-            if text.lstrip().split(" ", 1)[0].upper() not in ("SELECT", "WITH", "FROM", "VALUES", "(SELECT"):
-                return df
-            plan = df._jdf.queryExecution().analyzed()
-            found = planio.asks(df, list(self.tables.values()))
-            reports: dict[planio.Path, ScanReport] = {}
-            swaps: list[tuple[planio.Path, DataFrame]] = []
-            for leaf in found:
-                reports[leaf.path] = self._report(leaf, self.query_of(leaf))
-            taken = self._cube(plan, found, reports, swaps) or self._nearest(plan, found, calls, reports, swaps) or self._join(plan, found, reports, swaps)
-            for leaf in found:
-                if leaf.path == taken:
-                    continue
-                r, q = reports[leaf.path], self.query_of(leaf, **({"nearest": reports[leaf.path].nearest} if reports[leaf.path].nearest else {}), **({"aggregate": reports[leaf.path].aggregate} if reports[leaf.path].aggregate else {}))
-                other = self._composed(leaf, self.registry.compose(Query(**(q.__dict__ | {"aggregate": None, "nearest": None, "join": None})), leaf.table.graph), r)
-                if other is None and bare_shapes:
-                    files = leaf.table.graph.get(leaf.table.current).files
-                    other = leaf.table.read() if self.cache is None else self._cached(leaf.table, files, r)
-                if other is not None:
-                    swaps.append((leaf.path, shaped(other, planio.at(plan, leaf.path))))
-            self.last_scan = list(reports.values())
-            self._charge()
-            return spliced(df, swaps) if swaps else df
+            s = parsed(self.spark, expanded)
+            if s.kind == "other":
+                return self._command(s, expanded)
+            df, bare_shapes = self._planned(s)
+            swaps = self._swaps(df, bare_shapes, calls)
+            if s.kind != "explain":
+                self._charge()
+            answer = spliced(df, swaps) if swaps else df
+            if bare_shapes and planio.holds_shapes(answer._jdf.queryExecution().analyzed()):
+                raise AssertionError("a scan was left without files")
+            return s.around(answer)
+
+    def _command(self, s: Statement, expanded: str) -> DataFrame:
+        self.last_scan = []
+        if s.reads:
+            named = s.named()
+            self.last_scan = [ScanReport(t.name, t.current, t.totals().files, t.totals().files, t.bytes, t.bytes) for t in self.tables.values() if t.name.lower() in named]
+        self._charge()
+        with self._bound(whole=True):
+            return self.spark.sql(expanded)
+
+    def _swaps(self, df: DataFrame, bare_shapes: bool, calls) -> list[tuple[planio.Path, DataFrame]]:
+        """What stands for which nodes of the analyzed plan; reports go to last_scan."""
+        plan = df._jdf.queryExecution().analyzed()
+        found = planio.asks(df, list(self.tables.values()))
+        reports: dict[planio.Path, ScanReport] = {}
+        swaps: list[tuple[planio.Path, DataFrame]] = []
+        for leaf in found:
+            reports[leaf.path] = self._report(leaf, self.query_of(leaf))
+        taken = self._cube(plan, found, reports, swaps) or self._nearest(plan, found, calls, reports, swaps) or self._join(plan, found, reports, swaps)
+        for leaf in found:
+            if leaf.path == taken:
+                continue
+            r = reports[leaf.path]
+            composed = self.registry.compose(self.query_of(leaf), leaf.table.graph) if len(self.registry) else Composition()
+            other = self._composed(leaf, composed, r)
+            if other is None and bare_shapes:
+                other = leaf.table.read() if self.cache is None else self._cached(leaf.table, leaf.table.graph.get(leaf.table.current).files, r)
+            if other is not None:
+                swaps.append((leaf.path, shaped(other, planio.at(plan, leaf.path))))
+        self.last_scan = list(reports.values())
+        return swaps
 
     def _charge(self) -> None:
         for r in self.last_scan:
@@ -225,7 +248,7 @@ class Session:
                 raise
             finally:
                 r.usd, r.wait_s = self.meter.spent.usd - before.usd, self.meter.spent.wait_s - before.wait_s
-            saved = sum(f.bytes for f in table.live()) - r.bytes_planned
+            saved = table.bytes - r.bytes_planned
             for id in r.used:
                 self.registry.record_use(id, max(0, saved))
             if self.observe:
@@ -298,7 +321,10 @@ class Session:
         """What would be used and what is refused, piece by piece, without reading any data."""
         expanded, calls = expand(text)
         with self._lock:
-            df, _ = self._planned(expanded)
+            s = parsed(self.spark, expanded)
+            if s.query is None:
+                return "a command: runs over all live files"
+            df, _ = self._planned(s)
             lines = []
             plan = df._jdf.queryExecution().analyzed()
             found = planio.asks(df, list(self.tables.values()))
@@ -311,7 +337,7 @@ class Session:
                 if near and near[0].path == leaf.path:
                     asks["nearest"] = near[1]
                 query = self.query_of(leaf, **asks)
-                lines.append(f"scan {leaf.table.name} at snapshot {leaf.table.current}: {len(leaf.table.live())} files, {leaf.table.bytes} bytes")
+                lines.append(f"scan {leaf.table.name} at snapshot {leaf.table.current}: {leaf.table.totals().files} files, {leaf.table.bytes} bytes")
                 lines += [f"  asks {p}" for p in query.predicates]
                 for id, d in self.registry.assess(query, leaf.table.graph):
                     if isinstance(d, Reject):

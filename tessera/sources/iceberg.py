@@ -189,9 +189,11 @@ class IcebergTable(Table):
         gone = self.spark.read.schema("file_path string, pos bigint").parquet(*(p for _, p in deletes)).select(F.regexp_replace("file_path", BARE, "").alias("_gone"), "pos")
         return df.join(gone, (F.col("_file") == F.col("_gone")) & (F.col("_row") == F.col("pos")), "left_anti")
 
-    def commit(self, *args, **kwargs):
+    def _change(self, *args, **kwargs):
         raise PermissionError("Iceberg tables are read-only here")
 
+    _added = commit = _change
+
 
 def _bounds(d: dict, kinds: dict[int, tuple[str, str]]) -> dict[str, tuple[float, float]]:
     """Numeric bounds by column; strings and the like have no distance and are left out."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import dataclass, field
+from datetime import date
+from decimal import Decimal
 
 from tessera import operators as ops
 from tessera.kinds import Bitmap, Cube, FilterSet, Index, JoinHash, MaterializedResult, Projection, TextIndex, VectorIndex
@@ -14,11 +16,27 @@ from tessera.sources.tablelog import Table
 from tessera.workload import Workload
 
 #: Changes whenever descriptions or side tables change their meaning; others are not read.
-VERSION = 1
+VERSION = 2
 
 
 def _filter(f: Filter) -> list:
-    return [f.text, sorted(f.columns)]
+    """Text, columns, op, and the value with its type, so that implications hold after recovery as before."""
+    v = f.value
+    if isinstance(v, Decimal):
+        value = ["decimal", str(v)]
+    elif isinstance(v, date):
+        value = ["date", v.isoformat()]
+    elif isinstance(v, tuple):
+        value = ["tuple", list(v)]
+    else:
+        value = ["plain", v]
+    return [f.text, sorted(f.columns), f.op, value]
+
+
+def _filter_from(doc: list) -> Filter:
+    text, columns, op, (kind, v) = doc
+    value = {"decimal": Decimal, "date": date.fromisoformat, "tuple": tuple}.get(kind, lambda x: x)(v)
+    return Filter(text, frozenset(columns), op, value)
 
 
 def _scopes(files: dict[str, Scope]) -> dict:
@@ -48,7 +66,7 @@ def describe(piece: Derived) -> dict:
 
 def _kind(table: Table, d: dict):
     what, path, size = d["what"], d["path"], d["bytes"]
-    filters = lambda: frozenset(Filter(t, frozenset(c)) for t, c in what["filters"])
+    filters = lambda: frozenset(map(_filter_from, what["filters"]))
     match d["kind"]:
         case "index":
             return Index(what["column"], ops.equality_probe(table, path, what["column"], False), size, path)
@@ -57,7 +75,7 @@ def _kind(table: Table, d: dict):
         case "text":
             return TextIndex(what["column"], ops.term_probe(table, path), size, path)
         case "filter-set":
-            return FilterSet(Filter(what["filter"][0], frozenset(what["filter"][1])), ops.filter_files(table, path), size, path)
+            return FilterSet(_filter_from(what["filter"]), ops.filter_files(table, path), size, path)
         case "materialized":
             return MaterializedResult(path, size, Plan(frozenset(what["projected"]), filters()))
         case "cube":
@@ -103,7 +121,7 @@ def recover(table: Table, registry: Registry | None = None, policy: str | None =
     discarded and named; side tables that no description names are listed as orphans. The table itself is never at stake."""
     out = Recovered(registry or Registry())
     known: set[str] = set()
-    for path, _ in table.store.list(f"{table.root}/_derived/_meta"):
+    for path, _ in table.store.list(f"{table.root}/_derived/_meta", deep=False):
         if not path.endswith(".json"):
             continue
         try:

@@ -10,15 +10,13 @@ from tessera.sources.tablelog import Table
 
 
 def commit_stream(stream: DataFrame, table: Table, checkpoint: str, **trigger) -> StreamingQuery:
-    """Appends each batch as a commit. A batch that is run again after a failure finds its number in the log and isn't appended twice."""
+    """Appends each batch as a commit, exactly once. The batch's number is part of the commit's document, under the name of the stream's
+    checkpoint: a batch that is run again after a failure finds its number there, and one whose commit was lost finds none. Empty batches commit nothing."""
 
     def one(batch: DataFrame, number: int) -> None:
-        mark = f"{table.root}/_log/_batches/{number}"
-        if table.store.exists(mark):
-            return
-        if not batch.isEmpty():
-            table.append(batch)
-        table.store.write(mark, str(table.current))
+        table.catch_up()
+        if table.batches.get(checkpoint, -1) < number and not batch.isEmpty():
+            table.append(batch, (checkpoint, number))
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

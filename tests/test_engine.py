@@ -14,7 +14,9 @@ from tessera.functions import expand, terms
 from tessera.model import AggFunc, Aggregate, Filter, Measure, Metric, Plan
 from tessera.session import APPROXIMATE, STALE, Session
 from tessera.sources.cache import ScanCache
-from tessera.sources.tablelog import Table, bare
+from tessera.sources.tablelog import CommitConflict, DataFile, Store, Table, bare, footers
+from tessera.store import persist, recover
+from tessera.streaming import commit_stream
 
 
 @pytest.fixture
@@ -251,3 +253,171 @@ def test_a_repeated_scan_reads_nothing(made):
     tiny = ScanCache(1)
     tiny.read(t, [bare(t.live()[0].path)], ["n"])
     assert tiny.bytes == 0
+
+
+SHAPES_OF_TEXT = ("SELECT\n  n FROM ev", "SELECT\tn FROM ev", "/* why */ SELECT n FROM ev", "-- why\nSELECT n FROM ev", "WITH\nx AS (SELECT n FROM ev) SELECT n FROM x", "TABLE ev", "( SELECT n FROM ev )", "FROM ev SELECT n", "FROM ev |> SELECT n", "select n from EV", "SELECT n, 'Relation [' AS r, \"text_matches(x)\" AS t FROM ev")
+
+
+@pytest.mark.parametrize("sql", SHAPES_OF_TEXT)
+def test_text_as_people_write_it(made, sql):
+    s, t = made
+    assert s.sql(sql).count() == 800
+    small = Session(s.spark, budget=Budget(bytes=1))
+    small.attach(t)
+    with pytest.raises(BudgetExceeded):
+        small.sql(sql)
+
+
+def test_commands_run_once_over_live_files(made):
+    s, t = made
+    s.registry.register(ops.build_index(t, "user"))
+    name = f"made_{uuid.uuid4().hex}"
+    small = Session(s.spark, budget=Budget(bytes=1))
+    small.attach(t)
+    for refused in (f"CREATE TABLE {name} USING parquet AS SELECT * FROM ev", f"INSERT OVERWRITE DIRECTORY '{t.root}/out' USING parquet SELECT * FROM ev", "CACHE TABLE kept AS SELECT * FROM ev"):
+        with pytest.raises(BudgetExceeded):
+            Session(s.spark, budget=Budget(bytes=1)).attach(t) and small.sql(refused)
+    try:
+        s.sql(f"CREATE TABLE {name} USING parquet AS\nSELECT * FROM ev WHERE user = 3")
+        assert s.last_scan[0].files_read == 1 and s.spark.table(name).count() == 100
+        s.sql(f"INSERT INTO {name} SELECT * FROM ev")
+        assert s.spark.table(name).count() == 900
+        s.sql(f"WITH x AS (SELECT * FROM ev WHERE user = 2) INSERT INTO {name} SELECT * FROM x")
+        assert s.spark.table(name).count() == 1000 and s.last_scan[0].files_read == 1
+        s.sql(f"FROM ev INSERT INTO {name} SELECT * WHERE user = 1 INSERT INTO {name} SELECT * WHERE user > 9")
+        assert s.spark.table(name).count() == 1100
+        s.sql(f"INSERT OVERWRITE DIRECTORY '{t.root}/out' USING parquet SELECT n FROM ev")
+        assert s.spark.read.parquet(f"{t.root}/out").count() == 800
+        assert any(r[1] == name for r in s.sql("SHOW TABLES").collect())
+        assert s.sql("DESCRIBE ev").count() == 4
+        assert "Scan parquet" in s.sql("EXPLAIN FORMATTED SELECT n FROM ev WHERE user = 3").first()[0]
+        s.sql("CREATE OR REPLACE TEMP VIEW evens AS SELECT * FROM ev WHERE n % 2 = 0")
+        assert s.sql("SELECT * FROM evens WHERE user = 4").count() == 100 and s.last_scan[0].files_read == 1
+        s.sql("SET tessera.some = 1")
+        assert s.spark.conf.get("tessera.some") == "1"
+        with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+            s.sql(f"CREATE TABLE {name} USING parquet AS SELECT * FROM ev")
+    finally:
+        s.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_two_snapshots_of_one_table_under_two_names(made):
+    s, t = made
+    first = t.current
+    t.append(t.read().limit(5))
+    old = Table.open(s.spark, "old", t.root, at=first)
+    s.attach(old)
+    assert s.sql("SELECT (SELECT count(*) FROM old) AS a, (SELECT count(*) FROM ev) AS b").collect() == [(800, 805)]
+    assert s.sql("SELECT 1 AS x, count(*) AS c FROM old UNION ALL SELECT 2, count(*) FROM ev ORDER BY x").collect() == [(1, 800), (2, 805)]
+
+
+SCRIPTS = ["हिन्दी में लिखा", "กรุงเทพ มหานคร", "İstanbul DİYARBAKIR", "cafe\u0301 na\u00efve", "Ελλάδα ΣΟΦΟΣ", "日本語 テキスト", "x² ½ Ⅳ", "under_score", None]
+
+
+def test_terms_of_all_scripts(spark, tmp_path):
+    t = Table.create(spark.createDataFrame(list(enumerate(SCRIPTS)), "id int, body string").repartitionByRange(len(SCRIPTS), "id"), "scripts", f"file://{tmp_path}/scripts")
+    s = Session(spark)
+    s.attach(t)
+    for indexed in (False, True):
+        for i, body in enumerate(SCRIPTS[:-1]):
+            for word in (body, *body.split()):
+                rows = s.sql(f"SELECT id FROM scripts WHERE text_matches(body, '{word}')").collect()
+                assert [r[0] for r in rows] == [i], (word, indexed)
+                assert s.last_scan[0].files_read == (1 if indexed else len(t.live()))
+        s.registry.register(ops.build_text_index(t, "body"))
+    assert s.sql("SELECT id FROM scripts WHERE text_matches(body, 'underscore')").count() == 0
+    assert s.sql("SELECT id FROM scripts WHERE /* text_matches(a) */ text_matches(body, 'score') -- text_matches(").count() == 1
+
+
+def test_two_writers(made):
+    s, t = made
+    a, b = Table.open(s.spark, "ev", t.root), Table.open(s.spark, "ev", t.root)
+    a.append(t.read().limit(5))
+    b.append(t.read().limit(7))
+    assert Table.open(s.spark, "ev", t.root).read().count() == 812 and b.read().count() == 812
+    with pytest.raises(CommitConflict):
+        a.delete_where("n = 3")  # rows that were added meanwhile haven't been looked at
+    a = Table.open(s.spark, "ev", t.root)
+    c = Table.open(s.spark, "ev", t.root)
+    some = [bare(f.path) for f in t.live()[:2]]
+    a.compact(some)
+    with pytest.raises(CommitConflict):
+        c.compact(some)
+    with pytest.raises(CommitConflict):
+        c.delete_where("n >= 0")
+    c.append(t.read().limit(1))
+    assert Table.open(s.spark, "ev", t.root).read().count() == 813
+    with pytest.raises(FileExistsError):
+        Table.create(t.read(), "ev", t.root)
+    store = a.store
+    assert store.create(f"{t.root}/once", "1") and not store.create(f"{t.root}/once", "2") and store.read(f"{t.root}/once") == "1"
+    store.write(f"{t.root}/once", "3")
+    assert store.read(f"{t.root}/once") == "3"
+
+
+def test_writers_at_once_lose_nothing(made):
+    from concurrent.futures import ThreadPoolExecutor
+
+    s, t = made
+    rows = t.read().limit(1)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda _: [Table.open(s.spark, "ev", t.root).append(rows) for _ in range(3)], range(4)))
+    again = Table.open(s.spark, "ev", t.root)
+    assert again.current == 13 and again.read().count() == 812
+
+
+def test_opening_reads_a_checkpoint_and_what_follows(made, monkeypatch):
+    s, t = made
+    for i in range(119):
+        t._change([DataFile(f"file:///nowhere/{i}", 10, 1)], batch=("stream", i))
+    read = []
+    real = Store.read
+    monkeypatch.setattr(Store, "read", lambda self, path: read.append(path) or real(self, path))
+    again = Table.open(s.spark, "ev", t.root)
+    assert again.current == 120 and again.totals().files == 8 + 119 and len(read) == 21 and again.batches == {"stream": 118}
+    assert Table.open(s.spark, "ev", t.root, at=30).totals().files == 8 + 29 and Table.open(s.spark, "ev", t.root, at=60).totals().files == 8 + 59
+    assert again.graph.diff(1, 120).additive and len(again.graph.diff(10, 70).added) == 60 and again.graph.descends(120, 1)
+
+
+def test_footers_by_tasks_are_the_same(made):
+    s, t = made
+    s.spark.sql("SELECT 1 AS a, cast(null AS int) AS b, 1.5D AS c, timestamp '2020-01-01' AS ts, array(1, 2) AS xs, 'x' AS z, named_struct('u', 7L) AS st").coalesce(1).write.parquet(f"{t.root}/kinds")
+    paths = [(f.path, f.bytes) for f in t.live()] + [x for x in t.store.list(f"{t.root}/kinds") if x[0].endswith(".parquet")]
+    here, there = footers(t.store, paths), footers(t.store, paths, here=0)
+    assert sorted(here, key=lambda f: f.path) == there
+
+
+def test_a_batch_is_committed_once(spark, tmp_path):
+    t = Table.create(spark.range(3), "st", f"file://{tmp_path}/st")
+    late = Table.open(spark, "st", t.root)
+    assert t.append(spark.range(2), ("here", 0)) == 2
+    # the same batch again, by a writer that has seen the commit, and by one that hasn't
+    for again in (t, late):
+        assert again.append(spark.range(2), ("here", 0)) == 2
+    assert late.read().count() == 5 and Table.open(spark, "st", t.root).read().count() == 5
+    spark.range(4).write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
+    fresh = Table.open(spark, "st", t.root)
+    append = Table.append
+    try:
+        def crash(self, df, batch=None):
+            append(self, df, batch)
+            raise RuntimeError("between the commit and the stream's own log")
+
+        Table.append = crash
+        with pytest.raises(Exception, match="between"):
+            commit_stream(stream(), fresh, f"{tmp_path}/ck").awaitTermination()
+    finally:
+        Table.append = append
+    commit_stream(stream(), Table.open(spark, "st", t.root), f"{tmp_path}/ck").awaitTermination()
+    assert Table.open(spark, "st", t.root).read().count() == 9
+
+
+def test_recovered_cube_serves_implied_ranges(made):
+    s, t = made
+    ask = Aggregate(("kind", "user"), (Measure(AggFunc.COUNT),))
+    persist(t, ops.build_cube(t, ask, [(Filter("user >= bigint:2L", frozenset(("user",)), ">=", 2), "user >= 2")]))
+    found = recover(t)
+    assert not found.discarded
+    s.registry = found.registry
+    assert same(s, "SELECT kind, count(*) AS c FROM ev WHERE user >= 3 GROUP BY kind").used
