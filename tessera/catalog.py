@@ -63,12 +63,22 @@ def table_of(spark: SparkSession, sf_dir: str, layout: str, fresh: bool = False)
     return _tables[key]
 
 
-#: The session of the last aided query, for who wants to see what was used.
+#: The session of the last aided query, for who wants to see what it asked and what was used.
 latest: list[Session] = []
 
 
+class Noted(Session):
+    """A session that knows its last question."""
+
+    asked = ""
+
+    def sql(self, text: str) -> DataFrame:
+        self.asked = text
+        return super().sql(text)
+
+
 def session_of(spark: SparkSession, *tables: Table, **settings) -> Session:
-    s = Session(spark, **settings)
+    s = Noted(spark, **settings)
     latest[:] = [s]
     for t in tables:
         s.attach(t)

@@ -6,7 +6,7 @@ file, or the rows admitted while they are few.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from tessera.model import WHOLE, Aggregate, Eq, Filter, Matches, Measure, Metric, Prune, Query, Rewrite, Rollup, Scope, Substitute
@@ -170,24 +170,29 @@ class Projection(Stored):
 
 @dataclass
 class VectorIndex(Stored):
-    """A flat copy for one vector column, metric and dimension. The number of rows asked for and the vector don't matter."""
+    """A flat copy for one vector column, metric and dimension, with some columns beside it (all, if none are named). The number of rows
+    asked for and the vector don't matter."""
 
     column: str = ""
     metric: Metric = Metric.L2
     dimension: int = 0
+    columns: frozenset[str] = frozenset()
     name = "vector"
 
     def matches(self, query: Query) -> Rewrite | None:
         n = query.nearest
-        return Substitute(unionable=False) if n and (n.column, n.metric, n.dimension) == (self.column, self.metric, self.dimension) else None
+        if not n or (n.column, n.metric, n.dimension) != (self.column, self.metric, self.dimension):
+            return None
+        return Substitute(unionable=False) if not self.columns or query.projected <= self.columns else None
 
 
 @dataclass
 class JoinHash(Stored):
-    """The build side of an equi-join, dealt by its keys."""
+    """The build side of an equi-join, in buckets of its keys (0: in none)."""
 
     keys: tuple[str, ...] = ()
     columns: frozenset[str] = frozenset()
+    buckets: int = 0
     name = "join_hash"
 
     def matches(self, query: Query) -> Rewrite | None:
@@ -198,13 +203,6 @@ class JoinHash(Stored):
 ALL = (Index, Bitmap, FilterSet, TextIndex, ResultCache, MaterializedResult, Cube, Projection, VectorIndex, JoinHash)
 
 
-def postings(found: Iterable[tuple[str, str]]) -> dict[str, frozenset[str]]:
-    out: dict[str, set[str]] = {}
-    for key, file in found:
-        out.setdefault(key, set()).add(file)
-    return {k: frozenset(v) for k, v in out.items()}
-
-
 @dataclass
 class InMemory:
     """Postings held in memory, for tests and small tables: an EqProbe and a TermProbe."""

@@ -8,10 +8,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
 
 from tessera.functions import hll_state, terms_sql
 from tessera.kinds import Bitmap, Cube, FilterSet, Index, JoinHash, MaterializedResult, Projection, TextIndex, VectorIndex
 from tessera.model import WHOLE, AggFunc, Aggregate, Filter, Matches, Measure, Metric, Plan, Scope
+from tessera.plans.buckets import write_buckets
 from tessera.rule import Derived
 from tessera.sources.tablelog import Table, bare
 
@@ -29,10 +31,19 @@ def piece_id(kind: str, table: Table, *what: object) -> str:
     return f"{kind}:{table.id}:" + ":".join(map(str, what))
 
 
+def _side_path(table: Table, id: str, policy: str) -> str:
+    return f"{table.root}/_derived/{_digest(id, policy)}/{table.current}-{_digest(id, policy, table.current)}"
+
+
 def _side(table: Table, df: DataFrame, id: str, policy: str) -> tuple[str, int]:
-    path = f"{table.root}/_derived/{_digest(id, policy)}/{table.current}-{_digest(id, policy, table.current)}"
+    path = _side_path(table, id, policy)
     df.write.mode("overwrite").parquet(path)
-    return path, sum(n for p, n in table.store.list(path) if p.endswith(".parquet"))
+    return path, _size(table, path)
+
+
+def _size(table: Table, path: str) -> int:
+    table.forget_side(path)
+    return sum(n for p, n in table.store.list(path) if p.endswith(".parquet"))
 
 
 def equality_probe(table: Table, path: str, column: str, rows: bool) -> Callable[[frozenset], dict[str, Scope]]:
@@ -56,7 +67,8 @@ def equality_probe(table: Table, path: str, column: str, rows: bool) -> Callable
                 else:
                     found = {r["file"]: WHOLE for r in per_file}
             else:
-                found = {r[0]: WHOLE for r in hit.select("file").collect()}  # a row for each file and value: no need to bring them together
+                hit = hit.select("file")  # a row for each file and value: of one value there is nothing to bring together
+                found = {r[0]: WHOLE for r in (hit.distinct() if len(values) > 1 else hit).collect()}
             known[values] = found
         return known[values]
 
@@ -75,7 +87,7 @@ def term_probe(table: Table, path: str) -> Callable[[str], frozenset[str]]:
 
 
 def _dealt(table: Table, df: DataFrame, key: str, bytes: float) -> DataFrame:
-    n = max(1, min(1024, int(bytes / SHARD_BYTES) + 1))
+    n = int(bytes / SHARD_BYTES) + 1
     return df.repartitionByRange(n, key).sortWithinPartitions(key)
 
 
@@ -196,23 +208,27 @@ def build_cube(table: Table, aggregate: Aggregate, filters: list[tuple[Filter, s
     return Derived(id, table.name, table.current, Cube(path, size, keys, stored, frozenset(f for f, _ in filters)), policy)
 
 
-def build_vector_index(table: Table, column: str, metric: Metric, dimension: int, policy: str = "") -> Derived:
-    """A flat copy for a vector column; vectors of another dimension are refused, as searching them would be."""
+def build_vector_index(table: Table, column: str, metric: Metric, dimension: int, policy: str = "", columns: frozenset[str] | None = None) -> Derived:
+    """A flat copy of a vector column beside the columns named (all of fixed width, if none are): a search reads neither texts nor other
+    vectors and needs no check of dimensions. Vectors of another dimension are refused, as searching them would be."""
     bad = table.read().where(F.col(column).isNotNull() & (F.size(column) != dimension)).limit(1).count()
     if bad:
         raise ValueError(f"{column} has vectors of other dimensions than {dimension}")
+    narrow = frozenset(f.name for f in table.schema if isinstance(f.dataType, (NumericType, BooleanType, DateType, TimestampType)))
+    columns = (narrow if columns is None else columns) | {column}
     id = piece_id("vec", table, column, metric.value, dimension)
-    path, size = _side(table, table.read(), id, policy)
-    return Derived(id, table.name, table.current, VectorIndex(path, size, column, metric, dimension), policy)
+    path, size = _side(table, table.read().select(*[c for c in table.schema.names if c in columns]), id, policy)
+    return Derived(id, table.name, table.current, VectorIndex(path, size, column, metric, dimension, frozenset(columns)), policy)
 
 
 def build_join_hash(table: Table, keys: tuple[str, ...], columns: frozenset[str], policy: str = "") -> Derived:
-    """The build side of a join, dealt by its keys into shards of about SHARD_BYTES."""
+    """The build side of a join in buckets of its keys of about SHARD_BYTES, sorted within: a join shuffles the other side alone."""
     keys = tuple(sorted(keys))
     id = piece_id("jh", table, _digest(keys, sorted(columns)))
-    n = max(1, min(1024, table.bytes // SHARD_BYTES + 1))
-    path, size = _side(table, table.read().select(*sorted(columns | set(keys))).repartition(n, *keys), id, policy)
-    return Derived(id, table.name, table.current, JoinHash(path, size, keys, frozenset(columns | set(keys))), policy)
+    n = int(table.bytes // SHARD_BYTES) + 1
+    path = _side_path(table, id, policy)
+    write_buckets(table.read().select(*sorted(columns | set(keys))), path, n, keys)
+    return Derived(id, table.name, table.current, JoinHash(path, _size(table, path), keys, frozenset(columns | set(keys)), n), policy)
 
 
 def estimate_overlap(table: Table, column: str) -> float | None:

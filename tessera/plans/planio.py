@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from datetime import date
+from functools import lru_cache
 from decimal import Decimal
 from typing import Any
 
@@ -17,6 +18,14 @@ from tessera.sources.tablelog import SHAPE_OPTION, TABLE_OPTION, Table
 Path = tuple[int, ...]
 
 
+@lru_cache(maxsize=256)
+def java(jvm, name: str):
+    """A class of the JVM; without this, each part of its name is a trip there."""
+    for part in name.split("."):
+        jvm = getattr(jvm, part)
+    return jvm
+
+
 def seq(x) -> list:
     return [x.apply(i) for i in range(x.size())]
 
@@ -230,8 +239,8 @@ def _passes(node) -> bool:
 
 def _folded(node):
     """A filter with its constants folded, as the optimizer would have it."""
-    rules = SparkContext._active_spark_context._jvm.org.apache.spark.sql.catalyst.optimizer
-    return rules.UnwrapCastInBinaryComparison.apply(rules.ConstantFolding.apply(node))
+    rule = lambda name: java(SparkContext._active_spark_context._jvm, f"org.apache.spark.sql.catalyst.optimizer.{name}")
+    return rule("UnwrapCastInBinaryComparison").apply(rule("ConstantFolding").apply(node))
 
 
 def _below(plan, path: Path) -> tuple[Path, list]:
@@ -361,3 +370,41 @@ def join_ask(plan, found: list[Leaf], needed: dict[Path, frozenset[str]]) -> tup
                     keys.append(next(s for s in sides if s is not None))
         return (leaf, JoinAsk(tuple(sorted(keys)), needed.get(leaf.path, leaf.needed))) if keys else None
     return None
+
+
+# --- what was read ----------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Scanned:
+    """Files, their bytes, and rows out of the file scans of a query that has run."""
+
+    files: int = 0
+    bytes: int = 0
+    rows: int = 0
+
+
+def scanned(df: DataFrame) -> Scanned:
+    """Of the metrics of the plan that df has run; scans that are used twice count once."""
+    out, seen = Scanned(), set()
+
+    def visit(node) -> None:
+        kind = simple(node)
+        if kind == "AdaptiveSparkPlanExec":
+            return visit(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return visit(node.plan())
+        if kind in ("FileSourceScanExec", "BatchScanExec"):
+            if node.id() not in seen:
+                seen.add(node.id())
+                for name in ("numFiles", "filesSize", "numOutputRows"):
+                    metric = node.metrics().get(name)
+                    if metric.isDefined():
+                        place = {"numFiles": "files", "filesSize": "bytes", "numOutputRows": "rows"}[name]
+                        setattr(out, place, getattr(out, place) + metric.get().value())
+            return None
+        for c in [*seq(node.children()), *seq(node.subqueries())]:
+            visit(c)
+
+    visit(df._jdf.queryExecution().executedPlan())
+    return out

@@ -2,28 +2,36 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans.planio import Path, seq, simple
+from tessera.plans.planio import Path, java, seq, simple
 
 
 def scala_seq(spark: SparkSession, items: list):
     jvm = spark._jvm
-    buffer = jvm.java.util.ArrayList()
+    buffer = java(jvm, "java.util.ArrayList")()
     for x in items:
         buffer.add(x)
-    return jvm.scala.jdk.javaapi.CollectionConverters.asScala(buffer).toSeq()
+    return java(jvm, "scala.jdk.javaapi.CollectionConverters").asScala(buffer).toSeq()
+
+
+@lru_cache(maxsize=4)
+def _nothing(jvm):
+    return java(jvm, "scala.jdk.javaapi.CollectionConverters").asScala(java(jvm, "java.util.ArrayList")()).toSeq()
 
 
 def _named(spark: SparkSession, df: DataFrame, output: list) -> object:
     """df's plan under a projection that gives its columns, by place, the names and expression ids of output."""
     jvm = spark._jvm
     plan = df._jdf.queryExecution().analyzed()
+    alias, option = java(jvm, "org.apache.spark.sql.catalyst.expressions.Alias"), java(jvm, "scala.Option")
     aliases = []
     for mine, theirs in zip(seq(plan.output()), output):
-        aliases.append(jvm.org.apache.spark.sql.catalyst.expressions.Alias(mine, theirs.name(), theirs.exprId(), theirs.qualifier(), jvm.scala.Option.apply(theirs.metadata()), scala_seq(spark, [])))
-    return jvm.org.apache.spark.sql.catalyst.plans.logical.Project(scala_seq(spark, aliases), plan)
+        aliases.append(alias(mine, theirs.name(), theirs.exprId(), theirs.qualifier(), option.apply(theirs.metadata()), _nothing(jvm)))
+    return java(jvm, "org.apache.spark.sql.catalyst.plans.logical.Project")(scala_seq(spark, aliases), plan)
 
 
 def _rebuilt(spark: SparkSession, node, path: Path, put):
@@ -43,8 +51,12 @@ def spliced(df: DataFrame, swaps: list[tuple[Path, DataFrame]]) -> DataFrame:
         for i in path:
             node = node.children().apply(i)
         plan = _rebuilt(spark, plan, path, _named(spark, other, seq(node.output())))
-    out = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan)
-    return DataFrame(out, spark)
+    return frame(spark, plan)
+
+
+def frame(spark: SparkSession, plan) -> DataFrame:
+    """A DataFrame of a logical plan; a command runs now, as with spark.sql."""
+    return DataFrame(java(spark._jvm, "org.apache.spark.sql.classic.Dataset").ofRows(spark._jsparkSession, plan), spark)
 
 
 def shaped(df: DataFrame, like: object) -> DataFrame:
@@ -58,4 +70,4 @@ def shaped(df: DataFrame, like: object) -> DataFrame:
     return df.select(*columns)
 
 
-__all__ = ["shaped", "simple", "spliced"]
+__all__ = ["frame", "scala_seq", "shaped", "simple", "spliced"]

@@ -9,19 +9,23 @@ from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.plans.planio import seq, simple, walk
-from tessera.plans.splice import scala_seq
+from tessera.plans.splice import frame, scala_seq
 
 _LOGICAL = "org.apache.spark.sql.catalyst.plans.logical."
 #: Commands whose last child is the query that they write.
 WRITES = ("InsertIntoStatement", "CreateTableAsSelect", "ReplaceTableAsSelect", "InsertIntoDir")
 #: Commands that name tables without reading rows of them.
 _NAMES_ONLY = re.compile(r"(Create|Alter|Drop|Describe|Show|Set|Reset|Explain|Use|Uncache|Refresh|Comment)(?!.*AsSelect)")
+#: Common nodes that are no commands, to save asking.
+_PLAIN = frozenset("Aggregate Distinct Filter GlobalLimit Join LocalLimit LocalRelation OneRowRelation Project Sort SubqueryAlias Union UnresolvedHaving UnresolvedRelation UnresolvedWith".split())
 _NAMED = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
 
 
 def _is_command(spark: SparkSession, node) -> bool:
-    gateway = spark.sparkContext._gateway
-    return simple(node) in (*WRITES, "UnresolvedExecuteImmediate") or is_instance_of(gateway, node, _LOGICAL + "Command") or is_instance_of(gateway, node, _LOGICAL + "ParsedStatement")
+    gateway, kind = spark.sparkContext._gateway, simple(node)
+    if kind in _PLAIN:
+        return False
+    return kind in (*WRITES, "UnresolvedExecuteImmediate") or is_instance_of(gateway, node, _LOGICAL + "Command") or is_instance_of(gateway, node, _LOGICAL + "ParsedStatement")
 
 
 @dataclass
@@ -56,11 +60,6 @@ class Statement:
         return df
 
 
-def frame(spark: SparkSession, plan) -> DataFrame:
-    """A DataFrame of a logical plan; a command runs now, as with spark.sql."""
-    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan), spark)
-
-
 def parsed(spark: SparkSession, text: str) -> Statement:
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     commands = [n for _, n in walk(plan) if _is_command(spark, n)]

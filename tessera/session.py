@@ -17,6 +17,7 @@ from tessera.functions import expand
 from tessera.model import Aggregate, AggFunc, JoinAsk, Matches, Nearest, Plan, Query, Reject, Scope, Substitute, Use
 from tessera.operators import rolled_up
 from tessera.plans import planio
+from tessera.plans.buckets import read_buckets
 from tessera.plans.splice import shaped, spliced
 from tessera.plans.statement import Statement, parsed
 from tessera.rule import Composition, Derived, Registry
@@ -65,9 +66,12 @@ class Session:
     def __init__(self, spark: SparkSession, registry: Registry | None = None, policy: str = "", budget: Budget | None = None, prices: PriceTable = CLOUD, facts: StorageFacts | None = None, observe=None, cache: ScanCache | None = None):
         self.spark, self.registry, self.policy, self.prices = spark, registry or Registry(), policy, prices
         self.tables: dict[str, Table] = {}
+        # the outer meter sees what queries ask for, cached or not, and holds the budget; the inner one what goes to the store
         self.meter = Meter(budget, prices, spark.sparkContext.defaultParallelism)
+        self.origin = Meter(None, prices, spark.sparkContext.defaultParallelism)
         self.facts, self.observe, self.cache = facts or StorageFacts(), observe, cache
         self.last_scan: list[ScanReport] = []
+        self.last_read = planio.Scanned()
         self._lock = threading.RLock()
 
     def attach(self, table: Table) -> Table:
@@ -126,15 +130,13 @@ class Session:
         else:
             df, report.row_scoped = self._scoped(table, c.files)
         report.used, report.files_read = c.used, len(c.files)
-        if not report.cached:
-            report.bytes_planned = sum(self._bytes(table, f, report.columns) for f in c.files)
+        report.bytes_planned = sum(self._bytes(table, f, report.columns) for f in c.files)
         return df
 
     def _cached(self, table: Table, files, report: ScanReport) -> DataFrame:
         hits = self.cache.hits
         df = self.cache.read(table, files, report.columns) if files else table.read(())
-        if self.cache.hits > hits:
-            report.cached, report.bytes_planned = True, 0
+        report.cached = self.cache.hits > hits
         return df
 
     def _bytes(self, table: Table, file: str, columns: frozenset[str]) -> int:
@@ -231,7 +233,9 @@ class Session:
             if other is None and bare_shapes:
                 other = leaf.table.read() if self.cache is None else self._cached(leaf.table, leaf.table.graph.get(leaf.table.current).files, r)
             if other is not None:
-                swaps.append((leaf.path, shaped(other, planio.at(plan, leaf.path))))
+                # scans of the table's own files have the shape's columns as they are
+                own = self.cache is None and not r.substituted
+                swaps.append((leaf.path, other if own else shaped(other, planio.at(plan, leaf.path))))
         self.last_scan = list(reports.values())
         return swaps
 
@@ -243,6 +247,8 @@ class Session:
             try:
                 if r.bytes_planned or r.files_read:
                     self.meter.charge(r.bytes_planned, fact.tier, fact.distance, max(1, r.files_read))
+                    if not r.cached:
+                        self.origin.charge(r.bytes_planned, fact.tier, fact.distance, max(1, r.files_read))
             except BudgetExceeded:
                 self.spark.sparkContext.setJobGroup("tessera-refused", "over budget", True)
                 raise
@@ -297,7 +303,10 @@ class Session:
         piece, decision = hit
         r = reports[leaf.path]
         r.used, r.substituted, r.files_read, r.bytes_planned, r.missed = [piece.id], True, 0, piece.kind.bytes, getattr(decision, "missed", frozenset())
-        swaps.append((leaf.path, shaped(leaf.table.side(piece.kind.path), planio.at(plan, leaf.path))))
+        rows = leaf.table.side(piece.kind.path)
+        if buckets := getattr(piece.kind, "buckets", 0):
+            rows = read_buckets(rows, buckets, piece.kind.keys)
+        swaps.append((leaf.path, shaped(rows, planio.at(plan, leaf.path))))
         return leaf.path
 
     def _nearest(self, plan, found, calls, reports, swaps):
@@ -348,10 +357,12 @@ class Session:
             return "\n".join(lines)
 
     def measured(self, text: str) -> tuple[list, Cost]:
-        """Runs a query and gives its rows and what was planned for it."""
+        """Runs a query and gives its rows and what was planned for it; last_read says what its scans did read."""
         group = f"tessera-{uuid.uuid4().hex}"
         before = self.meter.spent
         self.spark.sparkContext.setJobGroup(group, text[:80], True)
-        rows = self.sql(text).collect()
+        df = self.sql(text)
+        rows = df.collect()
+        self.last_read = planio.scanned(df)
         after = self.meter.spent
         return rows, Cost(after.bytes - before.bytes, after.cpu_s - before.cpu_s, after.wait_s - before.wait_s, after.usd - before.usd)

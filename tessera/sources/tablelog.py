@@ -296,7 +296,7 @@ class Table:
         self._docs: dict[int, dict] = {}
         self._checkpoints: list[int] = []
         self._totals: dict[int, tuple[list[DataFile], Totals]] = {}
-        self._sides: dict[str, StructType] = {}
+        self._sides: dict[str, DataFrame] = {}
         self._shape: DataFrame | None = None
 
     # reading the log
@@ -413,10 +413,14 @@ class Table:
         return df.select("*", F.regexp_replace("_metadata.file_path", BARE, "").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
     def side(self, path: str) -> DataFrame:
-        """A side table; its schema is read from the footers once."""
+        """A side table; its files are listed and its schema is read once, since it never changes."""
         if path not in self._sides:
-            self._sides[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(self._sides[path]).parquet(path)
+            self._sides[path] = self.spark.read.parquet(path)
+        return self._sides[path]
+
+    def forget_side(self, path: str) -> None:
+        """To be called when path has been written again."""
+        self._sides.pop(path, None)
 
     def shape(self) -> DataFrame:
         """No rows: what a name is bound to while a query is planned, so that planning looks at no data file."""

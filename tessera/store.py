@@ -58,9 +58,9 @@ def describe(piece: Derived) -> dict:
         case Projection():
             what = {"columns": sorted(k.columns)}
         case VectorIndex():
-            what = {"column": k.column, "metric": k.metric.value, "dimension": k.dimension}
+            what = {"column": k.column, "metric": k.metric.value, "dimension": k.dimension, "columns": sorted(k.columns)}
         case JoinHash():
-            what = {"keys": list(k.keys), "columns": sorted(k.columns)}
+            what = {"keys": list(k.keys), "columns": sorted(k.columns), "buckets": k.buckets}
     return {"version": VERSION, "id": piece.id, "table": piece.table, "snapshot": piece.snapshot, "policy": piece.policy, "kind": k.name, "path": k.path, "bytes": k.bytes, "uses": piece.uses, "what": what}
 
 
@@ -83,9 +83,9 @@ def _kind(table: Table, d: dict):
         case "projection":
             return Projection(path, size, frozenset(what["columns"]))
         case "vector":
-            return VectorIndex(path, size, what["column"], Metric(what["metric"]), what["dimension"])
+            return VectorIndex(path, size, what["column"], Metric(what["metric"]), what["dimension"], frozenset(what["columns"]))
         case "join_hash":
-            return JoinHash(path, size, tuple(what["keys"]), frozenset(what["columns"]))
+            return JoinHash(path, size, tuple(what["keys"]), frozenset(what["columns"]), what["buckets"])
     raise ValueError(d["kind"])
 
 

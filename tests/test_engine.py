@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
 import uuid
 
 import pytest
@@ -12,11 +14,13 @@ from tessera import operators as ops
 from tessera.cost import Budget, BudgetExceeded
 from tessera.functions import expand, terms
 from tessera.model import AggFunc, Aggregate, Filter, Measure, Metric, Plan
+from tessera.rule import Registry
 from tessera.session import APPROXIMATE, STALE, Session
 from tessera.sources.cache import ScanCache
 from tessera.sources.tablelog import CommitConflict, DataFile, Store, Table, bare, footers
 from tessera.store import persist, recover
 from tessera.streaming import commit_stream
+from tessera.workload import Workload, foreign_scans
 
 
 @pytest.fixture
@@ -159,6 +163,10 @@ def test_vectors(spark, tmp_path):
         s.sql("SELECT l2_distance(v, array(0D,0D)) FROM docs").collect()
     with pytest.raises(ValueError):
         ops.build_vector_index(t, "v", Metric.L2, 4)
+    s.registry = Registry()
+    s.registry.register(ops.build_vector_index(t, "v", Metric.L2, 3, columns=frozenset(("id",))))
+    assert same(s, "SELECT id FROM docs ORDER BY l2_distance(v, array(0D,0D,0D)) LIMIT 3").used and not same(s, "SELECT id FROM docs WHERE g = 1 ORDER BY l2_distance(v, array(0D,0D,0D)) LIMIT 1").used
+    s.registry.register(ops.build_vector_index(t, "v", Metric.L2, 3))
     t.append(rows.limit(1))
     assert same(s, "SELECT id FROM docs ORDER BY l2_distance(v, array(0D,0D,0D)), id LIMIT 3").used == []
     spark.conf.set(STALE, "true")
@@ -179,6 +187,56 @@ def test_joins(made):
     assert not same(s, "SELECT e.n FROM ev e JOIN people p ON e.user < p.user").used
 
 
+def test_a_stored_join_side_is_not_shuffled(made):
+    s, t = made
+    s.spark.range(0, 5).select(F.col("id").alias("user"), F.concat(F.lit("name"), "id").alias("name")).createOrReplaceTempView("people")
+    piece = ops.build_join_hash(t, ("user",), frozenset(("n",)))
+    persist(t, piece)
+    s.registry = recover(t).registry
+    before = s.spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    s.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = s.sql("SELECT e.n, p.name FROM ev e JOIN people p ON e.user = p.user")
+        assert df.count() == 500 and s.last_scan[0].used == [piece.id]
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan, plan
+    finally:
+        s.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_what_scans_have_read(made):
+    s, t = made
+    s.registry.register(ops.build_index(t, "user"))
+    rows, _ = s.measured("SELECT n FROM ev WHERE user = 3")
+    assert len(rows) == 100 and s.last_read.files == 1 and s.last_read.rows >= 100 and 0 < s.last_read.bytes < t.bytes / 4
+    s.measured("SELECT a.n, (SELECT max(n) FROM ev) AS m FROM ev a JOIN ev b ON a.n = b.n")
+    assert s.last_read.files >= 16
+
+
+def test_scans_of_another_application(made, tmp_path):
+    """Its event log says what it scanned, by which equalities, and how many bytes."""
+    s, t = made
+    log = tmp_path / "events"
+    log.mkdir()
+    code = f"""
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.eventLog.enabled", "true").config("spark.eventLog.compress", "false").config("spark.eventLog.rolling.enabled", "false").config("spark.eventLog.dir", "file://{log}").getOrCreate()
+d = s.read.parquet({t.live()[0].path.rsplit('/', 1)[0]!r})
+d.where("user = 3 and n > 5").select("n", "kind").collect()
+d.groupBy("kind").count().collect()
+s.range(3).collect()
+s.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, timeout=300)
+    scans = foreign_scans(s.spark, f"file://{log}", {"ev": t.root})
+    assert [(x.table, x.equalities, x.projected) for x in scans] == [("ev", frozenset(("user",)), frozenset(("user", "n", "kind"))), ("ev", frozenset(), frozenset(("kind",)))]
+    assert all(0 < x.bytes <= t.bytes for x in scans)
+    w = Workload()
+    for x in scans:
+        w.observe_foreign(x)
+    assert w.scans["ev"] == 2 and not w.credits
+
+
 def test_policy_branch_compaction_time_travel(made):
     s, t = made
     s.registry.register(ops.build_index(t, "user", policy="other"))
@@ -244,6 +302,7 @@ def test_a_repeated_scan_reads_nothing(made):
             os.rename(bare(f.path), bare(f.path) + ".away")
         assert sorted(map(tuple, c.sql(sql).collect())) == first
         assert c.last_scan[0].cached and c.cache.origin_bytes == origin
+        assert c.origin.spent.bytes < c.meter.spent.bytes  # a hit is asked for, but doesn't go to the store
         for f in t.live():
             os.rename(bare(f.path) + ".away", bare(f.path))
     held = len(c.cache.held)

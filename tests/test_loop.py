@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,9 +190,12 @@ def test_stream_commits_once(spark, tmp_path):
     stream = spark.readStream.schema("n long").parquet(f"{tmp_path}/in")
     commit_stream(stream, t, f"{tmp_path}/cp").awaitTermination(60)
     assert t.read().count() == 30
-    commit_stream(stream, t, f"{tmp_path}/cp2").awaitTermination(60)
+    shutil.rmtree(tmp_path / "cp")
+    commit_stream(stream, t, f"{tmp_path}/cp").awaitTermination(60)
     assert t.read().count() == 30, "a batch that ran before isn't appended again"
     assert t.commits.drain() == {"st": t.current}
+    commit_stream(stream, t, f"{tmp_path}/other").awaitTermination(60)
+    assert t.read().count() == 50, "another stream's batch of the same number is"
 
 
 def test_windows(spark, tmp_path):
