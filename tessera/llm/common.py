@@ -25,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a folder of our own only where that is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). A temporary one of our own only where that is unset and all is
+    one machine, as in tests."""
     global _own_dir
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return _own_dir
@@ -57,7 +60,10 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def use_small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Spark takes the batch size from the session when a plan runs, so the session's setting is lowered; a lower one is left as it is."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def arrow_rows(df: DataFrame, schema: StructType, rows_of: Callable[[Iterator[list[list]]], Iterator[list[tuple]]]) -> DataFrame:
