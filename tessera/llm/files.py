@@ -23,7 +23,8 @@ class WholeFile:
     """A file under a name of its own. Only a caller that gets to done() learns the name, so what a lost attempt has left is never read."""
 
     def __init__(self, folder: str, suffix: str):
-        self.path = f"{folder}/{uuid.uuid4().hex}{suffix}"
+        self.name = uuid.uuid4().hex
+        self.path = f"{folder}/{self.name}{suffix}"
         local = _local(self.path)
         if local is not None:
             os.makedirs(os.path.dirname(local), exist_ok=True)
@@ -49,3 +50,13 @@ def open_read(path: str) -> IO[bytes]:
         return open(local, "rb")  # noqa: SIM115
     store, name = _store(path)
     return store.open_input_file(name)
+
+
+def read_table(folder: str, filters: list[tuple]):
+    """The rows of a small Parquet folder that pass, as an Arrow table; None if there is no such folder."""
+    from pyarrow import fs, parquet
+
+    store, name = (fs.LocalFileSystem(), _local(folder)) if _local(folder) is not None else _store(folder)
+    if store.get_file_info(name).type is not fs.FileType.Directory:
+        return None
+    return parquet.read_table(name, filesystem=store, filters=filters, partitioning=None)

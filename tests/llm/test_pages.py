@@ -160,12 +160,7 @@ def test_oracles(spark, data, name):
 # --- WARC
 
 
-def test_round_trip(odd_pages, monkeypatch):
-    monkeypatch.setattr(warc, "FRAME_BYTES", 3000)
-    monkeypatch.setattr(warc, "BUNDLE_BYTES", 600)
-    index = warc.write(odd_pages)
-    got = Counter(map(tuple, warc.read(index).collect()))
-    rows = [(r["page_id"], (r["html"] or "").encode()) for r in odd_pages.collect()]
+def plain_records(rows) -> Counter:
     latest = {}
     for p, b in rows:
         latest[b] = max(latest.get(b, -1), -1 if p is None else p)
@@ -174,13 +169,31 @@ def test_round_trip(odd_pages, monkeypatch):
         top = latest[b]
         revisit = len(b) >= 1000 and top >= 0 and (p is None or p < top)
         want[p, len(b), hashlib.sha1(b).hexdigest(), "revisit" if revisit else "response", top if revisit else None] += 1
-    assert got == want
+    return want
+
+
+@pytest.mark.parametrize("how", ["few", "many", "hot"])
+def test_round_trip(odd_pages, monkeypatch, how):
+    monkeypatch.setattr(warc, "FRAME_BYTES", 3000)
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 600)
+    if how != "few":
+        monkeypatch.setattr(warc, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(warc, "HOT_ROWS", 1 if how == "hot" else 100)
+        monkeypatch.setattr(warc, "BUCKET_ROWS", 1)
+    index = warc.write(odd_pages)
+    got = Counter(map(tuple, warc.read(index).collect()))
+    assert got == plain_records([(r["page_id"], (r["html"] or "").encode()) for r in odd_pages.collect()])
     # one record by its index entry, and a whole bundle by a reader that knows nothing of the seek table
-    for e in index.collect():
+    entries = {e["record_id"]: e for e in index.collect()}
+    assert len(entries) == odd_pages.count(), "identifiers are unique"
+    for e in entries.values():
         headers, _, payload, _ = warc.fetch(e["bundle"], e["frame_offset"], e["frame_bytes"], e["offset_in_frame"])
-        assert headers["WARC-Record-ID"] == e["record_id"]
+        assert headers["WARC-Record-ID"] == e["record_id"] and headers["WARC-Type"] == e["record_type"] and headers["WARC-Payload-Digest"][5:] == e["payload_digest"]
         if headers["WARC-Type"] == "response":
-            assert hashlib.sha1(payload).hexdigest() == headers["WARC-Payload-Digest"][5:]
+            assert hashlib.sha1(payload).hexdigest() == e["payload_digest"]
+        else:
+            named = entries[headers["WARC-Refers-To"]]
+            assert named["record_type"] == "response" and named["payload_digest"] == e["payload_digest"]
     path = urlparse(index.first()["bundle"]).path
     with open(path, "rb") as f:
         plain = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(f.read()), read_across_frames=True).read()
@@ -188,6 +201,28 @@ def test_round_trip(odd_pages, monkeypatch):
     assert warc.round_trip(odd_pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_a_popular_payload_and_tasks(spark, monkeypatch, tmp_path, few):
+    """A third of all rows have one payload: no task gets them all, payloads aren't shuffled, and bundles are read by a task each."""
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "FRAME_BYTES", 40_000)
+    if not few:
+        monkeypatch.setattr(warc, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(warc, "HOT_ROWS", 50)
+    html = lambda i: ("popular " * 200 if i % 3 == 0 else f"{i // 2} " + "".join(hashlib.sha256(f"{i // 2}:{k}".encode()).hexdigest() for k in range(30)))
+    rows = [(i, f"http://a.com/{i}", html(i)) for i in range(600)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6).write.parquet(f"{tmp_path}/pages")
+    pages = spark.read.parquet(f"{tmp_path}/pages")
+    index = warc.write(pages)
+    read = warc.read(index)
+    assert Counter(map(tuple, read.collect())) == plain_records([(i, h.encode()) for i, _, h in rows])
+    assert read.rdd.getNumPartitions() == index.select("bundle").distinct().count() > 8
+    # no exchange carries a payload
+    repeats = warc._repeats(pages)
+    plan = warc._responses(pages, repeats, few)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+
+
 # --- token shards
 
 
