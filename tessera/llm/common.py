@@ -59,6 +59,19 @@ def dropped(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: From so many rows on, a join key is hot. There are at most all rows / HOT_ROWS of such keys.
+HOT_ROWS = 200_000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str, how: str = "inner", hot_rows: int | None = None) -> DataFrame:
+    """rows joined to counted, which has a row for each key and in n the number of rows of that key: rows of hot keys stay where they are and
+    meet a broadcast table of those keys, the others are shuffled. how: inner or left."""
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    hot = F.broadcast(counted.where(F.col(n) > hot_rows))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(counted.where(F.col(n) <= hot_rows), keys, how)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def use_small_batches(spark: SparkSession) -> None:
     """Spark takes the batch size from the session when a plan runs, so the session's setting is lowered; a lower one is left as it is."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -29,13 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import arrow_rows, fresh_dir, written
+from tessera.llm.common import HOT_ROWS, arrow_rows, fresh_dir, join_counted, written
 from tessera.llm.files import WholeFile, open_read, read_table
 
 LEAST_REVISIT = 1000
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 27
 BROADCAST_BYTES = 8 << 20
-HOT_ROWS = 200_000
 #: Revisits looked up by input file, about so many in a bucket; at most so many bundles are dealt to tasks of their own.
 BUCKET_ROWS, READ_TASKS = 1_000_000, 100_000
 #: Fixed values of the seekable format.
@@ -133,9 +132,7 @@ def _with_repeats(rows: DataFrame, repeats: DataFrame, how: str, few: bool) -> D
     """rows joined to repeats (or a table like it) by digest; rows of hot digests don't move."""
     if few:
         return rows.join(F.broadcast(repeats), "digest", how)
-    hot = F.broadcast(repeats.where(F.col("rows") > HOT_ROWS))
-    rest = rows.join(hot, "digest", "left_anti").join(repeats.where(F.col("rows") <= HOT_ROWS), "digest", how)
-    return rows.join(hot, "digest").unionByName(rest)
+    return join_counted(rows, repeats, ["digest"], "rows", how, HOT_ROWS)
 
 
 def _looked_up(pages: DataFrame, repeats: DataFrame) -> DataFrame:
