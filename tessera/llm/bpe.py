@@ -5,7 +5,8 @@ prefix the automaton of the vocabulary names all tokens that end there; the one
 prefix before it) stays apart from it under the merges is the last token. Following these back-pointers from the end
 gives the ids. The work is linear in the word's length times the tokens that end at a place; no queue of merges is kept.
 
-Words are independent, so each worker remembers the ids of words it has met (bounded by CACHE_WORDS).
+Words are independent, so each worker remembers the ids of words it has met (bounded by CACHE_WORDS), and which pairs of tokens
+stay apart (bounded by CACHE_PAIRS, whatever the words are).
 
 Cases. Null or empty text: no ids, the digests of empty strings. Texts of any length are encoded whole. Strings of special tokens in a text
 become those tokens, as the tokenizers library does. Equal rows are returned each; empty tables give no rows; other columns are not read.
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import arrow_rows, no_null_text
 
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_PAIRS = 400_000, 500_000
 _NEVER = 1 << 60
 
 _RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
@@ -127,6 +128,8 @@ class Encoder(dict):
             before = last[start]
             ok = apart.get((before, token))
             if ok is None:
+                if len(apart) >= CACHE_PAIRS:
+                    apart.clear()
                 ok = apart[before, token] = self._stays_apart(before, token)
             if ok:
                 last[stop] = token
@@ -139,7 +142,6 @@ class Encoder(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-            self.apart.clear()
         ids = np.array(self.ids_of_word(word.encode("utf-8", "surrogatepass")), "<u4").tobytes()
         if len(word) <= 64:
             self[word] = ids
