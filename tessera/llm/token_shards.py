@@ -6,8 +6,9 @@
    indices; a value beyond the last index walks the cycle until it lies within. So every sequence gets one global slot, no two the same, with
    no sort and no table of slots, and the order of training is a key. On their way sequences are compressed with a dictionary that the
    driver trains on DICTIONARY_ROWS rows at most; it changes no result, and a poor one costs only space.
-3. Slot ranges of SHARD_ROWS go to one task each, which writes them in order with a fixed stride: slot s is at byte
-   (s mod SHARD_ROWS) * stride of shard s div SHARD_ROWS. A reader that stopped after slot s goes on by one seek.
+3. Slot ranges of SHARD_ROWS (128 MB at two bytes an id) are shards, and a task writes a run of shards, one as long as there are no more
+   than WRITE_TASKS, in order and with a fixed stride: slot s is at byte (s mod SHARD_ROWS) * stride of shard s div SHARD_ROWS. A reader
+   that stopped after slot s goes on by one seek.
 
 Cases. Null or empty text: its end-of-text id alone. Texts are tokenised whole and may span sequences. Equal rows are each written. Null
 doc_id: listed as null among a sequence's documents. Empty tables: no shards, no rows. Other columns are not read. Ids take two bytes if the vocabulary
@@ -29,7 +30,8 @@ from pyspark.sql import types as T
 from tessera.llm.common import arrow_rows, fresh_dir, no_null_text, written
 from tessera.llm.files import WholeFile, open_read
 
-SEQUENCE, SHARD_ROWS = 1024, 8192
+SEQUENCE, SHARD_ROWS = 1024, 65536
+WRITE_TASKS = 50_000
 ROUNDS = 6
 DICTIONARY_ROWS, DICTIONARY_BYTES = 1000, 1 << 17
 KEY = 0x5DEECE66D
@@ -160,7 +162,9 @@ def materialised(docs: DataFrame, vocabulary: Vocabulary, key: int = KEY) -> Dat
 
     placed = arrow_rows(indexed, _PLACED, slots)
     shards = (total + SHARD_ROWS - 1) // SHARD_ROWS
-    dealt = placed.repartitionById(shards, (F.col("slot") / SHARD_ROWS).cast("int")).sortWithinPartitions("slot")
+    tasks = min(shards, WRITE_TASKS)
+    task = F.floor(F.floor(F.col("slot") / SHARD_ROWS) * tasks / shards).cast("int")
+    dealt = placed.repartitionById(tasks, task).sortWithinPartitions("slot")
     folder, kind = fresh_dir(spark, "shards"), vocabulary.kind
     stride = SEQUENCE * np.dtype(kind).itemsize
 
