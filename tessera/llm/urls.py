@@ -1,15 +1,18 @@
 """URL filters by temporal lists, in DataFrame functions only.
 
 A list is a log of dated entries: from a day on, a key (a host, a parent domain, or host/first path segment) is blocked, allowed, or off the list.
-Consecutive entries of a key become validity intervals. A capture is judged by the entries that were active when it was fetched: an
-as-of join, by equality of the key and containment of the day. The most specific key with an active entry decides.
+Consecutive entries of a key become validity intervals. A capture is judged by the entries that were active when it was fetched. The most
+specific key with an active entry decides.
 
-Captures are first reduced to distinct (host, segment, day), so that a host with a third of all rows is a handful of rows when
-keys are made and joined; the verdicts then go back to the captures by the same columns.
+Captures are first reduced to distinct (host, segment, day), and these to distinct (key, day) with their number: what is active depends on
+key and day alone. Those are merged with the list's entries by key and day, and the last entry before each is carried on: an as-of join in one
+pass, in which a key has no more rows than there are days and entries, however many captures lie below it. The verdicts go back by key and day;
+keys and days of many captures are broadcast, the others shuffled (see join_counted).
 
 Cases. A url that is null or has no host: no key, verdict none, kept. Several entries of one key and day: the greatest (day, seq, action)
-stands. Null keys or days in the list are ignored. Equal rows are returned each. Ports and user names are not part of the host; hosts are compared in lower
-case. Empty tables: no rows, or no verdicts. Other columns are not read.
+stands. Null keys or days in the list are ignored; a null day of a capture is before all entries. Equal rows are returned each. Ports, user names and
+dots at the end are not part of the host; hosts are compared in lower case; addresses have no parent domains. Empty tables: no rows, or no
+verdicts. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,30 +20,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+from tessera.llm.common import join_counted, written
+
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)"
+#: Hosts that are numbers, which no domain is above.
+_ADDRESS = r"^(\[.*|[0-9.]+)$"
 _SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)"
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST, 1))
+    return F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST, 1)), r"\.+$", "")
 
 
 def segment_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), _SEGMENT, 1)
 
 
+def log_of(entries: DataFrame) -> DataFrame:
+    """key, day, action: one entry for each key and day."""
+    return entries.where("key is not null and day is not null").groupBy("key", F.col("day").cast("long").alias("day")).agg(F.max(F.struct("seq", "action")).alias("e")).select("key", "day", F.col("e.action").alias("action"))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """key, action, since, until (exclusive; null: still valid) from entries (key, day, seq, action); action off ends an entry."""
-    log = entries.where("key is not null and day is not null").groupBy("key", "day").agg(F.max(F.struct("seq", "action")).alias("e"))
     w = Window.partitionBy("key").orderBy("day")
-    return log.select("key", F.col("e.action").alias("action"), F.col("day").alias("since"), F.lead("day").over(w).alias("until")).where("action <> 'off'")
+    return log_of(entries).select("key", "action", F.col("day").alias("since"), F.lead("day").over(w).alias("until")).where("action <> 'off'")
+
+
+def active(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """asked (key, at, n) with the action of the interval that at lies in; without those that lie in none."""
+    log = log_of(entries).select("key", F.col("day").alias("at"), F.lit(None).cast("long").alias("n"), "action")
+    both = log.unionByName(asked.select("key", F.col("at").cast("long").alias("at"), "n", F.lit(None).cast("string").alias("action")))
+    # of one day, the entry stands before the question
+    w = Window.partitionBy("key").orderBy("at", F.col("n").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.select("key", "at", "n", F.last("action", ignorenulls=True).over(w).alias("action")).where("n is not null and action <> 'off'")
 
 
 def _keys(host: Column, segment: Column) -> Column:
     """(key, rank) of a capture: host/segment, the host, its parent domains of two labels or more."""
     labels = F.split(host, r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("key"), i.alias("rank")))
-    parents = F.filter(parents, lambda p: (p["rank"] == 1) | (p["rank"] < F.size(labels)))
+    parents = F.filter(parents, lambda p: (p["rank"] == 1) | ((p["rank"] < F.size(labels)) & ~host.rlike(_ADDRESS)))
     path = F.when(segment != "", F.array(F.struct(F.concat_ws("/", host, segment).alias("key"), F.lit(0).alias("rank")))).otherwise(F.array().cast("array<struct<key:string,rank:int>>"))
     return F.when(host == "", F.array().cast("array<struct<key:string,rank:int>>")).otherwise(F.concat(path, parents))
 
@@ -49,10 +69,12 @@ def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (page_id, url, day) with host, matched_key, action (block, allow or none) and kept."""
     rows = captures.select("page_id", "url", "day", host_of(F.col("url")).alias("host"), segment_of(F.col("url")).alias("segment"))
     seen = rows.where("host <> ''").select("host", "segment", "day").distinct()
-    keyed = seen.select("host", "segment", "day", F.explode(_keys(F.col("host"), F.col("segment"))).alias("k")).select("host", "segment", F.col("day").alias("at"), "k.key", "k.rank")
-    active = keyed.join(intervals(entries), "key").where((F.col("since") <= F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
-    best = active.groupBy("host", "segment", "at").agg(F.min(F.struct("rank", "key", "action")).alias("b")).select("host", "segment", F.col("at").alias("day"), F.col("b.key").alias("matched_key"), F.col("b.action").alias("action"))
-    out = rows.join(best, ["host", "segment", "day"], "left")
+    keyed = seen.select("host", "segment", "day", F.explode(_keys(F.col("host"), F.col("segment"))).alias("k")).select("host", "segment", F.col("day").cast("long").alias("at"), "k.key", "k.rank")
+    keyed = written(keyed, "url-keys")
+    asked = keyed.where("at is not null").groupBy("key", "at").agg(F.count("*").alias("n"))
+    found = join_counted(keyed, written(active(asked, entries), "url-active"), ["key", "at"], "n")
+    best = found.groupBy("host", "segment", "at").agg(F.min(F.struct("rank", "key", "action")).alias("b")).select("host", "segment", "at", F.col("b.key").alias("matched_key"), F.col("b.action").alias("action"))
+    out = rows.withColumn("at", F.col("day").cast("long")).join(best, ["host", "segment", "at"], "left")
     action = F.coalesce("action", F.lit("none"))
     return out.select("page_id", "url", "host", "day", "matched_key", action.alias("action"), (action != "block").alias("kept"))
 
@@ -81,7 +103,7 @@ def stand_in_list(pages: DataFrame) -> DataFrame:
 ORACLE = """
 with c as (
   select page_id, url, page_id % 365 as day,
-    lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) as host,
+    rtrim(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/?#:]+)', 1)), '.') as host,
     regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) as segment
   from pages),
 h as (select distinct host as key from c where host <> ''),
@@ -95,7 +117,7 @@ v as (select key, action, day as since, lead(day) over (partition by key order b
 k as (
   select page_id, url, day, host, segment, unnest(
     list_concat(case when segment <> '' then [{'key': host || '/' || segment, 'rank': 0}] else [] end,
-      list_filter(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: {'key': array_to_string(string_split(host, '.')[i:], '.'), 'rank': i::int}), lambda p: p.rank = 1 or p.rank < len(string_split(host, '.'))))) as k
+      list_filter(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: {'key': array_to_string(string_split(host, '.')[i:], '.'), 'rank': i::int}), lambda p: p.rank = 1 or p.rank < len(string_split(host, '.')) and not regexp_matches(host, '^(\\[.*|[0-9.]+)$')))) as k
   from (select distinct * from c) where host <> ''),
 best as (
   select distinct host, segment, k.day, first_value(v.key) over w as matched_key, first_value(v.action) over w as action
