@@ -4,8 +4,9 @@
 2. The hash of each candidate's value is counted over the whole corpus: distinct repositories, owners and documents. Rows are
    reduced to distinct (hash, owner, repository) before anything meets in one place, so an example that a third of
    all documents copy is one row a partition.
-3. A value that many owners hold is a copied example. A value of few owners that looks random is live. Tokens that are live join the
-   document's spans; base spans always stay. The texts themselves are never shuffled.
+3. A value that EXAMPLE_OWNERS hold, or that several owners hold in EXAMPLE_REPOSITORIES, is a copied example. A value of fewer that looks
+   random is live: one owner may use it in any number of repositories. Tokens that are live join the document's spans; base spans always
+   stay. The texts themselves are never shuffled, and spans of hashes that very many rows have (see join_counted) meet a broadcast table.
 
 Cases. Null or empty text: no spans. Null owner or repository counts as one owner or repository of its own. Equal rows: each is returned,
 with equal results. Null doc_id is returned as null. Empty tables give no rows; other columns are not read. Spans of one start are ordered by kind.
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import join_counted, written
 from tessera.llm.native import let, marked_spans, unmarked
 
 _LONG = "[A-Za-z0-9_+/-]{24,}"
@@ -31,6 +32,8 @@ KINDS = {
 BASE = ("assign", "access", "hex")
 #: Owners from which on a value counts as a copied example.
 EXAMPLE_OWNERS = 3
+#: Repositories from which on a value of several owners counts as one, too.
+EXAMPLE_REPOSITORIES = 6
 #: Distinct characters, and share of the length, that make a value look random.
 RANDOM_CHARS, RANDOM_SHARE = 10, 0.25
 
@@ -83,8 +86,10 @@ def judged(found: DataFrame) -> DataFrame:
     """found with verdicts: each span gets verdict example, live or weak. Equal rows are judged once and returned each."""
     some = found.where(F.size("spans") > 0).groupBy("doc_id", "owner", "repository", "spans").agg(F.count("*").cast("int").alias("copies"))
     some = some.withColumn("row", F.sha2(F.to_json(F.struct("doc_id", "owner", "repository", "spans"), {"ignoreNullFields": "false"}), 256))
-    each = some.select("row", F.explode("spans").alias("s")).join(ownership(found), F.col("s.hash") == F.col("hash"))
-    verdict = F.when(F.col("n_owners") >= EXAMPLE_OWNERS, "example").when(F.col("s.random"), "live").otherwise("weak")
+    each = some.select("row", F.explode("spans").alias("s")).withColumn("hash", F.col("s.hash"))
+    each = join_counted(each, written(ownership(found), "ownership"), ["hash"], "n_rows")
+    copied = (F.col("n_owners") >= EXAMPLE_OWNERS) | ((F.col("n_owners") > 1) & (F.col("n_repositories") >= EXAMPLE_REPOSITORIES))
+    verdict = F.when(copied, "example").when(F.col("s.random"), "live").otherwise("weak")
     per_row = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.kind", "s.end", verdict.alias("verdict"), "n_owners", "n_repositories"))).alias("judged"))
     out = some.drop("spans").join(per_row, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     none = found.where(F.size("spans") == 0).select("doc_id", "owner", "repository", F.array().cast(per_row.schema["judged"].dataType).alias("judged"))
