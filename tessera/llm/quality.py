@@ -31,6 +31,7 @@ FEATURES = {
     "digit_share": _SHARES, "mark_share": _SHARES, "mean_word": [1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0, 5.5, 6.0, 7.0, 8.0, 10.0, 12.0, 16.0, 24.0],
     "n_words": [float(10 * 2**i) for i in range(14)], "words_a_line": [float(2**i) for i in range(12)],
 }
+#: Bounds of the list: rules, and literals in one. They keep it readable; a rule must earn its place on held-out rows anyway.
 MOST_RULES, MOST_LITERALS = 6, 3
 #: A rule must be right this often on the held-out rows (with one wrong case added), and cover this many bad documents there.
 LEAST_PRECISION, LEAST_COVER = 0.95, 5
@@ -196,7 +197,9 @@ def judged(docs: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that the rules keep."""
-    bare = docs.select(*(F.col(c).alias(f"_{c}") for c in docs.columns), "doc_id", "text")
-    rules = learn(written(labelled_bins(written(counts(docs), "quality"), labels), "labelled"))
-    return counts(bare, *(f"_{c}" for c in docs.columns)).where(~F.col("base_failed") & (verdict(rules) == 0)).select(*(F.col(f"_{c}").alias(c) for c in docs.columns))
+    """The rows of docs, all columns, that the rules keep. The texts go along in the table of counts, so that they are counted once."""
+    bare = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)), "doc_id", "text")
+    more = [f"_{i}" for i in range(len(docs.columns))]
+    stats = written(counts(bare, *more), "quality")
+    rules = learn(written(labelled_bins(stats, labels), "labelled"))
+    return stats.where(~F.col("base_failed") & (verdict(rules) == 0)).select(*(F.col(m).alias(c) for m, c in zip(more, docs.columns)))
