@@ -267,13 +267,14 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
 def clean(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, with one row of each group: that of the smallest doc_id, and of rows that share it the first by text."""
     found = written(grouped(docs, k, percent), "groups")
+    own = "_" + max(docs.columns, key=len)  # no column of docs has this name
     by_id = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept")).where("rows > 1 or not kept"), "leave")
-    plain = docs.where("doc_id is not null").join(by_id.select(F.col("doc_id").alias("_leave")), F.col("doc_id") == F.col("_leave"), "left_anti")
-    repeated = by_id.where("rows > 1").select(F.col("doc_id").alias("_again"))
+    plain = docs.where("doc_id is not null").join(by_id.select(F.col("doc_id").alias(own)), F.col("doc_id") == F.col(own), "left_anti")
+    repeated = by_id.where("rows > 1").select(F.col("doc_id").alias(own))
     if repeated.isEmpty() and found.where("doc_id is null").isEmpty():
         return plain
     # ids that are null or not unique don't tell a row's group: the group is looked up by id and shingle set
-    odd = docs.where("doc_id is not null").join(repeated, F.col("doc_id") == F.col("_again"), "left_semi").unionByName(docs.where("doc_id is null"))
+    odd = docs.where("doc_id is not null").join(repeated, F.col("doc_id") == F.col(own), "left_semi").unionByName(docs.where("doc_id is null"))
     inner = odd.select(F.struct(*odd.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), no_null_text("text"))
     schema = T.StructType([T.StructField("row", inner.schema["row"].dataType), T.StructField("id", T.LongType()), T.StructField("node", T.BinaryType())])
 
