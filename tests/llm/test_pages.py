@@ -12,8 +12,9 @@ import duckdb
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
-from tessera.llm import catalog, html_text, token_shards, urls, warc
+from tessera.llm import catalog, common, html_text, token_shards, urls, warc
 
 
 @pytest.fixture(scope="module")
@@ -147,6 +148,29 @@ def test_lists_by_brute_force(spark, odd_pages):
     assert urls.judged(urls.dated_captures(odd_pages.limit(0)), entries.limit(0)).count() == 0
 
 
+def test_a_popular_domain(spark, monkeypatch):
+    """A third of all captures under one domain, on one day: its rows stay where they are, and the rest meets by shuffle."""
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    rows = [(i, f"http://h{i}.popular.org/a" if i % 3 == 0 else f"http://h{i % 40}.d{i % 7}.com/b{i % 5}", 7 if i % 3 == 0 else i % 30) for i in range(900)]
+    log = [("popular.org", 5, 0, "block"), ("popular.org", 9, 0, "off"), *((f"d{k}.com", k, 0, "block") for k in range(7)), ("h3.d3.com", 10, 0, "allow"), ("h5.d5.com/b0", 12, 0, "allow")]
+    got = {r["page_id"]: (r["matched_key"], r["action"]) for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string, day long"), spark.createDataFrame(log, "key string, day long, seq int, action string")).collect()}
+    for i, u, d in rows:
+        host, segment = urlparse(u).hostname, u.rsplit("/", 1)[1]
+        keys = [f"{host}/{segment}", host, host.split(".", 1)[1]]
+        active = [(k, max((day, a) for key, day, _, a in log if key == k and day <= d)[1]) for k in keys if any(key == k and day <= d for key, day, _, _ in log)]
+        want = next(((k, a) for k, a in active if a != "off"), (None, "none"))
+        assert got[i] == want, (u, d)
+
+
+def test_hosts(spark):
+    shown = {"http://[2001:db8::1]:80/x": "[2001:db8::1]", "https://A.b.ORG./p": "a.b.org", "http://u:p@c.com:8/": "c.com", "ftp://10.0.0.1/q": "10.0.0.1", "nonsense": "", "http://..": ""}
+    df = spark.createDataFrame([(u,) for u in shown], "url string").select("url", urls.host_of(F.col("url")).alias("h"))
+    assert {r["url"]: r["h"] for r in df.collect()} == shown
+    entries = spark.createDataFrame([("0.0.1", 0, 0, "block"), ("10.0.0.1", 5, 0, "block"), ("[2001:db8::1]", 0, 0, "block")], "key string, day long, seq int, action string")
+    rows = spark.createDataFrame([(i, u, d) for i, u in enumerate(shown) for d in (1, 6)], "page_id long, url string, day long")
+    assert {(r["url"], r["day"]) for r in urls.judged(rows, entries).collect() if not r["kept"]} == {("http://[2001:db8::1]:80/x", 1), ("http://[2001:db8::1]:80/x", 6), ("ftp://10.0.0.1/q", 6)}
+
+
 @pytest.mark.parametrize("name", ["op8_url_temporal_lists", "op9_warc_seekable"])
 def test_oracles(spark, data, name):
     con = duckdb.connect()
@@ -241,6 +265,34 @@ def small_vocabulary():
     return token_shards.Vocabulary(catalog.vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@pytest.mark.parametrize("tasks", [1, 3, 50_000])
+def test_order_of_tokens_and_documents(spark, documents, odd, small_vocabulary, monkeypatch, tmp_path, tasks):
+    """Against streams laid out by hand: partition by partition, each document and its end, cut into sequences, and each sequence in its slot."""
+    monkeypatch.setattr(token_shards, "SHARD_ROWS", 16)
+    monkeypatch.setattr(token_shards, "WRITE_TASKS", tasks)
+    documents.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).repartition(5).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    encode, end, size = small_vocabulary.encoding().encode_ordinary, small_vocabulary.end, token_shards.SEQUENCE
+    parts: dict[int, list] = {}
+    for p, i, text in docs.select(F.spark_partition_id(), "doc_id", "text").collect():
+        parts.setdefault(p, []).append((i, [*encode(text or ""), end]))
+    plain = []
+    for p in sorted(parts):
+        stream, owners = [], []
+        for k, (_, ids) in enumerate(parts[p]):
+            stream += ids
+            owners += [k] * len(ids)
+        for a in range(0, len(stream), size):
+            ids = stream[a : a + size]
+            plain.append((ids + [end] * (size - len(ids)), len(ids), [parts[p][k][0] for k in sorted(set(owners[a : a + size]))]))
+    slots = token_shards.permuted(np.arange(len(plain)), len(plain))
+    rows = {r["slot"]: r for r in token_shards.materialised(docs, small_vocabulary).collect()}
+    manifest = {r["shard"]: r["path"] for r in rows.values()}
+    read = list(token_shards.read_from(manifest, 0, len(plain)))
+    for slot, (ids, n, names) in zip(slots.tolist(), plain):
+        assert read[slot].tolist() == ids and rows[slot]["n_tokens"] == n and rows[slot]["doc_ids"] == names
+
+
 def test_shards(odd, none, documents, small_vocabulary, monkeypatch):
     monkeypatch.setattr(token_shards, "SHARD_ROWS", 64)
     for df in (odd, documents):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, near_dedup, quality, secrets
+from tessera.llm import bpe, common, decontaminate, near_dedup, quality, secrets
 from tessera.llm.catalog import vocabulary
 
 WORD, SPACED = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), re.compile(r"[^\x20\x09-\x0D]+")
@@ -174,7 +175,8 @@ def test_sketches_let_similar_pairs_pass(spark):
             far += 1
     df = spark.createDataFrame(rows, "na long, nb long, a array<long>, b array<long>, similar boolean")
     got = df.where(near_dedup.may_be_similar(F.col("na"), F.col("nb"), near_dedup._longs("a"), near_dedup._longs("b"), 80)).groupBy("similar").count().collect()
-    assert dict(map(tuple, got)) == {True: far}
+    # all similar pairs pass; of the others just those of 30 shingles each, of which sketches aren't asked
+    assert dict(map(tuple, got)) == {True: far, False: 40}
 
 
 # --- quality
@@ -216,6 +218,47 @@ def test_learned_rules_reject_what_is_labelled_bad(spark):
     assert without.where("not kept").count() == 0
 
 
+def binned(spark, rows):
+    """Rows as labelled_bins() gives them: named features, all others in bin 0."""
+    names = ["bad", "held", *quality.FEATURES]
+    return spark.createDataFrame([tuple(r.get(n, 0) if n != "held" else r["held"] for n in names) for r in rows], "bad int, held boolean, " + ", ".join(f"{f} int" for f in quality.FEATURES))
+
+
+def test_conjunctions_pruning_and_order(spark):
+    r = random.Random(2)
+    # bad is symbols above bin 6 together with digits above bin 4; and, less often, many marks
+    rows = []
+    for i in range(3000):
+        x = {"symbol_share": r.randrange(12), "digit_share": r.randrange(12), "mark_share": 15 if i % 20 == 0 else r.randrange(4), "held": i % 3 == 0}
+        rows.append(x | {"bad": int(x["symbol_share"] > 6 and x["digit_share"] > 4 or x["mark_share"] == 15)})
+    rules = quality.learn(binned(spark, rows))
+    wrong = lambda rules: sum(any(all((x[l.feature] > l.bin) == l.above for l in rule) for rule in rules) != bool(x["bad"]) for x in rows)  # noqa: E731, E741
+    both = [rule for rule in rules if {x.feature for x in rule} == {"symbol_share", "digit_share"}]
+    assert len(both) == 1 and {(x.feature, x.bin, x.above) for x in both[0]} == {("symbol_share", 6, True), ("digit_share", 4, True)}
+    assert any({x.feature for x in rule} == {"mark_share"} for rule in rules) and wrong(rules) == 0
+    # most bad documents a literal first: the list is in the order in which the rules were found, and CASE names the first that applies
+    stats = spark.createDataFrame([(0.9, 0.9, 0.9), (0.9, 0.9, 0.0), (0.0, 0.0, 0.9), (0.9, 0.0, 0.0)], "symbol_share double, digit_share double, mark_share double")
+    got = [x[0] for x in stats.select(quality.verdict([tuple(both[0]), next(u for u in rules if u[0].feature == "mark_share")])).collect()]
+    assert got == [1, 1, 2, 0]
+
+
+def test_a_literal_that_only_fits_the_growing_rows_is_pruned(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(1500):
+        held, bad = i % 3 == 0, int(r.random() < 0.3)
+        # on the growing rows a few good ones have symbols too, and the upper share tells them apart; on the held-out rows it tells nothing
+        noise = not held and not bad and r.random() < 0.1
+        rows.append({"bad": bad, "held": held, "symbol_share": 9 if bad or noise else 1, "upper_share": (0 if noise else 9) if not held else r.randrange(10)})
+    rules = quality.learn(binned(spark, rows))
+    assert [[x.feature for x in rule] for rule in rules] == [["symbol_share"]]
+    # and a rule that is not exact enough on the held-out rows is not kept at all
+    assert quality.learn(binned(spark, [x | {"symbol_share": r.randrange(10)} if x["held"] else x for x in rows])) == []
+    # neither is one that is exact but covers too few of them
+    few = [x for x in rows if not (x["held"] and x["bad"])] + [x for x in rows if x["held"] and x["bad"]][: quality.LEAST_COVER - 1]
+    assert quality.learn(binned(spark, few)) == []
+
+
 def test_clean_keeps_columns(odd, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     kept = quality.clean(odd, labels)
@@ -233,6 +276,19 @@ def test_sketches_do_not_rule_out_short_texts(spark):
 # --- secrets
 
 
+def test_hot_hashes_and_repositories(spark, monkeypatch):
+    """A third of all rows hold one value: its rows stay where they are. One owner's value in many repositories is live, several owners' is copied."""
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    popular, own, several, two = "Ab3dEfGh1jKlMnOpQrStUvWx9z", "Zx8cVb7nMq2wErT5yUiOp3aSdF", "Qw4eRt6yUi8oPa1sDf3gHj5kLz", "Mn9bVc7xZl5kJh3gFd1sAp0oIu"
+    value = lambda i: popular if i % 3 == 0 else own if i < 30 else several if i < 60 else two
+    rows = [(i, f"a {value(i)} b", f"o{i % 7}" if i % 3 == 0 else "o1" if value(i) == own else f"o{i % 2}", f"r{i % 9}" if value(i) != two else f"r{i % 2}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, owner string, repository string")
+    got = {r["doc_id"]: (r["n_live"], r["n_example"]) for r in secrets.report(docs, F.col("owner"), F.col("repository")).collect()}
+    assert got == {i: (0, 1) if value(i) in (popular, several) else (1, 0) for i in range(90)}
+    plan = secrets.judged(secrets.scan(docs, F.col("owner"), F.col("repository")))._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan and "Python" not in plan
+
+
 def base_secrets(t: str | None) -> list[tuple[int, int, int]]:
     t, out = t or "", []
     for m in re.finditer(r'(password|passwd|secret|token|api_?key)["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)', t, re.I | re.A):
@@ -300,6 +356,18 @@ def test_ids_and_texts_are_the_librarys(odd, none, documents, library):
     assert bpe.encode(none, vocabulary("word_bpe_49k.json")).count() == 0
 
 
+def test_memory_for_pairs_is_bounded(library, monkeypatch):
+    """Long unbroken words are never remembered, so the pairs that they ask about must be bounded by themselves."""
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 500)
+    e = bpe.Encoder(json.loads(bpe.read_spec(vocabulary("word_bpe_49k.json"))))
+    r = random.Random(3)
+    for _ in range(4):
+        word = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000))
+        assert np.frombuffer(e.encode(word), "<u4").tolist() == library.encode(word, add_special_tokens=False).ids
+        assert len(e.apart) <= 500
+    assert not dict(e)
+
+
 def test_random_words(library):
     e, r = bpe.encoder(bpe.read_spec(vocabulary("word_bpe_49k.json"))), random.Random(3)
     for _ in range(1500):
