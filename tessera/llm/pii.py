@@ -1,11 +1,12 @@
 """Personal data: exact base spans, and a semi-Markov conditional random field for what they leave.
 
-The base kinds are defined by their patterns and always stay. Around and beside them lie numbers and spelled-out addresses whose
-boundaries no single pattern settles: a phone number run together with an address, a card number after a table cell, "name at host dot
-org". Each such region becomes a lattice: nodes are group boundaries, edges are candidate segments of at most MOST_GROUPS groups
-with a type, or one group outside any entity. Features describe whole segments (shape, digit count, check digit, separators, what stands before), and a bounded
-dynamic programme chooses boundaries and types together. Base spans cut the lattice. Regions are independent, so the cost is
-linear in the text.
+The base kinds are defined by their patterns and always stay. Around and beside them lie numbers and addresses whose boundaries no single
+pattern settles: a phone number run together with an address, a card number after a table cell, "write to first dot last at host dot org
+dot", an address between the colons of a log line. Each such region becomes a lattice. Its nodes are the boundaries of its tokens (groups of digits,
+groups of hexadecimal digits, words around an "at"), and its edges are candidate segments of a bounded number of tokens with a type, or one
+token outside any entity. Features describe whole segments (shape, digit count, check digit, separators, what stands before and what the
+segment leaves on either side), and a bounded dynamic programme chooses boundaries and types together. Base spans cut the lattices. A region has a
+bounded number of edges for each token and regions are independent, so the cost is linear in the text.
 
 The weights are trained here, by the gradient of the exact log-likelihood (forward-backward over the same lattice), on generated
 labelled lines: TRAINING_LINES is the bound. Training is deterministic and takes seconds on the driver; the weights are a few thousand numbers
@@ -13,6 +14,7 @@ whatever the data.
 
 Cases. Null or empty text: no spans, the digest of the empty string. Texts of any length are read whole. Equal rows are returned each;
 null doc_id is returned as null; empty tables give no rows; other columns are not read. Of equally good labellings the first found wins, which prefers fewer entities.
+Addresses that the field finds are cut out of the numbers that it looks at.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -33,7 +36,9 @@ from tessera.llm.common import arrow_rows, no_null_text
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_GROUPS = 8
-TRAINING_LINES, ROUNDS = 1200, 6
+#: Parts that an address may have before and behind its "at".
+MOST_LOCAL, MOST_HOST = 4, 6
+TRAINING_LINES, ROUNDS = 2000, 6
 
 Span = tuple[int, int, int]  # start, end, kind
 
@@ -83,29 +88,64 @@ def base_spans(text: str) -> list[Span]:
 
 _REGION = re.compile(r"[+(]{0,2}[0-9]++(?:[ ().+/-]{1,3}+[0-9]++)*+")
 _GROUP = re.compile("[0-9]+")
-_AT = re.compile(r" at | ?(?:\(at\)|\[at\]|\{at\}) ?", re.I | re.A)
+_AT = re.compile(r" at | ?(?:\(at\)|\[at\]|\{at\}|@) ?", re.I | re.A)
+_DOT = re.compile(r" dot | ?(?:\(dot\)|\[dot\]|\{dot\}) ?| \. |\.", re.I | re.A)
 #: One of these is in any match of _AT.
-_ATS = (" at ", "(at)", "[at]", "{at}")
-_SPELLED = re.compile(r"([A-Za-z0-9-]{1,63})((?: dot | ?(?:\(dot\)|\[dot\]|\{dot\}) ?|\.)[A-Za-z0-9-]{2,63}){1,4}", re.I | re.A)
-_LOCAL_BEFORE = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
-_H = "[0-9A-Fa-f]{1,4}"
-_IP6 = re.compile(rf"(?<![0-9A-Za-z:])(?:{_H}(?::{_H}){{0,6}}+)?+::(?:{_H}(?::{_H}){{0,6}}+)?+(?![0-9A-Za-z:]|\.[0-9])|(?<![0-9A-Za-z:])(?:{_H}:){{3,7}}{_H}(?![0-9A-Za-z:])")
+_ATS = (" at ", "(at)", "[at]", "{at}", "@")
+_TOKEN = "[A-Za-z0-9_%+-]{1,64}"
+_HOST = re.compile(rf"{_TOKEN}(?:(?:{_DOT.pattern}){_TOKEN}){{1,{MOST_HOST - 1}}}", re.I | re.A)
+_LOCAL_BEFORE = re.compile(rf"(?:{_TOKEN}(?:{_DOT.pattern})){{0,{MOST_LOCAL - 1}}}{_TOKEN}\Z", re.I | re.A)
+_JOINT = re.compile(rf"({_AT.pattern})|{_DOT.pattern}", re.I | re.A)
+_WHOLE = re.compile(_TOKEN)
+_COLONS = re.compile("[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:]++")
+_HEX = re.compile("[0-9A-Fa-f]+")
 _WORD_BEFORE = re.compile(r"([A-Za-z]+)[^A-Za-z0-9]{0,4}\Z")
 
 
+#: (left node, kind, features, start, end)
+Edge = tuple[int, int, tuple[str, ...], int, int]
+
+
 class Lattice:
-    """Nodes 0..n; edges (i, j, kind, features), kind -1 being outside; spans of the nodes' edges in the text."""
+    """Nodes 0..n; edges by their right node, kind -1 being outside."""
 
-    __slots__ = ("n", "edges", "spans")
+    __slots__ = ("n", "edges")
 
     def __init__(self, n: int):
         self.n = n
-        self.edges: list[list[tuple[int, int, tuple[str, ...]]]] = [[] for _ in range(n + 1)]
-        self.spans: dict[tuple[int, int], tuple[int, int]] = {}
+        self.edges: list[list[Edge]] = [[] for _ in range(n + 1)]
 
     def add(self, i: int, j: int, kind: int, features: tuple[str, ...], start: int, end: int) -> None:
-        self.edges[j].append((i, kind, features))
-        self.spans[i, j] = (start, end)
+        self.edges[j].append((i, kind, features, start, end))
+
+
+class Taken:
+    """Places that spans cover, as disjoint intervals in order."""
+
+    def __init__(self, spans: Iterable[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted((a, b) for a, b, _ in spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_right(self.ends, a)
+        return k == len(self.starts) or self.starts[k] >= b
+
+    def gaps(self, a: int, b: int) -> Iterator[tuple[int, int]]:
+        """What is free between a and b."""
+        k = bisect_right(self.ends, a)
+        while k < len(self.starts) and self.starts[k] < b:
+            if a < self.starts[k]:
+                yield a, self.starts[k]
+            a = max(a, self.ends[k])
+            k += 1
+        if a < b:
+            yield a, b
 
 
 def _word_before(text: str, start: int) -> str:
@@ -133,7 +173,7 @@ def number_lattice(text: str, start: int, end: int) -> Lattice | None:
     """Groups of digits between start and end as a lattice; None if nothing there can be an entity."""
     groups = [m.span() for m in _GROUP.finditer(text, start, end)]
     sizes = [b - a for a, b in groups]
-    if sum(sizes) < 7:
+    if sum(sizes) < 4:
         return None
     out = Lattice(len(groups))
     any_segment = False
@@ -155,63 +195,151 @@ def number_lattice(text: str, start: int, end: int) -> Lattice | None:
                 if least <= n <= most:
                     any_segment = True
                     out.add(i, j + 1, kind, _segment(text, a, b, sizes[i : j + 1], kind, cue, edge), a, b)
+            if j == i + 3 and max(sizes[i : j + 1]) <= 3 and all(text[groups[g][1] : groups[g + 1][0]] == "." for g in range(i, j)) and all(int(text[x:y]) <= 255 for x, y in groups[i : j + 1]):
+                any_segment = True
+                out.add(i, j + 1, 1, _segment(text, groups[i][0], b, sizes[i : j + 1], 1, cue, edge), groups[i][0], b)
     return out if any_segment else None
 
 
-def _single(text: str, start: int, end: int, kind: int, features: list[str]) -> Lattice:
-    out = Lattice(1)
-    out.add(0, 1, -1, ("out",), start, end)
-    k = KINDS[kind]
-    cue = _word_before(text, start)
-    out.add(0, 1, kind, (f"{k}|", *(f"{k}|{f}" for f in features), *((f"{k}|cue {cue}",) if cue else ())), start, end)
-    return out
+def hex_lattice(text: str, start: int, end: int, taken: Taken) -> Lattice | None:
+    """Groups of hexadecimal digits between colons; candidates are runs that make an IPv6 address, of eight groups or with one ::."""
+    groups = [m.span() for m in _HEX.finditer(text, start, end)]
+    n = len(groups)
+    between = [text[groups[i][1] : groups[i + 1][0]] for i in range(n - 1)]
+    before = text[start : groups[0][0]] if n else ""
+    after = text[groups[-1][1] : end] if n else ""
+    out, any_segment = Lattice(n), False
+    glued = lambda c: c.isalnum() or c == "_"
+    for i in range(n):
+        a, b = groups[i]
+        out.add(i, i + 1, -1, ("out",), a, b)
+        if b - a > 4 or a and glued(text[a - 1]):
+            continue
+        doubled, lead = 0, between[i - 1] if i else before
+        for j in range(i, min(n, i + 8)):
+            b = groups[j][1]
+            if b - groups[j][0] > 4 or j > i and len(between[j - 1]) > 2:
+                break
+            doubled += j > i and between[j - 1] == "::"
+            trail = between[j] if j + 1 < n else after
+            next_char = text[b] if b < len(text) else " "
+            if j - i < 7 and not doubled and lead[-2:] != "::" and trail[:2] != "::":
+                continue
+            if doubled > 1 or glued(next_char) or next_char == "." and text[b + 1 : b + 2].isdigit():
+                continue
+            count = j - i + 1
+            for left, right in ((0, 0), (2, 0), (0, 2)):
+                if (left and lead[-2:] != "::") or (right and trail[:2] != "::") or (doubled + (left + right) // 2) != (count < 8):
+                    continue
+                x, y = a - left, b + right
+                if not taken.free(x, y):
+                    continue
+                lengths = [groups[g][1] - groups[g][0] for g in range(i, j + 1)]
+                raw = text[x:y]
+                digits, letters = any(c.isdigit() for c in raw), any(c.isalpha() for c in raw)
+                edge = ("D" if i and not left else "") + ("d" if j + 1 < n and not right else "") + (":" if not left and i == 0 and lead else "") + (":" if not right and j + 1 == n and trail else "")
+                cue = _word_before(text, x)
+                f = [f"groups {count}", f"letters {letters}", f"long {max(lengths)}", f"double {bool(doubled or left or right)}", f"double {left}{right} first {lengths[0]} digits {digits}", f"edge {edge}", f"first {text[a:a+4].lower() if lengths[0] == 4 and i == 0 else lengths[0]}", f"sum {min(sum(lengths), 12)}"]
+                any_segment = True
+                out.add(i, j + 1, 1, ("ip6|", *(f"ip6|{x}" for x in f), *((f"ip6|cue {cue}",) if cue else ())), x, y)
+    return out if any_segment else None
+
+
+def _joint(joint: str) -> str:
+    bare = joint.strip().lower()
+    return {"@": "tight" if bare == joint else "wide", ".": "point" if bare == joint else "wide"}.get(bare, "word" if bare.isalpha() else "mark")
 
 
-def spelled_lattice(text: str, at: re.Match) -> Lattice | None:
-    """An address with its @ or dots spelled out."""
-    right = _SPELLED.match(text, at.end())
-    left = _LOCAL_BEFORE.search(text, max(0, at.start() - 64), at.start())
-    if not right or not left:
+def address_lattice(text: str, start: int, end: int, taken: Taken) -> Lattice | None:
+    """Words joined by "at" and dots, spelled out or not, between start and end; candidates are a few words on either side of an "at"."""
+    joints = [m for m in _JOINT.finditer(text, start, end)]
+    tokens = list(zip([start, *(m.end() for m in joints)], [*(m.start() for m in joints), end]))
+    if not all(_WHOLE.fullmatch(text, a, b) for a, b in tokens):
         return None
-    how = "word" if at[0].strip().isalpha() else "mark"
-    dots = "word" if re.search(" dot ", right[0], re.I) else "mark" if re.search("dot[)}\\]]", right[0], re.I) else "point"
-    last = re.split(r"[^A-Za-z0-9-]+", right[0])[-1]
-    return _single(text, left.start(), right.end(), 0, [f"at {how}", f"dots {dots}", f"both {how} {dots}", f"last {min(len(last), 6)}", f"local {any(c in '._+0123456789' for c in left[0])}"])
+    n = len(tokens)
+    out, any_segment = Lattice(n), False
+    kinds = [_joint(m[0]) for m in joints]
+    is_at = [m[1] is not None for m in joints]
+    for k in range(n):
+        out.add(k, k + 1, -1, ("out",), *tokens[k])
+    for k in range(n - 1):
+        if not is_at[k]:
+            continue
+        first = k
+        while first and not is_at[first - 1] and k - first < MOST_LOCAL - 1:
+            first -= 1
+        last = k + 1
+        while last < n - 1 and not is_at[last] and last - k < MOST_HOST:
+            last += 1
+        for i in range(first, k + 1):
+            for j in range(k + 2, last + 1):
+                a, b = tokens[i][0], tokens[j][1]
+                if not taken.free(a, b):
+                    continue
+                label = text[tokens[j][0] : tokens[j][1]]
+                local = text[a : tokens[k][1]]
+                how, dots, inner = kinds[k], "+".join(sorted(set(kinds[k + 1 : j]))), "+".join(sorted(set(kinds[i:k])))
+                ending = label.lower() if len(label) <= 4 else str(len(label))
+                case = "Cap" if label[:1].isupper() and not label.isupper() else "digit" if any(c.isdigit() for c in label) else "low"
+                opens = kinds[i - 1] if i and not is_at[i - 1] else "at" if i else ""
+                goes = kinds[j] if j < n - 1 and not is_at[j] else "at" if j < n - 1 else ""
+                marked = any(c in "_+0123456789" for c in local)
+                cue = _word_before(text, a)
+                f = [f"at {how}", f"dots {dots}", f"inner {inner}", f"both {how} {dots}", f"last {ending}", f"case {case}", f"local {marked} {inner}", f"local {marked} {how} {dots}", f"opens {opens}", f"goes {goes}", f"goes {goes} {ending}", f"parts {min(k - i, 2)} {min(j - k, 4)}"]
+                any_segment = True
+                out.add(i, j + 1, 0, ("email|", *(f"email|{x}" for x in f), *((f"email|cue {cue}",) if cue else ())), a, b)
+    return out if any_segment else None
 
 
-def lattices(text: str, base: list[Span]) -> Iterator[Lattice]:
-    taken = sorted((a, b) for a, b, _ in base)
-    free = lambda a, b: not any(x < b and a < y for x, y in taken)
-    if _DIGIT.search(text):
-        k = 0
-        for m in _REGION.finditer(text):
-            start, end = m.span()
-            if end - start < 7:
-                continue
-            while k < len(taken) and taken[k][1] <= start:
-                k += 1
-            j = k
-            while j < len(taken) and taken[j][0] < end:
-                if start < taken[j][0] and (x := number_lattice(text, start, taken[j][0])):
-                    yield x
-                start = max(start, taken[j][1])
-                j += 1
-            if start < end and (x := number_lattice(text, start, end)):
+def _address_regions(text: str, taken: Taken) -> Iterator[tuple[int, int]]:
+    """Chains of words around each "at"; chains that touch are one."""
+    held: tuple[int, int] | None = None
+    for m in _AT.finditer(text):
+        if "@" in m[0] and not taken.free(*m.span()):
+            continue
+        right = _HOST.match(text, m.end())
+        left = _LOCAL_BEFORE.search(text, max(0, m.start() - 70 * MOST_LOCAL), m.start()) if right else None
+        if not left:
+            continue
+        if held and left.start() < held[1]:
+            held = (held[0], max(held[1], right.end()))
+            continue
+        if held:
+            yield held
+        held = (left.start(), right.end())
+    if held:
+        yield held
+
+
+def address_lattices(text: str, taken: Taken) -> Iterator[Lattice]:
+    """Of e-mail and IPv6 addresses."""
+    if "::" in text or text.count(":") >= 7:
+        for m in _COLONS.finditer(text):
+            if (m[0].count(":") >= 7 or "::" in m[0]) and (x := hex_lattice(text, *m.span(), taken)):
                 yield x
-    if "::" in text or text.count(":") >= 3:
-        for m in _IP6.finditer(text):
-            groups = m[0].split(":")
-            if 1 <= sum(map(bool, groups)) <= 8 - ("::" in m[0]):
-                digits = any(c.isdigit() for c in m[0])
-                yield _single(text, *m.span(), 1, [f"groups {len(groups)}", f"letters {any(c.isalpha() for c in m[0])}", f"long {max(map(len, groups))}", f"double {'::' in m[0]}", f"double {'::' in m[0]} first {len(groups[0])} digits {digits}"])
     small = text.lower()
     if any(x in small for x in _ATS):
-        for m in _AT.finditer(text):
-            x = spelled_lattice(text, m)
-            if x and free(*x.spans[0, 1]):
+        for start, end in _address_regions(text, taken):
+            if x := address_lattice(text, start, end, taken):
                 yield x
 
 
+def number_lattices(text: str, taken: Taken) -> Iterator[Lattice]:
+    """Of what is free in runs of digits."""
+    if _DIGIT.search(text):
+        for m in _REGION.finditer(text):
+            if m.end() - m.start() >= 7:
+                for start, end in taken.gaps(*m.span()):
+                    if x := number_lattice(text, start, end):
+                        yield x
+
+
+def lattices(text: str, base: list[Span]) -> Iterator[Lattice]:
+    taken = Taken(base)
+    yield from address_lattices(text, taken)
+    yield from number_lattices(text, taken)
+
+
 # --- the model --------------------------------------------------------------------------------------------------------
 
 Weights = dict[str, float]
@@ -221,25 +349,31 @@ def _score(w: Weights, features: tuple[str, ...]) -> float:
     return sum(w.get(f, 0.0) for f in features)
 
 
-def decode(x: Lattice, w: Weights) -> list[Span]:
-    """The best labelling's entities."""
+def best_path(x: Lattice, w: Weights) -> tuple[float, list[Span]]:
+    """The best labelling's score and entities."""
     best: list[dict[int, tuple[float, tuple | None]]] = [{} for _ in range(x.n + 1)]
     best[0][-1] = (0.0, None)
     for j in range(1, x.n + 1):
-        for i, kind, features in x.edges[j]:
+        for i, kind, features, start, end in x.edges[j]:
             s = _score(w, features)
             for last, (score, _) in best[i].items():
                 total = score + s + w.get(f"{last}>{kind}", 0.0)
                 if kind not in best[j] or total > best[j][kind][0]:
-                    best[j][kind] = (total, (i, last))
+                    best[j][kind] = (total, (i, last, start, end))
     out, j = [], x.n
     kind = max(best[j], key=lambda k: best[j][k][0])
+    score = best[j][kind][0]
     while j:
-        i, last = best[j][kind][1]
+        i, last, start, end = best[j][kind][1]
         if kind >= 0:
-            out.append((*x.spans[i, j], kind))
+            out.append((start, end, kind))
         j, kind = i, last
-    return out[::-1]
+    return score, out[::-1]
+
+
+def decode(x: Lattice, w: Weights) -> list[Span]:
+    """The best labelling's entities."""
+    return best_path(x, w)[1]
 
 
 def _log_sum(xs: list[float]) -> float:
@@ -255,7 +389,7 @@ def gradient(x: Lattice, gold: set[Span], w: Weights) -> dict[str, float]:
     alpha[0][-1] = 0.0
     for j in range(1, x.n + 1):
         arrive = defaultdict(list)
-        for i, kind, features in x.edges[j]:
+        for i, kind, features, _, _ in x.edges[j]:
             s = _score(w, features)
             for last in alpha[i]:
                 t = s + w.get(f"{last}>{kind}", 0.0)
@@ -273,14 +407,9 @@ def gradient(x: Lattice, gold: set[Span], w: Weights) -> dict[str, float]:
         p = math.exp(alpha[i][last] + v - z)
         for f in (*features, f"{last}>{kind}"):
             out[f] -= p
-    j, last_kinds = x.n, []
-    path = []
+    j, path = x.n, []
     while j:
-        for i, kind, features in x.edges[j]:
-            if kind >= 0 and (*x.spans[i, j], kind) in gold:
-                break
-        else:
-            i, kind, features = next(e for e in x.edges[j] if e[1] < 0)
+        i, kind, features, _, _ = next((e for e in x.edges[j] if e[1] >= 0 and (e[3], e[4], e[1]) in gold), None) or next(e for e in x.edges[j] if e[1] < 0)
         path.append((kind, features))
         j = i
     last = -1
@@ -288,7 +417,6 @@ def gradient(x: Lattice, gold: set[Span], w: Weights) -> dict[str, float]:
         for f in (*features, f"{last}>{kind}"):
             out[f] += 1.0
         last = kind
-    del last_kinds
     return out
 
 
@@ -314,13 +442,19 @@ def training_line(r: random.Random) -> tuple[str, set[Span]]:
         lambda: f"0{d(3)} {d(3)} {d(4)}", lambda: "0" + d(1) + "".join(" " + d(2) for _ in range(4)), lambda: f"0{d(3)}/{d(7)}", lambda: f"+{d(11)}",
     ]
     cards = [lambda: card(), lambda: grouped(card(), " "), lambda: grouped(card(), "-"), lambda: grouped(card(), ".")]
-    address = [lambda: f"{word()}.{d(2)} at {word()} dot {r.choice(['com', 'org', 'net', 'de'])}", lambda: f"{word()} (at) {word()} (dot) com", lambda: f"{word()}[at]{word()}.org", lambda: f"{word()}_{word()} at {word()} dot {word()} dot net", lambda: f"{word()}[at]{word()}[dot]com", lambda: f"{word()}.{d(2)} at {word()}.{r.choice(['com', 'org', 'net', 'de'])}", lambda: f"{word()} at {word()} dot {r.choice(['com', 'org', 'net', 'de'])}"]
-    ip6 = [lambda: ":".join(f"{r.randrange(65536):x}" for _ in range(8)), lambda: f"2001:db8:{r.randrange(65536):x}::{r.randrange(65536):x}", lambda: compressed()]
+    tld = lambda: r.choice(["com", "org", "net", "de", "io", "co", "edu", "fr", "es", "info", "uk"])
+    address = [
+        lambda: f"{word()} at {word()} dot {tld()}", lambda: f"{word()} dot {word()} at {word()} dot {tld()}", lambda: f"{word()}.{word()} at {word()} dot {word()} dot {tld()}", lambda: f"{word()} @ {word()}.{tld()}", lambda: f"{word()}{d(2)} @ {word()} . {tld()}",
+        lambda: f"{word()}.{word()} (at) {word()}.{tld()}", lambda: f"{word()} [at] {word()} [dot] {tld()}", lambda: f"{word()}{{at}}{word()}.{word()}.{tld()}", lambda: f"{word()}@{word()}.{tld()}", lambda: f"{word()}.{word()}{d(1)}@{word()}-{word()}.{word()}.{tld()}", lambda: f"{word()}_{word()}@{word()}.{tld()}",
+    ]
+    address += [lambda: f"{word()}.{d(2)} at {word()} dot {r.choice(['com', 'org', 'net', 'de'])}", lambda: f"{word()} (at) {word()} (dot) com", lambda: f"{word()}[at]{word()}.org", lambda: f"{word()}_{word()} at {word()} dot {word()} dot net", lambda: f"{word()}[at]{word()}[dot]com", lambda: f"{word()}.{d(2)} at {word()}.{r.choice(['com', 'org', 'net', 'de'])}", lambda: f"{word()} at {word()} dot {r.choice(['com', 'org', 'net', 'de'])}"]
+    ip6 = [lambda: ":".join(f"{r.randrange(65536):x}" for _ in range(8)), lambda: f"2001:db8:{r.randrange(65536):x}::{r.randrange(65536):x}", lambda: compressed(), lambda: compressed(), lambda: ".".join(str(r.randrange(256)) for _ in range(4)), lambda: ".".join(str(r.choice([10, 127, 172, 192, r.randrange(256)])) for _ in range(4)), lambda: f"::{r.randrange(1, 65536):x}:{r.randrange(65536):x}"]
     other = [
         lambda: f"20{d(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}", lambda: f"{r.randint(10, 28)}/{r.randint(10, 12)}/19{d(2)} {r.randint(10, 23)}:{d(2)}", lambda: f"{r.randint(10, 28)}.{r.randint(10, 12)}.20{d(2)}", lambda: f"{d(1)},{d(3)}.{d(2)}", lambda: f"{d(1)}.{d(1)}.{d(2)}",
         lambda: d(r.choice([7, 8, 9, 10, 11, 12, 13])), lambda: d(16), lambda: d(r.choice([14, 15, 17, 18, 20])), lambda: f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", lambda: f"19{d(2)}-20{d(2)}", lambda: " ".join(d(r.randint(1, 4)) for _ in range(r.randint(3, 9))), lambda: "17" + d(8),
         lambda: f"{d(4)}-{d(4)}", lambda: f"{r.randint(300, 999)}.{d(3)}.{d(3)}.{d(3)}", lambda: f"{d(2)}:{d(2)}:{d(2)}:{d(2)}", lambda: f"{word()} at {word()}.", lambda: f"look at {word()} dot", lambda: f"{d(2)}-{d(5)}-{d(4)}-{d(3)}", lambda: f"{d(3)} {d(3)} {d(3)}",
         lambda: f"{word()} at {word()}.{r.choice(['com', 'org', 'net', 'de'])}", lambda: f"{word()} at {word()}.{word()}",
+        lambda: ":".join(f"{r.randrange(256):02x}" for _ in range(6)), lambda: ":".join(f"{r.randrange(256):02x}" for _ in range(r.choice([8, 16, 20]))), lambda: f"{word()} {word()} at {word()}.{word().capitalize()} {word()}", lambda: f"meet at {word()} dot on {word()}", lambda: f"{word()} @ {d(1)}.{d(2)}", lambda: f"{d(1)}.{d(1)}.{d(2)}.{d(1)}.{d(1)}",
         lambda: f"{r.choice(['a', 'be', 'add', 'dead', 'face', 'x[', ''])}::{r.choice(['add', 'bad', 'beef', 'c', d(1)])}", lambda: f"{d(1)}::{d(1)}",
     ]
     cues = {3: ["call", "tel", "phone", "fax", "mobile", "Telefon"], 2: ["card", "visa", "paid with"], 0: ["mail", "write to", "contact"], 1: ["host", "from", "ip"]}
@@ -333,9 +467,14 @@ def training_line(r: random.Random) -> tuple[str, set[Span]]:
         text += r.choice([" ", " ", ", ", "\n", " | "])
         if kind == -1 and luhn(re.sub("[^0-9]", "", s) or "1") and len(re.sub("[^0-9]", "", s)) >= 13:
             continue
+        if kind == 1 and ":" in s and r.random() < 0.15:
+            text += r.choice(["ip:", "10:22:", "[", "src="])
         if kind >= 0:
             gold.add((len(text), len(text) + len(s), kind))
         text += s
+        # what goes on right behind an address must not be taken for its end
+        if kind == 0 and r.random() < 0.15:
+            text += r.choice([". The", ".", " dot", ", or"])
         if r.random() < 0.5:
             text += r.choice([" ", ". ", ", "]) + word()
     return text + r.choice([".", "", "\n"]), gold
@@ -366,7 +505,9 @@ def train(lines: int = TRAINING_LINES, rounds: int = ROUNDS, seed: int = 5) -> W
 def spans(text: str, w: Weights) -> list[Span]:
     """Base spans and those that the field adds, by kind, then start."""
     base = base_spans(text)
-    more = [s for x in lattices(text, base) for s in decode(x, w)]
+    taken = Taken(base)
+    more = [s for x in address_lattices(text, taken) for s in decode(x, w)]
+    more += [s for x in number_lattices(text, Taken([*base, *more]) if more else taken) for s in decode(x, w)]
     return sorted({*base, *more}, key=lambda s: (s[2], s[0], s[1])) if more else base
 
 
