@@ -1,13 +1,14 @@
 """Main text of web pages by consensus paths of their hosts.
 
 1. Every page's containers are scored by the text of their blocks, less links and boilerplate. The score only tells where the article
-   lies: the region around the best container is the outermost article about it, else its main, else the container, and from there
+   lies: the region around the best container is the outermost article about it, else its main, else the outermost container named as
+   an article, else the container, and from there
    the highest ancestor (up to the main, or the body where there is neither) that has text of its own. The page votes for the region's
    path: the tags and generalised classes from the body down to it. The regions that it would choose beside that one are passed over.
 2. Spark counts the votes by host and path (partial counts before the shuffle) and takes each host's winner; paths that more pages
    passed over than chose are the host's noise.
-   Elements of boilerplate tags are left out. A word that marks boilerplate in a class, id, role or itemprop leaves an element out unless
-   it holds the article: see settled().
+   Elements of boilerplate tags are left out. A form, or a word that marks boilerplate in a class, id, role or itemprop, leaves an element out
+   unless it holds the article: see settled(). The header of an article is no boilerplate.
 3. Every page is read again with its host's winning path. All text that is not boilerplate is given below all containers on that path
    and below the page's own region, unless that region is the host's noise and something is on the winning path.
 
@@ -46,11 +47,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea iframe noframes xmp noembed".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article body center div main section table tbody td tr".split())
-DROPPED = frozenset("script style title textarea iframe noframes xmp noembed head noscript template nav aside footer form button select option input svg canvas dialog menu object embed audio video".split())
+DROPPED = frozenset("script style title textarea iframe noframes xmp noembed head noscript template nav aside footer button select option input svg canvas dialog menu object embed audio video".split())
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus footer footers footnav gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related reply replies respond share sharing shoutbox sidebar sidebars signup skip social sponsor sponsored subscribe tags toolbar toc widget widgets".split())
 NOT_MARKED = frozenset("has no with without".split())
 HEADS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 GOOD = frozenset("article body content entry main post story text".split())
+#: Of these, those that name one whole article; a header of such a one holds its title.
+STORY = frozenset("article entry post story".split())
 #: What a start tag closes: an open element of these names, unless one of the others lies between.
 CLOSES = {
     **{t: (("p",), ("button", "td", "th", "li", "div", "article", "section", "body")) for t in BLOCKS - {"body", "html", "tr", "td", "th", "tbody", "thead", "tfoot", "option", "optgroup"}},
@@ -75,7 +78,7 @@ LONGEST_PATH = 400
 class Node:
     """An element. Nodes are numbered in page order, so that those below it are the ones from no up to last."""
 
-    __slots__ = ("bad", "best", "block", "box", "chars", "covered", "free", "good", "last", "link", "link_chars", "mark", "name", "no", "out", "own", "parent", "path", "region_own", "main_own", "article", "main", "score", "text", "worth")
+    __slots__ = ("bad", "best", "block", "box", "chars", "covered", "free", "good", "last", "link", "link_chars", "mark", "name", "no", "out", "own", "parent", "path", "region_own", "main_own", "article", "main", "score", "story", "text", "worth")
 
     def __init__(self, name: str, parent: Node | None, path: str, bad: bool, link: bool, good: bool, marked: bool = False):
         self.good, self.out = good, False  # out: a marked element that is boilerplate; mark: the innermost marked element about it
@@ -89,6 +92,7 @@ class Node:
         self.no = self.last = 0
         self.chars = self.link_chars = 0  # of the text below, before white space is settled
         self.free = self.covered = False
+        self.story: Node | None = None  # the outermost container about it that is named as an article
 
 
 class Page:
@@ -110,20 +114,24 @@ def _path(above: str, shown: str) -> str:
     return found if len(found) <= LONGEST_PATH else "#" + hashlib.blake2b(found.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def _described(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """Generalised tag-class name, whether a word marks boilerplate, whether one marks content."""
-    marked, good, shown = False, name in ("article", "main"), name
+def _described(name: str, attributes: str, inside: bool) -> tuple[str, bool, bool, bool]:
+    """Generalised tag-class name, whether a word marks boilerplate, whether one marks content, whether one names an article. inside: of an article or
+    main, where a header is part of it."""
+    marked, good, story, shown = False, name in ("article", "main"), False, name
     if "=" in attributes:
         for key, *values in _CLASS.findall(attributes):
             value = next(filter(None, values), "")
             words = [w.lower() for w in _WORD.findall(value)]
-            if any(w in MARKS and (i == 0 or words[i - 1] not in NOT_MARKED) for i, w in enumerate(words)):
-                marked = True
-            elif any(w in GOOD for w in words):
-                good = True
+            for i, w in enumerate(words):
+                if w in MARKS and not (i and words[i - 1] in NOT_MARKED) and not (w == "header" and (inside or i and words[i - 1] in STORY)):
+                    marked = True
+                    break
+            else:
+                good |= any(w in GOOD for w in words)
+                story |= any(w in STORY for w in words)
             if key.lower() == "class":
                 shown += "." + "-".join(w if w.isalpha() else "N" for w in words)
-    return shown, marked, good
+    return shown, marked, good, story
 
 
 def parsed(html: str, path: str | None = None) -> Page:
@@ -203,10 +211,12 @@ def parsed(html: str, path: str | None = None) -> Page:
                     if name not in ("li", "dt", "dd", "td", "th", "tr", "tbody"):
                         break
                 k -= 1
-        shown, marked, good = _described(name, m[3])
+        inside = opened["article"] + opened["main"] > 0
+        shown, marked, good, story = _described(name, m[3], inside)
+        marked |= name == "form"  # one round the whole page is no form to its reader
         bad = name in DROPPED
         top = stack[-1]
-        if name == "header" and not opened["article"] and not opened["main"]:
+        if name == "header" and not inside and not story:
             bad = True
         unclean = marked
         if name in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "article", "main"):
@@ -214,6 +224,7 @@ def parsed(html: str, path: str | None = None) -> Page:
         bad = bad or top.bad
         node = Node(name, top, _path(top.path, shown) if name in CONTAINERS else top.path, bad, top.link or name == "a", good, marked and not bad)
         node.good = good and not unclean
+        node.story = node if story and not unclean and name in CONTAINERS else None
         if marked and not bad:
             page.marked.append(node)
         node.no = node.last = len(page.nodes)
@@ -255,6 +266,7 @@ def scored(page: Page) -> None:
         # the outermost article and main, and the outermost container with text of its own, from the root and from that main on
         c.article = up.article if up is not None and up.article is not None else c if c.name == "article" else None
         c.main = up.main if up is not None and up.main is not None else c if c.name == "main" else None
+        c.story = up.story if up is not None and up.story is not None else c.story
         c.region_own = up.region_own if up is not None and up.region_own is not None else c if c.own else None
         above = up.main_own if up is not None else None
         c.main_own = above if above is not None else c if c.main is not None and c.own else None
@@ -343,8 +355,9 @@ def best(page: Page) -> Node:
 
 
 def region(node: Node) -> Node:
-    """What belongs to the container node: its outermost article or main, and up to the highest ancestor with text of its own."""
-    at = node.article or node.main or node
+    """What belongs to the container node: its outermost article or main, else container named as an article, and up to the highest ancestor with
+    text of its own."""
+    at = node.article or node.main or node.story or node
     if node.article is not None and (node.main is None or node.main.no >= node.article.no):
         return at
     wide = node.main_own if node.main is not None else node.region_own

@@ -5,7 +5,11 @@ from __future__ import annotations
 import hashlib
 import io
 import os
+import re
+import time
+import tracemalloc
 from collections import Counter
+from html.parser import HTMLParser
 from urllib.parse import urlparse
 
 import duckdb
@@ -78,6 +82,146 @@ def test_whole_article(html, text):
     assert html_text.main_text(html, None) == text
 
 
+REMARK, MENU, FOOT = "a shorter closing remark of the author.", "<nav><a href=/>Home</a><a href=/b>News</a></nav>", "<footer>Imprint and contact</footer>"
+#: Pages with the text that a reader would call the article's.
+HAND_MADE = [
+    ("social-enabled", f"<body class='social-enabled'>{MENU}<article><h1>T</h1><p>{WORDS}</article>{FOOT}</body>", f"T\n\n{WORDS.strip()}"),
+    ("wrapper social-enabled", f"<div class='page social-enabled'><article><h1>T</h1><p>{WORDS}</article></div>", f"T\n\n{WORDS.strip()}"),
+    ("tags-explained", f"<article class='tags-explained'><h1>T</h1><p>{WORDS}</article>", f"T\n\n{WORDS.strip()}"),
+    ("notice-of-motion", f"<div id=notice-of-motion><h1>T</h1><p>{WORDS}</div>", f"T\n\n{WORDS.strip()}"),
+    ("form round the page", f"<form id=aspnetForm>{MENU}<article><h1>T</h1><p>{WORDS}</article><input><button>Go</button></form>", f"T\n\n{WORDS.strip()}"),
+    ("data-class", f"<div data-class='sidebar'><p>{WORDS}</div>", WORDS.strip()),
+    ("title with id", f"<div title='id=\"menu\"'><p>{WORDS}</div>", WORDS.strip()),
+    ("post-header h1", f"<article><div class=post-header><h1>T</h1></div><p>{WORDS}</article>", f"T\n\n{WORDS.strip()}"),
+    ("entry-header h1", f"<article><header class=entry-header><h1>T</h1></header><p>{WORDS}</article>", f"T\n\n{WORDS.strip()}"),
+    ("two sections", f"<article><section><p>{WORDS}</section><section><p>{REMARK}</section></article>", f"{WORDS.strip()}\n\n{REMARK}"),
+    ("alpha beta", f"<body><div class=alpha><p>{WORDS}</div><div class=beta><p>{WORDS}</div></body>", f"{WORDS.strip()}\n\n{WORDS.strip()}"),
+    ("sidebar after", f"<div class=content><h1>T</h1><p>{WORDS}</div><div class=sidebar><p>{REMARK}</div>", f"T\n\n{WORDS.strip()}"),
+    ("comments", f"<article><p>{WORDS}</article><div id=comments><p>{WORDS}{WORDS}</div>", WORDS.strip()),
+    ("comment-list in article", f"<article><p>{WORDS}<div class=comment-list><p>{REMARK}</div></article>", WORDS.strip()),
+    ("cookie", f"<div class=cookie-banner>{REMARK}</div><main><p>{WORDS}</main>", WORDS.strip()),
+    ("ads in article", f"<article><p>{WORDS}<div class=advert>Buy now</div><p>{REMARK}</article>", f"{WORDS.strip()}\n\n{REMARK}"),
+    ("related", f"<main><p>{WORDS}<section class=related><h2>More</h2><a href=x>one</a></section></main>", WORDS.strip()),
+    ("list article", f"<article><h2>H</h2><ol><li>{WORDS}<li>{REMARK}</ol></article>", f"H\n\n{WORDS.strip()}\n\n{REMARK}"),
+    ("table layout", f"<table><tr><td class=nav><a href=x>a</a><td class=content><p>{WORDS}</table>", WORDS.strip()),
+    ("data table", f"<article><p>{WORDS}<table><tr><th>k<th>v<tr><td>1<td>2</table></article>", f"{WORDS.strip()}\n\nk\n\nv\n\n1\n\n2"),
+    ("pre", f"<article><p>{WORDS}<pre>x = 1\n  y</pre></article>", f"{WORDS.strip()}\n\nx = 1 y"),
+    ("quote", f"<article><blockquote>{REMARK}</blockquote><p>{WORDS}</article>", f"{REMARK}\n\n{WORDS.strip()}"),
+    ("figure", f"<article><figure><img src=x><figcaption>{REMARK}</figcaption></figure><p>{WORDS}</article>", f"{REMARK}\n\n{WORDS.strip()}"),
+    ("entities", f"<article><p>&lt;b&gt; &amp;amp; &#233;&#x1F600; {WORDS}</article>", f"<b> &amp; é😀 {WORDS.strip()}"),
+    ("nested mains", f"<div class=wrapper><div class=inner><main id=content><p>{WORDS}</main></div></div>", WORDS.strip()),
+    ("no class", f"<body>{MENU}<div><p>{WORDS}<p>{REMARK}</div>{FOOT}</body>", f"{WORDS.strip()}\n\n{REMARK}"),
+    ("body text", f"<body>{MENU}{WORDS}<br>{REMARK}{FOOT}</body>", f"{WORDS.strip()} {REMARK}"),
+    ("newsletter form", f"<article><p>{WORDS}<form><p>Subscribe<input></form><p>{REMARK}</article>", f"{WORDS.strip()}\n\n{REMARK}"),
+    ("script in p", f"<article><p>{WORDS[:50]}<script>x()</script>{WORDS[50:]}</article>", WORDS.strip()),
+    ("noscript", f"<article><p>{WORDS}<noscript>turn on</noscript></article>", WORDS.strip()),
+    ("share bar", f"<article><div class=share-buttons><a href=x>Tweet</a></div><p>{WORDS}</article>", WORDS.strip()),
+    ("breadcrumbs", f"<div class=breadcrumbs><a href=x>Home</a> &gt; x</div><div class=post><h1>T</h1><p>{WORDS}</div>", f"T\n\n{WORDS.strip()}"),
+    ("pagination", f"<div class=post><p>{WORDS}</div><div class=pagination><a href=2>2</a></div>", WORDS.strip()),
+    ("aside in article", f"<article><p>{WORDS}<aside>{REMARK}</aside></article>", WORDS.strip()),
+    ("multi articles", f"<main><article><h2>A</h2><p>{WORDS}</article><article><h2>B</h2><p>{REMARK}</article></main>", f"A\n\n{WORDS.strip()}\n\nB\n\n{REMARK}"),
+    ("uppercase tags", f"<BODY><NAV>x</NAV><ARTICLE><P>{WORDS}</P></ARTICLE></BODY>", WORDS.strip()),
+    ("unquoted and broken", f"<article class=post id=a1><p>{WORDS}</div></section><p>{REMARK}", f"{WORDS.strip()}\n\n{REMARK}"),
+    ("comment markup", f"<article><!-- <p>hidden --><p>{WORDS}<!-- unclosed", WORDS.strip()),
+    ("header of page", f"<header><h1>Site</h1></header><article><h1>T</h1><p>{WORDS}</article>", f"T\n\n{WORDS.strip()}"),
+    ("intro div", f"<div class=story><div class=lead>{REMARK}</div><div class=body>{WORDS}</div></div>", f"{REMARK}\n\n{WORDS.strip()}"),
+    ("dl", f"<article><dl><dt>k<dd>{WORDS}<dt>l<dd>{REMARK}</dl></article>", f"k\n\n{WORDS.strip()}\n\nl\n\n{REMARK}"),
+    ("details", f"<article><p>{WORDS}<details><summary>More</summary>{REMARK}</details></article>", f"{WORDS.strip()}\n\nMore\n\n{REMARK}"),
+    ("select", f"<article><p>{WORDS}<select><option>a<option>b</select></article>", WORDS.strip()),
+    ("login", f"<div class=login-box>Sign in</div><article><p>{WORDS}</article>", WORDS.strip()),
+    ("consent modal", f"<article><p>{WORDS}</article><div class='modal consent'><p>{REMARK}</div>", WORDS.strip()),
+]
+
+
+@pytest.mark.parametrize(("name", "html", "text"), HAND_MADE, ids=[x[0] for x in HAND_MADE])
+def test_hand_made_pages(name, html, text):
+    assert html_text.main_text(html, None) == text
+
+
+DEEP = {
+    "divs": "<div class=a>" * 40_000 + "x", "marked": "<div class=sidebar>" * 40_000 + "<main>x y z</main>", "inline": "<b><p>t</p>" * 40_000, "stray ends": "<div>" * 40_000 + "</span>" * 40_000, "beside": "<div class=x><section>word word</section>" * 20_000,
+    "marked beside": "<div class=nav-x><section class=post>word word</section>" * 20_000, "lists": "<ul><li>x" * 30_000, "paragraphs": "<b>" * 40_000 + "<p>x" * 40_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(DEEP))
+def test_deep_pages_take_linear_time_and_memory(name):
+    html = DEEP[name]
+    started = time.process_time()
+    page = html_text.parsed(html)
+    top = html_text.region(html_text.best(page))
+    passed = html_text.passed_over(page, top)
+    assert time.process_time() - started < 3  # a third of a second where nothing else runs
+    assert sum(map(len, passed)) + len(top.path) < 2 * html_text.LONGEST_PATH * (len(passed) + 1)
+    tracemalloc.start()
+    html_text.main_text(html, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000, peak
+
+
+class Plainly(HTMLParser):
+    """A second reading of simple pages: the text of the first article in blocks, by the standard library's parser."""
+
+    BLOCK = {"article", "p", "h1", "h2", "h3", "ul", "ol", "li", "div", "section", "blockquote", "pre", "table", "tr", "td", "th", "aside", "nav", "form", "footer", "figure", "figcaption"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.held, self.depth, self.skip = [], "", 0, 0
+
+    def cut(self):
+        text = re.sub(r"[\s\x00]+", " ", self.held).strip()
+        self.held = ""
+        if text:
+            self.blocks.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        marked = tag in ("script", "style", "aside", "nav", "form", "footer") or self.depth and any(w in html_text.MARKS - {"header"} for k, v in attrs if k in ("class", "id") for w in re.findall("[a-z]+", (v or "").lower()))
+        if self.skip or self.depth and marked:
+            self.skip += tag not in html_text.VOID
+        if tag in self.BLOCK:
+            self.cut()
+        if tag == "br":
+            self.held += " "
+        self.depth += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCK:
+            self.cut()
+        self.depth -= tag == "article"
+        self.skip -= bool(self.skip)
+
+    def handle_data(self, data):
+        if self.depth and not self.skip:
+            self.held += data
+
+
+def test_pages_by_a_second_extractor(pages):
+    """Well-formed pages with one article: the same text, block for block."""
+    got, seen = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}, 0
+    for r in pages.collect():
+        html = r["html"] or ""
+        if html.count("<article") == html.count("</article>") == 1 and all(html.count(f"<{t}>") + html.count(f"<{t} ") == html.count(f"</{t}>") for t in ("p", "li", "div", "section", "td", "aside", "form")):
+            p = Plainly()
+            p.feed(html)
+            p.close()
+            seen += 1
+            assert got[r["page_id"]] == "\n\n".join(p.blocks), r["page_id"]
+    assert seen >= 5
+
+
+def test_more_hosts_than_are_broadcast(spark, pages, odd_pages, monkeypatch):
+    """Each task reads the winners of its own files' hosts; a table that is no scan of files is written first."""
+    for df in (pages, odd_pages):
+        want = Counter(map(tuple, html_text.extract(df).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(html_text, "BROADCAST_HOSTS", 0)
+            m.setattr(html_text, "BUCKET_ROWS", 3)
+            out = html_text.extract(df)
+            assert Counter(map(tuple, out.collect())) == want
+            assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("wrapper", ["div class='layout has-sidebar'", "div class=no-sidebar", "div class='content-with-header'", "div class=page-social", "section class='related-content main'"])
 @pytest.mark.parametrize("inner", ["<article><h1>Title</h1><p>{}</article>", "<main><h1>Title</h1><p>{}</main>", "<div><h1>Title</h1><p>{}</div>"])
 def test_marked_wrappers(wrapper, inner):
