@@ -6,17 +6,18 @@ array (a suffix that starts with an unknown word matches nothing, so it needs no
 item is then searched by bisection in every shard: the search over the whole suffix gives its longest verbatim match and
 the place, the search over its window gives all places where the window occurs.
 
-The benchmark is the query set. It goes to the executors in blocks of at most ``block_bytes`` of text, one pass over the
-documents for each block, so what is broadcast is bounded whatever the benchmark's size. The documents are never
-shuffled.
+The benchmark is the query set. Tasks cut it into blocks of about ``block_bytes`` of text, number their words, and write them to the shared
+folder; neither the driver nor a broadcast ever holds it. A task that searches reads one block at a time for each of its shards, and keeps the
+last one: with one block it reads it once. The documents are passed over once and never shuffled.
 
 Cases. Null or blank text: no words, no hits. Null or wordless items match nothing; a null item_id counts as an item and is
 written as an empty string. Equal rows are returned each. Items with equal texts are found each. Empty tables give no
-rows or no hits. Other columns are not read. Of equally long matches the first item and place count.
+rows or no hits. Other columns are not read. Each document's longest match is exact; of equally long ones any may be named.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -25,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import arrow_rows, no_null_text
+from tessera.llm.common import arrow_rows, fresh_dir, no_null_text, written
+from tessera.llm.files import WholeFile, open_read
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -45,6 +47,7 @@ class Block:
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.vocabulary: dict[bytes, int] = {}
+        self.full = window
         self.names = [name for name, _ in items]
         number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
         codes, self.item, self.offset, self.window = [], [], [], []
@@ -74,9 +77,12 @@ class Block:
         self.item, self.offset, self.window, self.window_id = (np.array(x, np.int64) for x in (self.item, self.offset, self.window, self.window_id))
         ends = np.flatnonzero(self.codes == 0)
         self.length = ends[np.searchsorted(ends, self.offset)] - self.offset if len(self.offset) else self.offset
-        self.start = np.array([], np.int64) if not len(self.offset) else self.offset - np.concatenate([[0], ends])[np.searchsorted(ends, self.offset)]
+        self.start = np.array([], np.int64) if not len(self.offset) else self.offset - np.concatenate([[0], ends + 1])[np.searchsorted(ends, self.offset)]
         self.least = int(self.window.min()) if len(self.window) else 0
         self.longest = int(self.length.max()) if len(self.length) else 0
+        # the items' own suffixes in order, to ask how far a match in a document goes
+        self.order = suffix_array(self.codes, self.longest + 1) if len(self.offset) else self.offset
+        self.order = self.order[self.codes[self.order] > 0] if len(self.offset) else self.order
         # each window once, for the search of all its places
         self.unique, first = np.unique(self.window_id, return_index=True)
         keep = self.unique >= 0
@@ -186,6 +192,26 @@ def search(shard: list[np.ndarray], block: Block) -> list[tuple[int, list[int],
             if d not in best or (-mine[0], *mine[1:]) < (-best[d][0], *best[d][1:]):
                 best[d] = mine
     docs = doc_of(real)
+    # of a document whose matches others surpass: how far each of its places goes, at a neighbour among the items' suffixes
+    short = block.window[block.first[who]] < block.full  # of items that are shorter than a window a neighbour may be another's end
+    for j, d, place in zip(*(x[short].tolist() for x in (block.first[who], docs, real))):
+        mine = (int(block.window[j]), int(block.item[j]), int(block.start[j]), place - int(base[d]))
+        if d not in best or (-mine[0], *mine[1:]) < (-best[d][0], *best[d][1:]):
+            best[d] = mine
+    here = np.unique(places)
+    if len(here):
+        zeros = np.flatnonzero(text == 0)
+        room = zeros[np.searchsorted(zeros, here)] - here
+        stand = _bisect(block.codes, block.order, text, here, room, False)
+        for stand_at in (np.maximum(stand - 1, 0), np.minimum(stand, len(block.order) - 1)):
+            at = block.order[stand_at]
+            n = _common(block.codes, at, text, here, room)
+            j = np.searchsorted(block.offset, at)
+            for k in np.flatnonzero(n >= block.window[j]):
+                d = int(doc_of(spot[here[k]]))
+                mine = (int(n[k]), int(block.item[j[k]]), int(block.start[j[k]]), int(spot[here[k]] - base[d]))
+                if d not in best or (-mine[0], *mine[1:]) < (-best[d][0], *best[d][1:]):
+                    best[d] = mine
     pairs = np.unique(np.stack([docs, block.unique[who]]), axis=1) if len(docs) else np.empty((2, 0), np.int64)
     items: dict[int, set[int]] = {}
     for d, key in pairs.T.tolist():
@@ -196,12 +222,10 @@ def search(shard: list[np.ndarray], block: Block) -> list[tuple[int, list[int],
     return out
 
 
-_STATE = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()),
-    T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType())),
-    T.StructField("longest", T.LongType()), T.StructField("longest_item", T.StringType()),
-    T.StructField("longest_at", T.LongType()), T.StructField("item_at", T.LongType()),
-])
+_FOUND = [
+    T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("longest", T.LongType()), T.StructField("longest_item", T.StringType()), T.StructField("longest_at", T.LongType()), T.StructField("item_at", T.LongType()),
+]
 
 
 def _runs(places: np.ndarray) -> list[int]:
@@ -212,67 +236,93 @@ def _runs(places: np.ndarray) -> list[int]:
     return np.stack([places[np.concatenate([[0], gap + 1])], places[np.concatenate([gap, [len(places) - 1]])] + 1], 1).ravel().tolist()
 
 
-def _places(runs: list[int]) -> np.ndarray:
-    return np.concatenate([np.arange(a, b) for a, b in zip(runs[::2], runs[1::2])]) if runs else np.empty(0, np.int64)
+def write_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[str]:
+    """Numbered blocks of the benchmark, each a file; their names. Blocks differ in size by chance alone, and none holds twice block_bytes."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), no_null_text("text"))
+    n = int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) + 1
+    folder = fresh_dir(spark, "benchmark")
+
+    def rows(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
+        held: list[tuple[str, str]] = []
+        size = 0
+
+        def put() -> tuple:
+            f = WholeFile(folder, ".block")
+            f.write(pickle.dumps(Block([(name, words_of(text)) for name, text in sorted(held)], window), protocol=5))
+            return (f.done(),)
+
+        for ids, texts in batches:
+            out = []
+            for i, text in zip(ids, texts):
+                if held and size + len(text) > 2 * block_bytes:
+                    out.append(put())
+                    held, size = [], 0
+                held.append((i or "", text))
+                size += len(text)
+            yield out
+        if held:
+            yield [put()]
+
+    paths = written(arrow_rows(items.repartition(n), T.StructType([T.StructField("path", T.StringType())]), rows), "blocks")
+    return sorted(r[0] for r in paths.collect())
 
 
-def _pass(state: DataFrame, block: Block, keep_text: bool) -> DataFrame:
-    """Searches the documents for one block; what state says of earlier blocks is added to. Columns after those of _STATE go along."""
-    shared = state.sparkSession.sparkContext.broadcast(block)
+_last: tuple[str, Block] | None = None
+
+
+def _block(path: str) -> Block:
+    """The block, kept until another is asked for."""
+    global _last
+    if _last is None or _last[0] != path:
+        _last = None
+        with open_read(path) as f:
+            _last = (path, pickle.loads(f.read()))
+    return _last[1]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
+    """Per document: doc_id, n_words, hits (runs of word places), items, longest, longest_item, longest_at, item_at; with
+    carry also text and a struct row of the other columns of docs."""
+    paths = write_blocks(benchmark, window, block_bytes)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*(c for c in docs.columns if c != "text")).alias("row")] if carry else []))
+    more = [source.schema["text"], source.schema["row"]] if carry else []
+
+    def coded(b: Block, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(b.vocabulary.get, words, repeat(0)), np.int64, len(words))
 
     def rows(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
-        b = shared.value
+        # of one block, the shard is held as numbers; of several, as text that is numbered for each
         held, shard, n = [], [], 0
 
         def emptied() -> list[tuple]:
+            found = [(np.empty(0, np.int64), [], (0, "", -1, -1)) for _ in held]
+            # from block to block the order turns, so that the block that is there is used first
+            order = paths if _last is None or _last[0] != (paths or [""])[-1] else paths[::-1]
+            for path in order:
+                b = _block(path)
+                for k, (mine, items, (m, item, item_at, at)) in enumerate(search(shard if len(paths) == 1 else [coded(b, words_of(x)) for x in shard], b)):
+                    hits, names, best = found[k]
+                    if m:
+                        best = min(best, (-m, b.names[item], item_at, at))
+                    found[k] = (np.union1d(hits, mine) if len(hits) else mine, names + [b.names[x] for x in items], best)
             out = []
-            for row, (mine, items, (m, item, item_at, at)) in zip(held, search(shard, b)):
-                i, text, n_words, hits, names, longest, longest_item, longest_at, was_at, *more = row
-                if hits:
-                    mine = np.union1d(mine, _places(hits))
-                if m > longest:
-                    longest, longest_item, longest_at, was_at = m, b.names[item], at, item_at
-                out.append((i, text, n_words, _runs(mine), sorted([*names, *(b.names[x] for x in items)]), longest, longest_item, longest_at, was_at, *more))
+            for (i, n_words, *rest), (hits, names, (m, item, item_at, at)) in zip(held, found):
+                out.append((i, n_words, _runs(hits), sorted(names), -m, item if m else None, at, item_at, *rest))
             return out
 
         for columns in batches:
-            for i, text, _, *more in zip(*columns):
+            for i, text, *rest in zip(*columns):
                 words = words_of(text)
-                held.append((i, text if keep_text else None, len(words), *more))
-                shard.append(np.fromiter(map(b.vocabulary.get, words, repeat(0)), np.int64, len(words)))
+                held.append((i, len(words), text, *rest) if carry else (i, len(words)))
+                shard.append(coded(_block(paths[0]), words) if len(paths) == 1 else text)
                 n += len(words)
                 if n >= SHARD_WORDS:
                     yield emptied()
                     held, shard, n = [], [], 0
         yield emptied()
 
-    return arrow_rows(state, state.schema, rows)
-
-
-def blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Block]:
-    """The benchmark in blocks of bounded size, read partition by partition."""
-    items, size = [], 0
-    for item_id, text in benchmark.select(F.col("item_id").cast("string"), no_null_text("text")).toLocalIterator():
-        if items and size + len(text) > block_bytes:
-            yield Block(items, window)
-            items, size = [], 0
-        items.append((item_id or "", words_of(text)))
-        size += len(text)
-    yield Block(items, window)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
-    """Per document: doc_id, n_words, hits (runs of word places), items, longest, longest_item, longest_at, item_at; with
-    carry also text and a struct row of the other columns of docs."""
-    fresh = {"n_words": F.lit(0), "hits": F.array(), "items": F.array(), "longest": F.lit(0), "longest_item": F.lit(None), "longest_at": F.lit(-1), "item_at": F.lit(-1)}
-    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(x.cast(_STATE[c].dataType).alias(c) for c, x in fresh.items()), *([F.struct(*(c for c in docs.columns if c != "text")).alias("row")] if carry else []))
-    pending = None
-    for block in blocks(benchmark, window, block_bytes):
-        if pending is not None:
-            state = _pass(state, pending, True)
-        pending = block
-    state = _pass(state, pending, carry)
-    return state if carry else state.drop("text")
+    return arrow_rows(source, T.StructType([source.schema["doc_id"], *_FOUND, *more]), rows)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

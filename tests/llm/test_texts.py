@@ -72,6 +72,27 @@ def test_contamination(spark, odd, none, bench, monkeypatch):
     whole = decontaminate.contamination(docs, bench)
     key = lambda d: sorted(((x["doc_id"], x["hits"], x["items"], x["longest"]) for x in d.collect()), key=str)
     assert key(small) == key(whole)
+    monkeypatch.undo()
+    assert key(decontaminate.contamination(docs, bench)) == key(whole)
+    # the longest match of each document, and that it is where it is said to be
+    texts, items = {x["doc_id"]: WORD.findall(low(x["text"])) for x in docs.collect()}, {"" if i is None else str(i): WORD.findall(low(t)) for i, t in map(tuple, bench.collect())}
+    for x in whole.collect():
+        if x["doc_id"] is None:
+            continue
+        words, longest = texts[x["doc_id"]], 0
+        for item in items.values():
+            for a in range(len(item)):
+                for p in range(len(words)):
+                    n = 0
+                    while a + n < len(item) and p + n < len(words) and item[a + n] == words[p + n]:
+                        n += 1
+                    longest = max(longest, n if n >= min(10, len(item)) else 0)
+        assert x["longest"] == longest, x["doc_id"]
+        if longest:
+            a, p = x["item_at"], x["longest_at"]
+            assert items[x["longest_item"]][a : a + longest] == words[p : p + longest]
+    blocks = decontaminate.write_blocks(bench, 10, 60)
+    assert len(blocks) > 5 and sum(len(decontaminate._block(p).names) for p in blocks) == bench.count()
     assert decontaminate.report(none, bench).count() == 0 and not decontaminate.report(odd, bench.limit(0)).where("contaminated").count()
     kept = decontaminate.clean(docs, bench)
     assert kept.schema == docs.schema and kept.count() == sum(not x[-1] for x in want)
