@@ -20,6 +20,10 @@ from tessera.sources.tablelog import Table, bare
 #: At most so many distinct values for a bitmap; rows up to which a probe admits rows and not files.
 BITMAP_VALUES, ADMITTED_ROWS = 64, 10_000
 SHARD_BYTES = 128 << 20
+#: What a row adds to an index at most, about: paths are a dictionary.
+ENTRY_BYTES = 16
+#: Up to so many paths are broadcast while an index is built.
+NAMED_FILES = 50_000
 
 
 def _digest(*parts: object) -> str:
@@ -92,10 +96,18 @@ def _dealt(table: Table, df: DataFrame, key: str, bytes: float) -> DataFrame:
 
 
 def build_index(table: Table, column: str, policy: str = "") -> Derived:
-    """Which files hold each value: one column is read, nulls are skipped, each value stands once for a file."""
+    """Which files hold each value: one column is read, nulls are skipped, each value stands once for a file.
+
+    Paths are shuffled as hashes and put back at the end; of two files with one hash both are named, which costs a read and no row."""
     id = piece_id("idx", table, column)
-    df = table.located().where(F.col(column).isNotNull()).select(F.col(column).alias("value"), F.col("_file").alias("file")).distinct()
-    path, size = _side(table, _dealt(table, df, "value", table.bytes), id, policy)
+    df = table.located().where(F.col(column).isNotNull())
+    short = len(table.live()) <= NAMED_FILES
+    df = df.select(F.col(column).alias("value"), (F.xxhash64("_file") if short else F.col("_file")).alias("file")).distinct()
+    df = _dealt(table, df, "value", sum(f.rows for f in table.live()) * ENTRY_BYTES)
+    if short:
+        names = table.spark.createDataFrame([(bare(f.path),) for f in table.live()], "name string")
+        df = df.join(F.broadcast(names.withColumn("file", F.xxhash64("name"))), "file").select("value", F.col("name").alias("file"))
+    path, size = _side(table, df, id, policy)
     return Derived(id, table.name, table.current, Index(column, equality_probe(table, path, column, False), size, path), policy)
 
 
@@ -104,7 +116,7 @@ def build_bitmap(table: Table, column: str, policy: str = "") -> Derived:
     id = piece_id("bmp", table, column)
     df = table.located().where(F.col(column).isNotNull()).select(F.col(column).alias("value"), F.col("_file").alias("file"), F.col("_row").alias("row"))
     df = df.groupBy("value", "file", F.shiftright("row", 16).alias("run")).agg(F.sort_array(F.collect_list("row")).alias("rows"))
-    path, size = _side(table, _dealt(table, df, "value", table.bytes), id, policy)
+    path, size = _side(table, _dealt(table, df, "value", sum(f.rows for f in table.live()) * ENTRY_BYTES), id, policy)
     return Derived(id, table.name, table.current, Bitmap(column, equality_probe(table, path, column, True), size, path), policy)
 
 

@@ -179,14 +179,14 @@ class IcebergTable(Table):
 
     @staticmethod
     def _placed(df: DataFrame) -> DataFrame:
-        return df.select("*", F.regexp_replace("_metadata.file_path", BARE, "").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        return df.select("*", F.expr(BARE.format("_metadata.file_path")).alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
     def _kept(self, df: DataFrame, deletes: list[tuple[int, str]]) -> DataFrame:
         if not deletes:
             return df
         if any(content != 1 for content, _ in deletes):
             raise NotImplementedError("equality deletes")
-        gone = self.spark.read.schema("file_path string, pos bigint").parquet(*(p for _, p in deletes)).select(F.regexp_replace("file_path", BARE, "").alias("_gone"), "pos")
+        gone = self.spark.read.schema("file_path string, pos bigint").parquet(*(p for _, p in deletes)).select(F.expr(BARE.format("file_path")).alias("_gone"), "pos")
         return df.join(gone, (F.col("_file") == F.col("_gone")) & (F.col("_row") == F.col("pos")), "left_anti")
 
     def _change(self, *args, **kwargs):

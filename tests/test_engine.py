@@ -16,6 +16,7 @@ from tessera.functions import expand, terms
 from tessera.model import AggFunc, Aggregate, Filter, Measure, Metric, Plan
 from tessera.rule import Registry
 from tessera.session import APPROXIMATE, STALE, Session
+from tessera.sources import read_jdbc
 from tessera.sources.cache import ScanCache
 from tessera.sources.tablelog import CommitConflict, DataFile, Store, Table, bare, footers
 from tessera.store import persist, recover
@@ -480,3 +481,50 @@ def test_recovered_cube_serves_implied_ranges(made):
     assert not found.discarded
     s.registry = found.registry
     assert same(s, "SELECT kind, count(*) AS c FROM ev WHERE user >= 3 GROUP BY kind").used
+
+
+def test_user_functions_in_aided_queries(made):
+    """Scalar and aggregate functions that the user has registered; the filter beside them still prunes."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    s, t = made
+    s.registry.register(ops.build_index(t, "user"))
+    def twice(x: pd.Series) -> pd.Series:
+        return x * 2
+
+    twice.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    s.spark.udf.register("twice", pandas_udf(twice, "long"))
+
+    def spread(x: pd.Series) -> float:
+        return float(x.max() - x.min())
+
+    spread.__annotations__ = {"x": pd.Series, "return": float}
+    s.spark.udf.register("spread", pandas_udf(spread, "double"))
+    s.spark.udf.register("plain_half", lambda x: x // 2, "long")
+    for sql in ("SELECT twice(n) AS d, plain_half(n) AS h FROM ev WHERE user = 3", "SELECT kind, spread(n) AS s FROM ev WHERE user = 3 GROUP BY kind"):
+        assert same(s, sql).files_read == 1, sql
+    assert same(s, "SELECT n FROM ev WHERE user = 3 AND twice(n) > 100").files_read == 1
+    s.sql("SELECT n FROM ev WHERE plain_half(n) = 3 AND user = 3").collect()
+    assert not any("cube" in u for u in s.last_scan[0].used)
+
+
+def test_jdbc(spark):
+    """Through Derby, which Spark brings along."""
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.createDataFrame([(1, "a"), (2, None)], "id int, name string").write.jdbc(url, "things", properties=options)
+    df = read_jdbc(spark, url, "things", **options)
+    assert sorted(map(tuple, df.where("ID > 0").collect()), key=str) == [(1, "a"), (2, None)]
+
+
+def test_explaining_commands_and_reading_footers_of_nothing(made):
+    s, t = made
+    assert "command" in s.explain("SHOW TABLES")
+    assert "8 files" in s.explain(f"INSERT OVERWRITE DIRECTORY '{t.root}/x' USING parquet SELECT * FROM ev")
+    assert footers(t.store, []) == [] and not t.store.exists(f"{t.root}/x")
+    t.delete_where("n >= 0")
+    assert s.sql("SELECT * FROM ev").count() == 0 and s.sql("SELECT count(*) AS c FROM ev WHERE user = 1").first()[0] == 0
+    s.registry.register(ops.build_index(t, "user"))
+    t.append(s.spark.sql("SELECT 1L AS user, 5L AS n, 't' AS kind, 'b' AS body"))
+    assert same(s, "SELECT n FROM ev WHERE user = 1").files_read == 1
