@@ -87,6 +87,8 @@ class TextIndex(Kind):
         asked = [p for p in query.predicates if isinstance(p, Matches) and p.column == self.column and p.terms]
         if not asked:
             return None
+        if many := getattr(self.probe, "many", None):
+            many(frozenset().union(*(p.terms for p in asked)))
         files = frozenset.intersection(*(self.probe(t) for p in asked for t in sorted(p.terms)))
         return Prune({f: WHOLE for f in files})
 

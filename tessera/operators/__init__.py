@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
+from pyspark.sql.types import BooleanType, DateType, NumericType, StructType, TimestampType
 
 from tessera.functions import hll_state, terms_sql
 from tessera.kinds import Bitmap, Cube, FilterSet, Index, JoinHash, MaterializedResult, Projection, TextIndex, VectorIndex
@@ -42,11 +42,11 @@ def _side_path(table: Table, id: str, policy: str) -> str:
 def _side(table: Table, df: DataFrame, id: str, policy: str) -> tuple[str, int]:
     path = _side_path(table, id, policy)
     df.write.mode("overwrite").parquet(path)
-    return path, _size(table, path)
+    return path, _size(table, path, df.schema)
 
 
-def _size(table: Table, path: str) -> int:
-    table.forget_side(path)
+def _size(table: Table, path: str, schema: StructType) -> int:
+    table.know_side(path, schema)
     return sum(n for p, n in table.store.list(path) if p.endswith(".parquet"))
 
 
@@ -82,11 +82,19 @@ def equality_probe(table: Table, path: str, column: str, rows: bool) -> Callable
 def term_probe(table: Table, path: str) -> Callable[[str], frozenset[str]]:
     known: dict[str, frozenset[str]] = {}
 
+    def many(terms: frozenset[str]) -> None:
+        """All terms that aren't known yet, in one job."""
+        if new := sorted(terms - known.keys()):
+            found: dict[str, set[str]] = {x: set() for x in new}
+            for r in table.side(path).where(F.col("term").isin(new)).select("term", "file").collect():
+                found[r["term"]].add(r["file"])
+            known.update({x: frozenset(files) for x, files in found.items()})
+
     def probe(term: str) -> frozenset[str]:
-        if term not in known:
-            known[term] = frozenset(r[0] for r in table.side(path).where(F.col("term") == term).select("file").collect())
+        many(frozenset((term,)))
         return known[term]
 
+    probe.many = many
     return probe
 
 
@@ -239,8 +247,9 @@ def build_join_hash(table: Table, keys: tuple[str, ...], columns: frozenset[str]
     id = piece_id("jh", table, _digest(keys, sorted(columns)))
     n = int(table.bytes // SHARD_BYTES) + 1
     path = _side_path(table, id, policy)
-    write_buckets(table.read().select(*sorted(columns | set(keys))), path, n, keys)
-    return Derived(id, table.name, table.current, JoinHash(path, _size(table, path), keys, frozenset(columns | set(keys)), n), policy)
+    df = table.read().select(*sorted(columns | set(keys)))
+    write_buckets(df, path, n, keys)
+    return Derived(id, table.name, table.current, JoinHash(path, _size(table, path, df.schema), keys, frozenset(columns | set(keys)), n), policy)
 
 
 def estimate_overlap(table: Table, column: str) -> float | None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.plans.planio import Path, java, seq, simple
 
@@ -59,15 +59,11 @@ def frame(spark: SparkSession, plan) -> DataFrame:
     return DataFrame(java(spark._jvm, "org.apache.spark.sql.classic.Dataset").ofRows(spark._jsparkSession, plan), spark)
 
 
-def shaped(df: DataFrame, like: object) -> DataFrame:
-    """df with the columns of a node's output, in that order and of those types; columns that df lacks are null (nothing above reads them)."""
+def shaped(df: DataFrame, schema: StructType) -> DataFrame:
+    """df with the columns of a schema, in that order and of those types; columns that df lacks are null (nothing above reads them)."""
     have = {c.lower(): c for c in df.columns}
-    columns = []
-    for a in seq(like.output()):
-        kind = a.dataType().catalogString()
-        c = F.col(f"`{have[a.name().lower()]}`") if a.name().lower() in have else F.lit(None)
-        columns.append(c.cast(kind).alias(a.name()))
-    return df.select(*columns)
+    quoted = lambda name: "`" + name.replace("`", "``") + "`"
+    return df.selectExpr(*(f"CAST({quoted(have[f.name.lower()]) if f.name.lower() in have else 'NULL'} AS {f.dataType.simpleString()}) AS {quoted(f.name)}" for f in schema))
 
 
 __all__ = ["frame", "scala_seq", "shaped", "simple", "spliced"]

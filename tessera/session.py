@@ -27,6 +27,10 @@ from tessera.sources.tablelog import Table
 APPROXIMATE, STALE = "tessera.approximate", "tessera.stale"
 
 
+#: Sessions on one Spark session share its views, so one plans at a time.
+_PLANNING = threading.RLock()
+
+
 @dataclass
 class ScanReport:
     """What became of one scan."""
@@ -72,7 +76,7 @@ class Session:
         self.facts, self.observe, self.cache = facts or StorageFacts(), observe, cache
         self.last_scan: list[ScanReport] = []
         self.last_read = planio.Scanned()
-        self._lock = threading.RLock()
+        self._lock = _PLANNING
 
     def attach(self, table: Table) -> Table:
         self.tables[table.name] = table
@@ -235,7 +239,7 @@ class Session:
             if other is not None:
                 # scans of the table's own files have the shape's columns as they are
                 own = self.cache is None and not r.substituted
-                swaps.append((leaf.path, other if own else shaped(other, planio.at(plan, leaf.path))))
+                swaps.append((leaf.path, other if own else shaped(other, leaf.table.schema)))
         self.last_scan = list(reports.values())
         return swaps
 
@@ -306,7 +310,7 @@ class Session:
         rows = leaf.table.side(piece.kind.path)
         if buckets := getattr(piece.kind, "buckets", 0):
             rows = read_buckets(rows, buckets, piece.kind.keys)
-        swaps.append((leaf.path, shaped(rows, planio.at(plan, leaf.path))))
+        swaps.append((leaf.path, shaped(rows, leaf.table.schema)))
         return leaf.path
 
     def _nearest(self, plan, found, calls, reports, swaps):

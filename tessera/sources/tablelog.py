@@ -297,6 +297,7 @@ class Table:
         self._checkpoints: list[int] = []
         self._totals: dict[int, tuple[list[DataFile], Totals]] = {}
         self._sides: dict[str, DataFrame] = {}
+        self._side_schemas: dict[str, StructType] = {}
         self._shape: DataFrame | None = None
 
     # reading the log
@@ -413,14 +414,16 @@ class Table:
         return df.select("*", F.expr(BARE.format("_metadata.file_path")).alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
     def side(self, path: str) -> DataFrame:
-        """A side table; its files are listed and its schema is read once, since it never changes."""
+        """A side table; its files are listed once, since it never changes, and its schema is read if nobody has told it."""
         if path not in self._sides:
-            self._sides[path] = self.spark.read.parquet(path)
+            reader = self.spark.read.schema(self._side_schemas[path]) if path in self._side_schemas else self.spark.read
+            self._sides[path] = reader.parquet(path)
         return self._sides[path]
 
-    def forget_side(self, path: str) -> None:
-        """To be called when path has been written again."""
+    def know_side(self, path: str, schema: StructType) -> None:
+        """To be called when path has been written, or written again."""
         self._sides.pop(path, None)
+        self._side_schemas[path] = schema
 
     def shape(self) -> DataFrame:
         """No rows: what a name is bound to while a query is planned, so that planning looks at no data file."""

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from datetime import date
 from decimal import Decimal
 
+from pyspark.sql.types import StructType
+
 from tessera import operators as ops
 from tessera.kinds import Bitmap, Cube, FilterSet, Index, JoinHash, MaterializedResult, Projection, TextIndex, VectorIndex
 from tessera.model import AggFunc, Filter, Measure, Metric, Plan, Scope
@@ -43,7 +45,8 @@ def _scopes(files: dict[str, Scope]) -> dict:
     return {f: None if s.whole else {str(g): None if r is None else sorted(r) for g, r in s.groups.items()} for f, s in files.items()}
 
 
-def describe(piece: Derived) -> dict:
+def describe(piece: Derived, schema: StructType | None = None) -> dict:
+    """schema: of the side table, so that a reader needs no footers."""
     k = piece.kind
     what: dict = {}
     match k:
@@ -61,11 +64,13 @@ def describe(piece: Derived) -> dict:
             what = {"column": k.column, "metric": k.metric.value, "dimension": k.dimension, "columns": sorted(k.columns)}
         case JoinHash():
             what = {"keys": list(k.keys), "columns": sorted(k.columns), "buckets": k.buckets}
-    return {"version": VERSION, "id": piece.id, "table": piece.table, "snapshot": piece.snapshot, "policy": piece.policy, "kind": k.name, "path": k.path, "bytes": k.bytes, "uses": piece.uses, "what": what}
+    return {"version": VERSION, "id": piece.id, "table": piece.table, "snapshot": piece.snapshot, "policy": piece.policy, "kind": k.name, "path": k.path, "bytes": k.bytes, "uses": piece.uses, "what": what} | ({"schema": schema.jsonValue()} if schema is not None else {})
 
 
 def _kind(table: Table, d: dict):
     what, path, size = d["what"], d["path"], d["bytes"]
+    if "schema" in d:
+        table.know_side(path, StructType.fromJson(d["schema"]))
     filters = lambda: frozenset(map(_filter_from, what["filters"]))
     match d["kind"]:
         case "index":
@@ -104,7 +109,7 @@ def _place(table: Table, piece: Derived) -> str:
 def persist(table: Table, piece: Derived) -> str:
     """Writes the description. The side table is there already, so what can be found is whole."""
     path = _place(table, piece)
-    body = json.dumps(describe(piece), sort_keys=True)
+    body = json.dumps(describe(piece, table.side(piece.kind.path).schema if getattr(piece.kind, "path", None) else None), sort_keys=True)
     table.store.write(path, json.dumps({"sum": hashlib.sha256(body.encode()).hexdigest(), "body": body}))
     return path
 
