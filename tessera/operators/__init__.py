@@ -180,7 +180,8 @@ def build_text_index(table: Table, column: str, policy: str = "", ask: Matches |
 def build_materialized(table: Table, plan: Plan, condition: str | None, policy: str = "") -> Derived:
     """The rows of an exact scan, with the columns that its filters need."""
     id = piece_id("mat", table, _digest(sorted(plan.projected), sorted(f.text for f in plan.filters)))
-    columns = sorted(plan.projected | {c for f in plan.filters for c in f.columns})
+    # of a scan without columns the rows count all the same
+    columns = sorted(plan.projected | {c for f in plan.filters for c in f.columns}) or [min(table.schema.names, key=lambda c: table.totals().columns.get(c, 0))]
     df = table.read()
     path, size = _side(table, (df.where(condition) if condition else df).select(*columns), id, policy)
     return Derived(id, table.name, table.current, MaterializedResult(path, size, plan), policy)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from datetime import date
 from functools import lru_cache
@@ -122,11 +123,19 @@ def references(e, ids: dict[int, str]) -> frozenset[str]:
     return frozenset(out)
 
 
+_PLAIN_NAME = re.compile("[A-Za-z_][A-Za-z0-9_]*")
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def sql_of(e, ids: dict[int, str]) -> str:
     """The expression's text with bare column names."""
     text = e.sql()
     for a in seq(e.references().toSeq()):
-        text = text.replace(a.sql(), ids.get(a.exprId().id(), a.name()))
+        name = ids.get(a.exprId().id(), a.name())
+        text = text.replace(a.sql(), name if _PLAIN_NAME.fullmatch(name) else quoted(name))
     return text
 
 
@@ -162,6 +171,11 @@ def _sought(e) -> frozenset[str] | None:
     return next((t for c in seq(e.children()) if (t := _sought(c)) is not None), None)
 
 
+def lasting(e) -> bool:
+    """Whether a condition means the same rows whenever it is asked: it is deterministic and holds no subquery."""
+    return e.deterministic() and not any(simple(x) in ("ScalarSubquery", "Exists", "InSubquery", "ListQuery", "DynamicPruningSubquery") for _, x in walk(e))
+
+
 def predicate_of(e, ids: dict[int, str]) -> Predicate | None:
     """The probeable form: equalities (also IN, and OR of equalities on one column), text matches, or nothing that an index can be asked."""
     kind = simple(e)
@@ -201,15 +215,16 @@ def asks(df: DataFrame, tables: list[Table]) -> list[Leaf]:
         if leaf is None:
             continue
         needed: frozenset[str] | None = None
+        tested: set[str] = set()  # columns that only have to be there
         up = path
         while up:
             up = up[:-1]
             parent = at(optimized, up)
             if simple(parent) == "Filter":
-                leaf.deterministic &= parent.condition().deterministic()
+                leaf.deterministic &= lasting(parent.condition())
                 for c in conjuncts(parent.condition()):
                     if simple(c) == "IsNotNull" and simple(c.child()) == "AttributeReference":
-                        needed = (needed or frozenset()) if needed is None else needed
+                        tested |= references(c, leaf.ids)
                         continue
                     leaf.filters.append(filter_of(c, leaf.ids))
                     if p := predicate_of(c, leaf.ids):
@@ -220,7 +235,7 @@ def asks(df: DataFrame, tables: list[Table]) -> list[Leaf]:
             break
         if not needed:
             needed = frozenset(leaf.ids.values()) if path == () or simple(at(optimized, up)) not in ("Project", "Aggregate") else frozenset(n for n in references(at(optimized, up), leaf.ids) if n[0] != "?")
-        leaf.needed = needed
+        leaf.needed = needed | frozenset(c for c in tested if c[0] != "?" and not any(c in f.columns for f in leaf.filters))
     return found
 
 
@@ -308,7 +323,7 @@ def aggregate_asks(plan, found: list[Leaf]) -> list[AggregateAsk]:
         if not measures:
             continue
         filters = [filter_of(c, leaf.ids) for c in met]
-        if all(c.deterministic() for c in met):
+        if all(lasting(c) for c in met):
             out.append(AggregateAsk(path, leaf, Aggregate(tuple(keys), measures), filters, output))
     return out
 

@@ -161,9 +161,9 @@ class Session:
     @staticmethod
     def _condition(f) -> str:
         """A conjunct as SQL over bare columns."""
-        if f.op and ":" in f.text:
-            head, lit = f.text.split(":", 1)
-            return f"{head.split(' ')[0]} {f.op} {lit}"
+        if f.op and f.column:
+            _, lit = f.text[len(f.column) + len(f.op) + 2 :].split(":", 1)
+            return f"{f.column if f.column.isidentifier() else planio.quoted(f.column)} {f.op} {lit}"
         return f.text
 
     # whole queries
