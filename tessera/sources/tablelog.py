@@ -14,6 +14,7 @@ elsewhere are still kept and compared.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import asdict, dataclass, field, replace
@@ -525,3 +526,19 @@ class Table:
 
     def diff(self, since: int) -> Diff | None:
         return self.graph.diff(since, self.current)
+
+    def orphans(self, older_than_s: float = 7 * 86_400) -> list[str]:
+        """Data folders that no snapshot names, left by attempts that were lost or refused. Young ones may belong to a commit that is under way."""
+        self.catch_up()
+        for s in self.graph:
+            len(s.files)  # puts the snapshot's files together, so that all are known
+        named = {f.rsplit("/", 1)[0] for f in self.files}
+        p, fs = self.store._fs(f"{self.root}/data")
+        if not fs.exists(p):
+            return []
+        now = time.time()
+        return sorted(x.getPath().toString() for x in fs.listStatus(p) if bare(x.getPath().toString()) not in named and now - x.getModificationTime() / 1000 >= older_than_s)
+
+    def reclaim(self, older_than_s: float = 7 * 86_400) -> int:
+        """Deletes the orphans; counts their files."""
+        return sum(self.store.delete(x) for x in self.orphans(older_than_s))

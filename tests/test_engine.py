@@ -528,3 +528,15 @@ def test_explaining_commands_and_reading_footers_of_nothing(made):
     s.registry.register(ops.build_index(t, "user"))
     t.append(s.spark.sql("SELECT 1L AS user, 5L AS n, 't' AS kind, 'b' AS body"))
     assert same(s, "SELECT n FROM ev WHERE user = 1").files_read == 1
+
+
+def test_files_of_lost_attempts_are_reclaimed(made):
+    s, t = made
+    late = Table.open(s.spark, "ev", t.root)
+    t.delete_where("n = 3")
+    with pytest.raises(CommitConflict):
+        late.delete_where("n = 11")
+    again = Table.open(s.spark, "ev", t.root)
+    assert again.orphans() == [] and len(again.orphans(0)) == 1
+    assert again.reclaim(0) > 0 and again.orphans(0) == []
+    assert again.read().count() == 799 and Table.open(s.spark, "ev", t.root, at=1).read().count() == 800
