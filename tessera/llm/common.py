@@ -50,6 +50,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """As written(); the job's shuffle files go when it ends, not when the driver next collects its garbage. Jobs that other threads run on this
+    session meanwhile may lose theirs as well, which costs them time only."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return written(df, label)
+    finally:
+        conf.set(name, before)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables that written() wrote, once nothing reads them any more."""
     for df in tables:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import NOT_SPACE, arrow_rows, dropped, no_null_text, shingle_hashes, word_hashes, written
+from tessera.llm.common import NOT_SPACE, arrow_rows, dropped, no_null_text, settled, shingle_hashes, word_hashes
 
 BANDS, ROWS_PER_BAND = 32, 5
 SAMPLES = BANDS * ROWS_PER_BAND
@@ -158,13 +158,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (its component's least node) for all nodes of edges (a, b): least neighbour, then pointer jumping, until nothing changes."""
-    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
-    label = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    both = settled(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
+    label = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
     while True:
         near = both.join(label.select(F.col("node").alias("b"), F.col("comp").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
         step = label.join(near, "node").select("node", "comp", F.least("comp", "c").alias("c"))
         jump = step.join(label.select(F.col("node").alias("c"), F.col("comp").alias("cc")), "c", "left").select("node", F.col("comp").alias("was"), F.least("c", F.coalesce("cc", "c")).alias("comp"))
-        nxt = written(jump, "labels")
+        nxt = settled(jump, "labels")
         dropped(label)
         if nxt.where("comp <> was").isEmpty():
             dropped(both)
@@ -180,7 +180,7 @@ def _relabelled(label: DataFrame | None, links: DataFrame) -> DataFrame:
     between = of("a").select("b", F.coalesce("ca", "a").alias("ca")).join(label.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left").select(F.col("ca").alias("a"), F.coalesce("cb", "b").alias("b"))
     joined = components(between)
     old = label.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("new")), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"))
-    out = written(old.unionByName(joined.join(label.select("node"), "node", "left_anti")).groupBy("node").agg(F.min("comp").alias("comp")), "labels")
+    out = settled(old.unionByName(joined.join(label.select("node"), "node", "left_anti")).groupBy("node").agg(F.min("comp").alias("comp")), "labels")
     dropped(joined, label)
     return out
 
@@ -191,13 +191,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """As near_duplicates(), with node (equal sets) and comp (the component, null for a node without links)."""
+    """As near_duplicates(), with node (equal sets) and comp (the component, null for a node without links). Reads none but tables of its own."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(features(docs, k), "features")
-    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "nodes")
+    told = settled(features(docs, k), "features")
+    nodes = settled(told.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "nodes")
+    rows = settled(told.select("doc_id", "n_shingles", "node"), "rows")
+    dropped(told)
     keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     crowded = keys.groupBy("key").count().where("count > 1").select("key")
-    postings = written(keys.join(crowded, "key", "left_semi").join(nodes.select("node", "rep", "n", "sketch"), "node"), "postings")
+    postings = settled(keys.join(crowded, "key", "left_semi").join(nodes.select("node", "rep", "n", "sketch"), "node"), "postings")
     label: DataFrame | None = None
     sets: DataFrame | None = None
     tested: list[DataFrame] = []
@@ -207,7 +209,7 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
         wanted = postings.select("node", "rep").distinct()
         ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
         known = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-        sets = written(_sets(known, k).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+        sets = settled(_sets(known, k).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
     for turn in range(MOST_ROUNDS):
         if turn == 0 and postings.isEmpty():
             break
@@ -222,7 +224,7 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
         if last:
             open_keys = here.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
             # as columns of their own the sketches' parts are read without unpacking an array for each pair
-            here = opened = written(here.join(open_keys, "key", "left_semi").join(nodes.select("node", "bands"), "node").select("key", "band", "node", "n", "comp", *(F.col("bands")[i].alias(f"k{i}") for i in range(BANDS)), *(x.alias(f"s{i}") for i, x in enumerate(_longs("sketch")))), "open")
+            here = opened = settled(here.join(open_keys, "key", "left_semi").join(nodes.select("node", "bands"), "node").select("key", "band", "node", "n", "comp", *(F.col("bands")[i].alias(f"k{i}") for i in range(BANDS)), *(x.alias(f"s{i}") for i, x in enumerate(_longs("sketch")))), "open")
             side = lambda p: [F.col(f"{p}.s{i}") for i in range(SKETCH_LONGS)]
             a, b = here.alias("x"), here.alias("y")
             cond = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.node") < F.col("y.node"))
@@ -240,8 +242,8 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
         found = found.distinct()
         for old in tested:
             found = found.join(old, ["a", "b"], "left_anti")
-        found = written(found, "pairs")
-        links = written(_confirmed(found, sets, percent), "links")
+        found = settled(found, "pairs")
+        links = settled(_confirmed(found, sets, percent), "links")
         tested.append(found)
         n_links = links.count()
         if n_links:
@@ -259,19 +261,24 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
         joined = label.join(groups, "comp").select("node", "least", "comp")
         # only nodes with company need a look-up: all other rows are their own component
         named = joined.unionByName(of_node.where("copies > 1").join(joined, "node", "left_anti").select("node", F.col("rep").alias("least"), F.lit(None).cast("binary").alias("comp")))
-    out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    named = settled(named, "named")
+    dropped(nodes, *([label] if label is not None else []))
+    out = rows.join(named, "node", "left")
     least = F.coalesce("least", "doc_id")
     return out.select("doc_id", "n_shingles", least.alias("component_id"), F.col("doc_id").eqNullSafe(least).alias("kept"), "node", "comp")
 
 
 def clean(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, with one row of each group: that of the smallest doc_id, and of rows that share it the first by text."""
-    found = written(grouped(docs, k, percent), "groups")
+    of_row = grouped(docs, k, percent)
+    found = settled(of_row, "groups")
+    dropped(of_row)
     own = "_" + max(docs.columns, key=len)  # no column of docs has this name
-    by_id = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept")).where("rows > 1 or not kept"), "leave")
+    by_id = settled(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept")).where("rows > 1 or not kept"), "leave")
     plain = docs.where("doc_id is not null").join(by_id.select(F.col("doc_id").alias(own)), F.col("doc_id") == F.col(own), "left_anti")
     repeated = by_id.where("rows > 1").select(F.col("doc_id").alias(own))
     if repeated.isEmpty() and found.where("doc_id is null").isEmpty():
+        dropped(found)
         return plain
     # ids that are null or not unique don't tell a row's group: the group is looked up by id and shingle set
     odd = docs.where("doc_id is not null").join(repeated, F.col("doc_id") == F.col(own), "left_semi").unionByName(docs.where("doc_id is null"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -175,6 +177,37 @@ def test_one_of_each_group_stays(copies, none):
     assert near_dedup.clean(none).count() == 0
 
 
+def working_tables(spark) -> Counter:
+    """Labels of the working tables that hold rows."""
+    root = common.shared_dir(spark).removeprefix("file://")
+    return Counter(d.split("-")[1] for d in os.listdir(root) if d.startswith("tessera-") and any(f.startswith("part-") for f in os.listdir(f"{root}/{d}")))
+
+
+def test_near_duplicate_search_drops_what_its_result_does_not_read(spark, copies):
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(cleanup), working_tables(spark)
+    plain = near_dedup.clean(copies.where("doc_id >= 1000"))
+    assert working_tables(spark) - before == Counter(["leave"])
+    want = groups_by_brute_force([(r["doc_id"], r["text"]) for r in copies.collect() if (r["doc_id"] or 0) >= 1000], 5)
+    assert {r["doc_id"] for r in plain.collect()} == {w[0] for w in want if w[3]}
+    before = working_tables(spark)
+    found = near_dedup.near_duplicates(copies, k=4)
+    assert working_tables(spark) - before == Counter(["rows", "named"])
+    assert found.count() == copies.count() and spark.conf.get(cleanup) == was
+
+
+def test_shuffle_files_go_with_their_job(spark):
+    on_disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", on_disk.getAllFiles().mkString("\n")))
+    before = files()
+    table = common.settled(spark.range(10_000).repartition(3).groupBy((F.col("id") % 100).alias("k")).count(), "test")
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and table.count() == 100
+
+
 def test_components_of_a_long_chain(spark):
     n = 40
     edges = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(n)] + [(bytes([100]), bytes([101]))], "a binary, b binary")
@@ -286,6 +319,18 @@ def test_clean_keeps_columns(odd, spark):
     assert kept.columns == odd.columns and kept.count() == sum(not counts_by_brute_force(r["text"])[-1] for r in odd.collect())
 
 
+def test_clean_writes_no_text(spark, odd, documents, monkeypatch):
+    labels = documents.select("doc_id", F.when(F.length("text") % 3 == 0, 0).otherwise(1).alias("quality")).where("doc_id % 4 > 0")
+    docs = documents.unionByName(odd.select(documents.columns))
+    judged = quality.judged(docs, labels, "text").where("kept").select("doc_id", "text").collect()
+    before = working_tables(spark)
+    for few in (quality.FEW_LABELLED, 0):
+        monkeypatch.setattr(quality, "FEW_LABELLED", few)
+        kept = quality.clean(docs, labels)
+        assert working_tables(spark) == before
+        assert Counter(kept.select("doc_id", "text").collect()) == Counter(judged) and kept.columns == docs.columns
+
+
 def test_sketches_do_not_rule_out_short_texts(spark):
     """12 of 15 shingles in common, and sketches that differ in more bits than most_bits() allows so few."""
     rows = [(13, 14, [31] + [0] * 31, [0] * 32), (900, 920, [-1] * 32, [0] * 32)]
